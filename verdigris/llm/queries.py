@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import line_dedup, quality, sharding, url_filter
+from . import line_dedup, quality, sharding, suffix_dedup, url_filter
 
 QUERIES = {
+    "op1_suffix_dedup": suffix_dedup.op1_suffix_dedup,
     "op4_sharding": sharding.op4_sharding,
     "op5_line_dedup": line_dedup.op5_line_dedup,
     "op6_quality_rules": quality.op6_quality_rules,
