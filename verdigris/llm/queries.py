@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import line_dedup, quality, sharding, suffix_dedup, url_filter
+from . import html_text, line_dedup, quality, sharding, suffix_dedup, url_filter
 
 QUERIES = {
     "op1_suffix_dedup": suffix_dedup.op1_suffix_dedup,
@@ -10,6 +10,7 @@ QUERIES = {
     "op5_line_dedup": line_dedup.op5_line_dedup,
     "op6_quality_rules": quality.op6_quality_rules,
     "op7_url_filter": url_filter.op7_url_filter,
+    "op10_html_text": html_text.op10_html_text,
 }
 
 ORACLES = {
