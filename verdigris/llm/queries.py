@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import html_text, line_dedup, quality, sharding, suffix_dedup, url_filter
+from . import html_text, line_dedup, packing, quality, sharding, suffix_dedup, url_filter
 
 QUERIES = {
     "op1_suffix_dedup": suffix_dedup.op1_suffix_dedup,
+    "op2_packing": packing.op2_packing,
     "op4_sharding": sharding.op4_sharding,
     "op5_line_dedup": line_dedup.op5_line_dedup,
     "op6_quality_rules": quality.op6_quality_rules,
