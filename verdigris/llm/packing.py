@@ -166,6 +166,23 @@ def _settle(group: pa.Table, migrants: list[tuple[int, ...]], length: int, islan
     return pa.table([*(group.column(c) for c in names), pa.array(sequence, pa.int64()), pa.array(offset, pa.int64()), pa.array(fill, pa.int64())], names=[*names, "sequence_id", "offset", "fill"])
 
 
+def _sender(length: int, islands: int):
+    return lambda key, group: _elites(group, length, key[0].as_py(), islands)
+
+
+def _settler(level: int, length: int, names: list[str]):
+    """For an island alone, and for one with the patterns that migrate to it."""
+
+    def alone(key, group: pa.Table) -> pa.Table:
+        return _settle(group, [], length, key[0].as_py(), level, names)
+
+    def joined(key, group: pa.Table, sent: pa.Table) -> pa.Table:
+        patterns = [tuple(p) for x in sent.column("patterns").to_pylist() for p in x] if sent.num_rows else []
+        return _settle(group, patterns, length, key[0].as_py(), level, names)
+
+    return alone, joined
+
+
 def pack(pieces: DataFrame, *, length: int = LENGTH, island_rows: int = ISLAND, open_below: float = OPEN_BELOW, rounds: int = ROUNDS) -> DataFrame:
     """pieces with sequence_id and offset (columns of these names are replaced); needs length, ids_crc32 and any other columns.
 
@@ -190,19 +207,12 @@ def pack(pieces: DataFrame, *, length: int = LENGTH, island_rows: int = ISLAND,
         dealt = rest.select(*names, own)
         last = islands == 1 or level == rounds - 1
 
-        def settle(key, left, right, level=level):
-            patterns = [tuple(p) for x in right.column("patterns").to_pylist() for p in x] if right.num_rows else []
-            return _settle(left, patterns, length, key[0].as_py(), level, names)
-
-        def alone(key, group, level=level):
-            return _settle(group, [], length, key[0].as_py(), level, names)
-
         out_shape = f"{shape}, sequence_id bigint, offset bigint, fill bigint"
         if islands == 1:
-            settled = dealt.groupBy("island").applyInArrow(alone, out_shape)
+            settled = dealt.groupBy("island").applyInArrow(_settler(level, length, names)[0], out_shape)
         else:
-            elites = written(dealt.select("length", "island").groupBy("island").applyInArrow(lambda key, g, k=islands: _elites(g, length, key[0].as_py(), k), "island bigint, patterns array<array<bigint>>"), "pack-elites")
-            settled = dealt.groupBy("island").cogroup(elites.groupBy("island")).applyInArrow(settle, out_shape)
+            elites = written(dealt.select("length", "island").groupBy("island").applyInArrow(_sender(length, islands), "island bigint, patterns array<array<bigint>>"), "pack-elites")
+            settled = dealt.groupBy("island").cogroup(elites.groupBy("island")).applyInArrow(_settler(level, length, names)[1], out_shape)
         settled = written(settled, "pack-round")
         if last:
             done.append(settled.select(*names, "sequence_id", "offset"))
