@@ -173,10 +173,10 @@ def _sender(length: int, islands: int):
 def _settler(level: int, length: int, names: list[str]):
     """For an island alone, and for one with the patterns that migrate to it."""
 
-    def alone(key, group: pa.Table) -> pa.Table:
+    def alone(key, group):
         return _settle(group, [], length, key[0].as_py(), level, names)
 
-    def joined(key, group: pa.Table, sent: pa.Table) -> pa.Table:
+    def joined(key, group, sent):
         patterns = [tuple(p) for x in sent.column("patterns").to_pylist() for p in x] if sent.num_rows else []
         return _settle(group, patterns, length, key[0].as_py(), level, names)
 
