@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import html_text, line_dedup, near_dedup, packing, quality, sharding, suffix_dedup, url_filter
+from . import fingerprints, html_text, line_dedup, near_dedup, packing, quality, sharding, suffix_dedup, url_filter
 
 QUERIES = {
     "op1_suffix_dedup": suffix_dedup.op1_suffix_dedup,
     "op2_packing": packing.op2_packing,
+    "op3_fingerprints": fingerprints.op3_fingerprints,
     "op4_sharding": sharding.op4_sharding,
     "op5_line_dedup": line_dedup.op5_line_dedup,
     "op6_quality_rules": quality.op6_quality_rules,
