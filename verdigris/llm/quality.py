@@ -85,14 +85,14 @@ def upper_bound(k: int, n: int, delta: float) -> float:
     return high
 
 
-def measured(docs: DataFrame, text_col: str = "text") -> DataFrame:
+def measured(docs: DataFrame, text_col: str = "text", keep_text: bool = False) -> DataFrame:
     """Adds the counts: n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed and the grids' features.
 
     A null or empty text has no words; every count is then 0 and base_failed true.
-    Columns of these names are replaced; the text is dropped.
+    Columns of these names are replaced; the text is dropped unless keep_text.
     """
     made = {"n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", *GRIDS}
-    own = [c for c in docs.columns if c not in made and c != text_col]
+    own = [c for c in docs.columns if c not in made and (keep_text or c != text_col)]
     text = whole(F.col(text_col))
     a = docs.select(
         *own,
@@ -201,8 +201,22 @@ def judged(docs: DataFrame, labels: DataFrame, stratum: str = "lang", text_col:
     stay; a null stratum is a stratum of its own; an empty frame gives none.
     """
     features = written(measured(docs, text_col), "quality-features")
-    rejected = _any([F.col(stratum).eqNullSafe(F.lit(s)) & _any([F.col(k) > F.lit(float(x)) for k, x in rule.items()]) for s, rule in cutoffs(features, labels, stratum).items()])
-    return features.withColumn("kept", ~F.col("base_failed") & ~rejected)
+    return features.withColumn("kept", ~F.col("base_failed") & ~_rejected(cutoffs(features, labels, stratum), stratum))
+
+
+def _rejected(rules: dict[str | None, dict[str, float]], stratum: str) -> Column:
+    return _any([F.col(stratum).eqNullSafe(F.lit(s)) & _any([F.col(k) > F.lit(float(x)) for k, x in rule.items()]) for s, rule in rules.items()])
+
+
+def filter_quality(docs: DataFrame, labels: DataFrame, stratum: str = "lang", text_col: str = "text") -> DataFrame:
+    """The rows of docs that judged() keeps, whole and with their own columns.
+
+    The features are measured twice, once for the cutoffs and once beside the text,
+    so that no text is joined or shuffled.
+    """
+    id_and_stratum = docs.select(*dict.fromkeys(["doc_id", stratum, text_col]))
+    rules = cutoffs(written(measured(id_and_stratum, text_col), "quality-features"), labels, stratum)
+    return measured(docs, text_col, keep_text=True).where(~F.col("base_failed") & ~_rejected(rules, stratum)).select(*docs.columns)
 
 
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

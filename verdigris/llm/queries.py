@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import fingerprints, html_text, line_dedup, near_dedup, packing, quality, sharding, suffix_dedup, url_filter
+from . import fingerprints, html_text, line_dedup, near_dedup, packing, quality, segmentation, sharding, suffix_dedup, url_filter
 
 QUERIES = {
     "op1_suffix_dedup": suffix_dedup.op1_suffix_dedup,
@@ -12,6 +12,7 @@ QUERIES = {
     "op5_line_dedup": line_dedup.op5_line_dedup,
     "op6_quality_rules": quality.op6_quality_rules,
     "op7_url_filter": url_filter.op7_url_filter,
+    "op8_segmentation": segmentation.op8_segmentation,
     "op9_near_dedup": near_dedup.op9_near_dedup,
     "op10_html_text": html_text.op10_html_text,
 }
