@@ -2,5 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from . import queries_answers, queries_store
+
+QUERIES = queries_store.QUERIES | queries_answers.QUERIES
+ORACLES = queries_store.ORACLES | queries_answers.ORACLES
