@@ -12,7 +12,6 @@ from .store import REQUIRED
 
 #: Fixed value: names that no deadline avoids.
 UNAVOIDABLE = "毕业实习|毕业论文|实践环节"
-FINISHED_BY_CLAIM = "claimed"
 
 
 def module_audit(requirements: DataFrame, rows: DataFrame, completed: DataFrame, claims: list[str] = (), *, by: list[str] = ()) -> DataFrame:
@@ -82,7 +81,7 @@ def constraint_status(constraints: DataFrame, completed: DataFrame, by: list[str
     """all_of and any_of over (constraint_id, kind, codes): met or not, and the codes that are missing."""
     done = completed.groupBy(*by).agg(F.collect_set("course_code").alias("_done"))
     met = F.when(F.col("kind") == "all_of", F.size(F.array_except("codes", "_done")) == 0).otherwise(F.arrays_overlap("codes", "_done"))
-    missing = F.when(met, F.array().cast("array<bigint>")).otherwise(F.array_sort(F.array_except("codes", "_done")))
+    missing = F.when(met, F.array_except("codes", "codes")).otherwise(F.array_sort(F.array_except("codes", "_done")))
     return constraints.crossJoin(done).select("constraint_id", *by, "kind", met.alias("met"), missing.alias("missing"))  # as many constraints as a catalog lists
 
 

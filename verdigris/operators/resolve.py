@@ -61,7 +61,7 @@ def match_completed(completed: DataFrame, courses: DataFrame) -> DataFrame:
     met = c.join(_small(d.where("_d <> ''")), hit).withColumn("tier", tier)
     best = met.withColumn("_b", F.min("tier").over(Window.partitionBy("done_id"))).where("tier = _b").select("done_id", "course_code", "course_name", "tier")
     rest = completed.join(best.select("done_id").distinct(), "done_id", "left_anti")
-    return best.unionByName(rest.select("done_id", F.lit(None).cast("bigint").alias("course_code"), F.lit(None).cast("string").alias("course_name"), F.lit(None).cast("int").alias("tier")))
+    return best.unionByName(rest.select("done_id", F.lit(None).cast(courses.schema["course_code"].dataType).alias("course_code"), F.lit(None).cast("string").alias("course_name"), F.lit(None).cast("int").alias("tier")))
 
 
 def match_lowest_code(completed: DataFrame, courses: DataFrame) -> DataFrame:

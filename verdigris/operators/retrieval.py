@@ -7,6 +7,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.text import alnum_fingerprint, tokens
 
@@ -181,4 +182,7 @@ def hashed_features(texts: DataFrame, text: str, dimension: int, out: str = "emb
                 rows.append([x / norm for x in v])
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(rows, pa.list_(pa.float64()))], [*names, out])
 
-    return texts.mapInArrow(run, type(texts.schema)([*texts.schema.fields]).add(out, "array<double>"))
+    from ..shipping import ship
+
+    ship(texts.sparkSession)
+    return texts.mapInArrow(run, type(texts.schema)([*texts.schema.fields]).add(out, T.ArrayType(T.DoubleType())))
