@@ -27,6 +27,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..shipping import ship
 from .common import table, whole
@@ -257,7 +258,7 @@ def segment(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *,
                 flat = pa.array(np.concatenate(ids).astype(np.int32))
                 yield pa.RecordBatch.from_arrays([*(batch.column(c).slice(a, b - a) for c in names), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), flat)], [*names, "ids"])
 
-    return docs.select(*names, F.col(id_col).cast("string").alias("_key"), whole(F.col(text_col)).alias("_text")).mapInArrow(run, type(docs.schema)([*keep]).add("ids", "array<int>"))
+    return docs.select(*names, F.col(id_col).cast("string").alias("_key"), whole(F.col(text_col)).alias("_text")).mapInArrow(run, type(docs.schema)([*keep]).add("ids", T.ArrayType(T.IntegerType())))
 
 
 def decode(rows: DataFrame, ids_col: str = "ids", *, model: str | None = None) -> DataFrame:
