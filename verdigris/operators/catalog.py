@@ -81,3 +81,8 @@ def shortest_evidence(claims: DataFrame, quotes: DataFrame, keys: list[str], tex
     """For each claim the shortest quote with its keys, the first on ties."""
     best = quotes.groupBy(*keys).agg(F.min(F.struct(F.char_length(text).alias("n"), F.col(seq).alias("s"))).alias("_m"))
     return claims.join(best, keys, "left").select(*claims.columns, F.col("_m.s").alias("evidence"), F.col("_m.n").alias("evidence_chars"))
+
+
+def clear_minima(modules: DataFrame, unsafe: Column) -> DataFrame:
+    """A minimum that can't be trusted becomes unknown."""
+    return modules.withColumn("cleared", unsafe).withColumn("required_credits", F.when(~F.col("cleared"), F.col("required_credits")))
