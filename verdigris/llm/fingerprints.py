@@ -64,25 +64,30 @@ def likeness(a: Column, b: Column) -> Column:
 
 def _ranged(docs: DataFrame) -> DataFrame:
     """docs (doc_id, text) with _range, and rows again where a range needs the first row after it (_extra 1; after the last: _extra 2)."""
-    spark = docs.sparkSession
-    n = RANGES * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    n = RANGES * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     cuts = docs.agg(F.percentile_approx("doc_id", [i / n for i in range(1, n)], 20 * n).alias("c")).first()["c"]  # one id for each range
     bounds = sorted(set(cuts or []))
-    step = max(1, int(len(bounds) ** 0.5))
-    coarse = bounds[step - 1 :: step]
+    listed = lambda ids: F.split(F.lit(",".join(map(str, ids))), ",").cast("array<bigint>")  # noqa: E731  folds to one literal
     if not bounds:
         where = F.lit(0)
     else:
-        fine = F.array(*[F.lit(x) for x in bounds])
-        skipped = F.size(F.filter(F.array(*[F.lit(x) for x in coarse]), lambda x: x < F.col("doc_id"))) * step if coarse else F.lit(0)
-        where = skipped + F.size(F.filter(F.slice(fine, skipped + 1, F.lit(step)), lambda x: x < F.col("doc_id")))
+        step = max(1, int(len(bounds) ** 0.5))
+        coarse = bounds[step - 1 :: step]
+        skipped = F.size(F.filter(listed(coarse), lambda x: x < F.col("doc_id"))) * step
+        where = skipped + F.size(F.filter(F.slice(listed(bounds), skipped + 1, F.lit(step)), lambda x: x < F.col("doc_id")))
     placed = docs.withColumn("_range", F.when(F.col("doc_id").isNull(), 0).otherwise(where))
     firsts = sorted(placed.groupBy("_range").agg(F.min(F.struct(F.col("doc_id").isNotNull().alias("n"), "doc_id")).alias("m")).collect(), key=lambda r: r["_range"])  # one row for each range
     again = [(firsts[i]["m"]["doc_id"], firsts[i - 1]["_range"], 1) for i in range(1, len(firsts))]
     if firsts:
         again.append((firsts[0]["m"]["doc_id"], firsts[-1]["_range"], 2))
-    copies = F.array(F.struct(F.col("_range").alias("r"), F.lit(0).alias("e")), *[F.when(F.col("doc_id").eqNullSafe(F.lit(i)), F.struct(F.lit(r).alias("r"), F.lit(e).alias("e"))) for i, r, e in again])
-    return placed.withColumn("_to", F.explode(F.array_compact(copies))).select("doc_id", "text", F.col("_to.r").alias("_range"), F.col("_to.e").alias("_extra"))
+    text = ",".join(f"{'' if i is None else i}:{r}:{e}" for i, r, e in again) or ":-1:1"
+    parts = F.split("x", ":")
+    extra = docs.sparkSession.range(1).select(F.explode(F.split(F.lit(text), ",")).alias("x"))
+    extra = extra.select(F.when(parts[0] != "", parts[0]).cast("bigint").alias("_id"), F.struct(parts[1].cast("int").alias("r"), parts[2].cast("int").alias("e")).alias("to"))
+    extra = extra.groupBy("_id").agg(F.collect_list("to").alias("_more"))  # at most one row for each range
+    met = placed.join(F.broadcast(extra), F.col("doc_id").eqNullSafe(F.col("_id")), "left")
+    own = F.array(F.struct(F.col("_range").alias("r"), F.lit(0).alias("e")))
+    return met.withColumn("_to", F.explode(F.concat(own, F.coalesce("_more", F.slice(own, 1, 0))))).select("doc_id", "text", F.col("_to.r").alias("_range"), F.col("_to.e").alias("_extra"))
 
 
 def fingerprint_neighbours(docs: DataFrame) -> DataFrame:
