@@ -7,9 +7,13 @@ from pyspark.sql import functions as F
 
 from .text import text_of
 
-#: Labels of summer terms and of a missing cell.
+# Labels of summer terms and of a missing cell; how cells spell summer terms, ranges and single semesters.
 SUMMER_LABEL = "暑期学期"
 UNMARKED = "未标注"
+SUMMER = r"^S([1-3])$"
+DASHES = r"(?<=\d)\s*[—–~～至]\s*(?=\d)"
+RANGE = r"[1-8]\s*-\s*[1-8]"
+SINGLE = r"(?<!\d)([1-8])(?!\d)"
 
 
 def _cell(value: Column) -> Column:
@@ -18,28 +22,28 @@ def _cell(value: Column) -> Column:
 
 def semester_values(value: Column) -> Column:
     """Distinct semesters 1 to 8 of the cell, ascending, ranges filled; none for summer terms."""
-    cell = F.regexp_replace(_cell(value), r"(?<=\d)\s*[—–~～至]\s*(?=\d)", "-")
-    ranges = F.regexp_extract_all(cell, F.lit(r"([1-8]\s*-\s*[1-8])"), F.lit(1))
+    cell = F.regexp_replace(_cell(value), DASHES, "-")
+    ranges = F.regexp_extract_all(cell, F.lit(f"({RANGE})"), F.lit(1))
 
     def filled(r: Column) -> Column:
         ends = F.transform(F.split(F.regexp_replace(r, r"\s", ""), "-"), lambda x: x.cast("int"))
         return F.sequence(F.array_min(ends), F.array_max(ends))
 
-    single = F.transform(F.regexp_extract_all(F.regexp_replace(cell, r"[1-8]\s*-\s*[1-8]", " "), F.lit(r"(?<!\d)([1-8])(?!\d)"), F.lit(1)), lambda x: x.cast("int"))
+    single = F.transform(F.regexp_extract_all(F.regexp_replace(cell, RANGE, " "), F.lit(SINGLE), F.lit(1)), lambda x: x.cast("int"))
     every = F.array_sort(F.array_distinct(F.concat(F.flatten(F.transform(ranges, filled)), single)))
-    return F.when(cell.rlike(r"^S[1-3]$"), F.array().cast("array<int>")).otherwise(every)
+    return F.when(cell.rlike(SUMMER), F.array().cast("array<int>")).otherwise(every)
 
 
 def semester_positions(value: Column) -> Column:
     """Places in time; summer term n follows semester 2n."""
     cell = _cell(value)
-    summer = F.array(F.regexp_extract(cell, r"^S([1-3])$", 1).try_cast("double") * 2 + 0.5)
-    return F.when(cell.rlike(r"^S[1-3]$"), summer).otherwise(F.transform(semester_values(value), lambda x: x.cast("double")))
+    summer = F.array(F.regexp_extract(cell, SUMMER, 1).try_cast("double") * 2 + 0.5)
+    return F.when(cell.rlike(SUMMER), summer).otherwise(F.transform(semester_values(value), lambda x: x.cast("double")))
 
 
 def semester_display(value: Column) -> Column:
     cell = _cell(value)
-    return F.when(cell.rlike(r"^S[1-3]$"), F.concat(F.lit(SUMMER_LABEL), F.substring(cell, 2, 1))).when(cell == "", UNMARKED).otherwise(cell)
+    return F.when(cell.rlike(SUMMER), F.concat(F.lit(SUMMER_LABEL), F.substring(cell, 2, 1))).when(cell == "", UNMARKED).otherwise(cell)
 
 
 def semester_sort_key(value: Column) -> Column:

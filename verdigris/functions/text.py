@@ -5,11 +5,18 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# The punctuation that the listed compaction removes, and page labels in article names.
+# The punctuation that the listed compaction removes; page labels in article names; tokens; what is cut from course names.
 LISTED_PUNCTUATION = r"[\s·•，,。；;：:（）()《》\[\]【】\-_/]+"
 PAGE_LABEL = r"原文件第\d+页|第\d+页表格"
 FILE_PAGE = r"原文件第(\d+)页"
 PAGE = r"第(\d+)页"
+LATIN_TOKEN = r"[a-z]+\d*|\d+(?:\.\d+)?%?"
+CJK_RUN = r"[一-鿿]+"
+COURSE_TAG = r"^\[[A-Za-z]\d+\]"
+ENGLISH_TAIL = r"\s+[A-Z][A-Za-z]{2,}(?:\s|$)"
+INNER_SPACE = r"(?<=[一-鿿])\s+(?=[一-鿿])"
+LETTER_TAIL = r"(?<=[一-鿿）)])\s+[A-Za-z](?:\s+[A-Za-z]{1,3})?$"
+COURSE_EDGES = " |，,;；"
 
 
 def text_of(value: Column) -> Column:
@@ -38,8 +45,8 @@ def compact_roman(value: Column) -> Column:
 def tokens(text: Column) -> Column:
     """Latin words and numbers, then for each CJK run its bigrams and its characters, with repeats."""
     low = F.lower(text_of(text))
-    latin = F.regexp_extract_all(low, F.lit(r"([a-z]+\d*|\d+(?:\.\d+)?%?)"), F.lit(1))
-    runs = F.regexp_extract_all(low, F.lit(r"([一-鿿]+)"), F.lit(1))
+    latin = F.regexp_extract_all(low, F.lit(f"({LATIN_TOKEN})"), F.lit(1))
+    runs = F.regexp_extract_all(low, F.lit(f"({CJK_RUN})"), F.lit(1))
 
     def grams(run: Column) -> Column:
         n = F.char_length(run)
@@ -52,8 +59,8 @@ def tokens(text: Column) -> Column:
 def token_set(text: Column) -> Column:
     """Distinct tokens in order of first appearance, CJK as bigrams alone (a run of one stands for itself)."""
     low = F.lower(text_of(text))
-    latin = F.regexp_extract_all(low, F.lit(r"([a-z]+\d*|\d+(?:\.\d+)?%?)"), F.lit(1))
-    runs = F.regexp_extract_all(low, F.lit(r"([一-鿿]+)"), F.lit(1))
+    latin = F.regexp_extract_all(low, F.lit(f"({LATIN_TOKEN})"), F.lit(1))
+    runs = F.regexp_extract_all(low, F.lit(f"({CJK_RUN})"), F.lit(1))
 
     def pairs(run: Column) -> Column:
         n = F.char_length(run)
@@ -101,11 +108,11 @@ def in_domain(url: Column, domain: str) -> Column:
 
 def clean_course_name(name: Column) -> Column:
     """Without a leading [A1] tag, an English tail, spaces between CJK characters and stray edge marks."""
-    out = F.trim(F.regexp_replace(F.trim(text_of(name)), r"^\[[A-Za-z]\d+\]", ""))
-    out = F.element_at(F.split(out, r"\s+[A-Z][A-Za-z]{2,}(?:\s|$)", 2), 1)
-    out = F.regexp_replace(out, r"(?<=[一-鿿])\s+(?=[一-鿿])", "")
-    out = F.regexp_replace(out, r"(?<=[一-鿿）)])\s+[A-Za-z](?:\s+[A-Za-z]{1,3})?$", "")
-    return F.btrim(F.regexp_replace(out, r"\s+", " "), F.lit(" |，,;；"))
+    out = F.trim(F.regexp_replace(F.trim(text_of(name)), COURSE_TAG, ""))
+    out = F.element_at(F.split(out, ENGLISH_TAIL, 2), 1)
+    out = F.regexp_replace(out, INNER_SPACE, "")
+    out = F.regexp_replace(out, LETTER_TAIL, "")
+    return F.btrim(F.regexp_replace(out, r"\s+", " "), F.lit(COURSE_EDGES))
 
 
 #: Topics by the terms that name them, first match first.
