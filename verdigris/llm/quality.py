@@ -35,6 +35,7 @@ GRIDS = {
     "bang_ratio": tuple(i / 20 for i in range(1, 20)),
     "word_length": tuple(i / 2 for i in range(10, 41)),
 }
+MEASURED = frozenset({"n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", *GRIDS})
 #: Bits that hold a word's position beside the hash of the window that begins there.
 _POS_BITS = 24
 _POS_MASK = (1 << _POS_BITS) - 1
@@ -91,8 +92,7 @@ def measured(docs: DataFrame, text_col: str = "text", keep_text: bool = False) -
     A null or empty text has no words; every count is then 0 and base_failed true.
     Columns of these names are replaced; the text is dropped unless keep_text.
     """
-    made = {"n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", *GRIDS}
-    own = [c for c in docs.columns if c not in made and (keep_text or c != text_col)]
+    own = [c for c in docs.columns if c not in MEASURED and (keep_text or c != text_col)]
     text = whole(F.col(text_col))
     a = docs.select(
         *own,
@@ -211,12 +211,15 @@ def _rejected(rules: dict[str | None, dict[str, float]], stratum: str) -> Column
 def filter_quality(docs: DataFrame, labels: DataFrame, stratum: str = "lang", text_col: str = "text") -> DataFrame:
     """The rows of docs that judged() keeps, whole and with their own columns.
 
-    The features are measured twice, once for the cutoffs and once beside the text,
-    so that no text is joined or shuffled.
+    Rows and features are written together before the filter: it would otherwise be
+    pushed below the feature columns, which then stand within one another's lambdas
+    and are computed again for every element.
     """
-    id_and_stratum = docs.select(*dict.fromkeys(["doc_id", stratum, text_col]))
-    rules = cutoffs(written(measured(id_and_stratum, text_col), "quality-features"), labels, stratum)
-    return measured(docs, text_col, keep_text=True).where(~F.col("base_failed") & ~_rejected(rules, stratum)).select(*docs.columns)
+    aside = {c: f"_own_{c}" for c in docs.columns if c in MEASURED}
+    rows = written(measured(docs.withColumnsRenamed(aside), text_col, keep_text=True), "quality-rows")
+    rules = cutoffs(rows.drop(text_col), labels, stratum)
+    kept = rows.where(~F.col("base_failed") & ~_rejected(rules, stratum))
+    return kept.select(*[F.col(aside.get(c, c)).alias(c) for c in docs.columns])
 
 
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
