@@ -313,13 +313,13 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
         copy = F.col("_first").isNotNull() & (order != F.col("_first"))
     else:
         copy = F.lit(False)
-    joined = rows.join(found.select("_t", "n_removed", "n_spans", "kept"), "_t", "left")
+    joined = rows.join(found.select("_t", F.col("n_removed").alias("_gone"), F.col("n_spans").alias("_runs"), F.col("kept").alias("_rest")), "_t", "left")
     size = F.octet_length(whole(F.col(text_col))).cast("bigint")
-    kept = F.when(copy, F.lit("")).when(F.col("kept").isNull(), whole(F.col(text_col))).otherwise(F.col("kept"))
+    kept = F.when(copy, F.lit("")).when(F.col("_rest").isNull(), whole(F.col(text_col))).otherwise(F.col("_rest"))
     return joined.select(
         *[kept.alias(c) if c == text_col else F.col(c) for c in docs.columns],
-        F.when(copy, size).otherwise(F.coalesce("n_removed", F.lit(0).cast("bigint"))).alias("_n_removed"),
-        F.when(copy, F.lit(1).cast("bigint")).otherwise(F.coalesce("n_spans", F.lit(0).cast("bigint"))).alias("_n_spans"),
+        F.when(copy, size).otherwise(F.coalesce("_gone", F.lit(0).cast("bigint"))).alias("_n_removed"),
+        F.when(copy, F.lit(1).cast("bigint")).otherwise(F.coalesce("_runs", F.lit(0).cast("bigint"))).alias("_n_spans"),
     )
 
 
