@@ -8,7 +8,7 @@ def row(spark, *columns):
 
 
 def test_questions(spark):
-    q = F.lit("CS专业23级  学份多少")
+    q = F.lit("23级CS  学份多少")
     r = row(
         spark,
         Q.rewritten(q),
@@ -18,7 +18,7 @@ def test_questions(spark):
         Q.cohort_covered(F.lit("2023级推免"), F.array(F.lit("2023"))),
         Q.cohort_covered(F.lit("2023级作息"), F.array(F.lit("2022"))),
     )
-    assert tuple(r) == ("计算机科学与技术专业2023级 学分多少", "2023级人工智能专业", ["不及格", "重修", "推免", "推荐免试"], False, True, True)
+    assert tuple(r) == ("2023级计算机科学与技术专业 学分多少", "2023级人工智能专业", ["不及格", "重修", "推免", "推荐免试"], False, True, True)
 
 
 def test_sentences(spark):

@@ -48,7 +48,7 @@ COHORT = r"(?<!\d)((?:19|20)\d{2})\s*级"
 MARKER = r"\[\d+\]"
 ADVICE_START = r"^(?:建议咨询|仅供参考|以下条款仅供参考)"
 INTRO_END = r"(?:如下|如下所示)$"
-HEADING_AHEAD = r"(?<=\S)(?=第[一二三四五六七八九十百零〇\d]+[条章节]\s)"
+HEADING_AHEAD = r"(?<=\S)[ \t]*(?=第[一二三四五六七八九十百零〇\d]+[条章节]\s)"
 
 
 def rewritten(question: Column) -> Column:
