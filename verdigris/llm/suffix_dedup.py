@@ -260,6 +260,7 @@ def removals(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *,
     texts = docs.select(text_digest(text_col).alias("_t"), F.coalesce(F.col(id_col).cast("bigint"), F.lit(-(2**63))).alias("_order"), whole(F.col(text_col)).alias("_text")).where(F.octet_length("_text") >= min_bytes)
     marked = texts.mapInArrow(lambda it: _mark(it, min_bytes), "_t binary, _order bigint, at array<bigint>, n array<int>, key array<bigint>, h array<bigint>, again array<boolean>")
     each = marked.groupBy("_t").agg(F.min("_order").alias("_order"), F.count(F.lit(1)).alias("copies"), F.first(F.arrays_zip("at", "n", "key", "h", "again")).alias("b"))
+    each = written(each, "suffix-marks")  # read twice below; two plans with other columns would hash the texts twice
     blocks = each.select("_t", "_order", "copies", F.inline("b"))
     shared = blocks.groupBy("key").agg(F.sum("copies").alias("c"), F.max("again").alias("a")).where((F.col("c") > 1) | F.col("a")).select("key")
     cand = written(blocks.join(shared, "key", "left_semi"), "suffix-blocks")
