@@ -43,15 +43,20 @@ def shared_dir(spark: SparkSession) -> str:
     return found
 
 
-_written: list[tuple[SparkSession, str]] = []
+_written: dict[str, SparkSession] = {}
+_scopes: list[list[str]] = []
+
+
+def _delete(path: str) -> None:
+    spark = _written.pop(path)
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
 def _drop_written() -> None:
-    for spark, path in _written:
+    for path in [*_written]:
         try:
-            jvm = spark.sparkContext._jvm
-            where = jvm.org.apache.hadoop.fs.Path(path)
-            where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+            _delete(path)
         except Exception:  # noqa: BLE001  the session may be gone; its folder goes with it
             return
 
@@ -59,9 +64,32 @@ def _drop_written() -> None:
 atexit.register(_drop_written)
 
 
+class Scope:
+    """Intermediate tables that one step writes. begin() deletes those of the step before, whose result has been written by then."""
+
+    def __init__(self) -> None:
+        self.paths: list[str] = []
+
+    def begin(self) -> Scope:
+        for path in self.paths:
+            if path in _written:
+                _delete(path)
+        self.paths = []
+        return self
+
+    def __enter__(self) -> Scope:
+        _scopes.append(self.paths)
+        return self
+
+    def __exit__(self, *_) -> None:
+        _scopes.pop()
+
+
 def new_path(spark: SparkSession, label: str) -> str:
     path = f"{shared_dir(spark)}/verdigris/{label}-{uuid.uuid4().hex}"
-    _written.append((spark, path))
+    _written[path] = spark
+    if _scopes:
+        _scopes[-1].append(path)
     return path
 
 
