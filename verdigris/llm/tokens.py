@@ -8,31 +8,39 @@ those of the library. All other texts go through the library whole.
 from __future__ import annotations
 
 import re
+import struct
 
 #: Characters for which NFC changes nothing and letters, digits and marks are known: ASCII, Latin-1 and Latin Extended letters, common punctuation.
 _KNOWN = re.compile(r"[\t\n\r\x20-\x7e¡-§©«¬®°±¶·»¿-ķĹ-ňŊ-ž‐-‣…‰-›€™]*")
 #: The tokenizer's split, for lower-cased text of those ranges.
 _WORDS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ƀ]+|[0-9]|[^\sa-zß-öø-ƀ0-9]+")
-#: Words kept by a Python worker, about 150 bytes each.
-CACHE_WORDS = 600_000
+#: Words kept by a Python worker in each of two generations, about 200 bytes each.
+CACHE_WORDS = 700_000
+_PRINTED = [*range(33, 127), *range(161, 173), *range(174, 256)]
+_OTHERS = [b for b in range(256) if b not in _PRINTED]
+#: How byte-level vocabularies spell bytes: printable ones as themselves, the others from U+0100 on.
+_SPELLED = {b: 256 + i for i, b in enumerate(_OTHERS)}
 
 
 class WordIds:
     """ids_of: the ids of texts as little-endian unsigned 32-bit bytes."""
 
     def __init__(self, vocabulary: str):
-        from tokenizers import Tokenizer, normalizers, pre_tokenizers
+        from tokenizers import Tokenizer
 
         self.whole = Tokenizer.from_file(vocabulary)
         self.whole.encode_special_tokens = True  # their strings in a text are ordinary text
-        self.words = Tokenizer.from_file(vocabulary)
-        self.words.encode_special_tokens = True
-        self.words.normalizer = normalizers.Sequence([])
-        self.words.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+        self.model = self.whole.model
         self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}  # the generation before; words seen again move on
 
-    def _bytes(self, ids: list[int]) -> bytes:
-        return b"".join(i.to_bytes(4, "little") for i in ids)
+    @staticmethod
+    def _bytes(ids: list[int]) -> bytes:
+        return struct.pack(f"<{len(ids)}I", *ids)
+
+    def _word(self, word: str) -> bytes:
+        """The model alone; the vocabulary spells bytes as printable characters."""
+        return self._bytes([t.id for t in self.model.tokenize(word.encode().decode("latin-1").translate(_SPELLED))])
 
     def ids_of(self, text: str) -> bytes:
         if not _KNOWN.fullmatch(text):
@@ -42,15 +50,15 @@ class WordIds:
             return b"".join(map(self.known.__getitem__, found))
         except KeyError:
             pass
-        new = list(dict.fromkeys(w for w in found if w not in self.known))
-        fresh = dict(zip(new, (self._bytes(e.ids) for e in self.words.encode_batch_fast(new, add_special_tokens=False)), strict=True))
+        missing = dict.fromkeys(w for w in found if w not in self.known)
+        fresh = {w: self.older[w] for w in missing if w in self.older}
+        fresh |= {w: self._word(w) for w in missing if w not in fresh}
+        out = b"".join([self.known[w] if w in self.known else fresh[w] for w in found])
         if len(self.known) + len(fresh) > CACHE_WORDS:
-            self.known.clear()
-            fresh |= {w: self._bytes(self.words.encode(w, add_special_tokens=False).ids) for w in set(found) if w not in fresh}
-        if len(fresh) < CACHE_WORDS:
+            self.older, self.known = self.known, {}
+        if len(fresh) <= CACHE_WORDS:
             self.known |= fresh
-            return b"".join(map(self.known.__getitem__, found))
-        return b"".join(map(fresh.__getitem__, found))
+        return out
 
 
 _loaded: dict[str, WordIds] = {}
