@@ -1,3 +1,4 @@
+import hashlib
 import random
 
 import numpy as np
@@ -94,3 +95,41 @@ def test_repeated_rows_keep_one(spark):
     df = spark.createDataFrame([(1, "same text"), (1, "same text"), (None, "same text")], "doc_id long, text string")
     assert sum(r._kept for r in M.near_classes(df).collect()) == 1
     assert M.near_classes(df.limit(0)).count() == 0
+
+
+def test_pairs_in_large_buckets_of_a_template(spark):
+    """Texts that share a template just under the threshold, with pairs over it, in buckets far larger than PIVOTS chunks reach."""
+    rng = random.Random(3)
+    template = [rng.choice(WORDS) for _ in range(900)]
+    new = lambda n: [f"z{rng.random()}" for _ in range(n)]
+    rows = []
+    for _ in range(150):
+        both = new(45)
+        rows += [" ".join(template + both + new(4)) for _ in range(2)]
+    idf = M.inverse_frequencies(*sketch(rows))
+    bags = [M.bag(t, idf) for t in rows]
+    assert M.weighted_jaccard(bags[0], bags[1]) > 0.9 > M.THRESHOLD > M.weighted_jaccard(bags[0], bags[2]) > 0.7
+    df = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+    digest = [hashlib.md5(t.encode()).digest() for t in rows]
+    got = {bytes(r._t): bytes(r.root) for r in M.classes(df, family=6).collect()}
+    assert got == {digest[i]: min(digest[i], digest[i ^ 1]) for i in range(len(rows))}
+
+
+def test_links_across_leaves_sides_and_roots():
+    texts = [" ".join(f"w{i}" for i in range(300)) + f" z{k}" for k in range(4)]
+    idf = np.ones(M.SLOTS)
+    bags = [M.bag(t, idf) for t in texts]
+    sig = M.samples(np.concatenate([b[0] for b in bags]), np.concatenate([b[1] for b in bags]), np.cumsum([0, *(len(b[0]) for b in bags[:-1])]))
+    sigs = [x.tobytes() for x in sig]
+    across = lambda roots, sides: M.links_across(texts, sigs, roots, sides, 0, idf)
+    assert across([b"a", b"b", b"c", b"d"], [-1] * 4) == [(0, 1), (0, 2), (0, 3)]
+    assert across([b"a", b"a", b"c", b"c"], [-1] * 4) == [(0, 2)]
+    assert across([b"a", b"b", b"c", b"d"], [0] * 4) == []
+    assert across([b"a", b"b", b"c", b"d"], [0, 0, 1, 1]) == [(0, 2), (0, 3), (1, 2)]
+
+
+def sketch(rows):
+    slots = np.zeros(M.SLOTS, np.int64)
+    for t in rows:
+        np.add.at(slots, (np.unique(M.shingles(t)) & np.uint64(M.SLOTS - 1)).astype(np.int64), 1)
+    return slots, len(rows)

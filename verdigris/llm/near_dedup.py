@@ -10,9 +10,10 @@ weighted Jaccard similarity. Texts that agree in all samples of a band share a
 bucket. Buckets link to their least member, and the components of these links are
 families; a family is verified in one task, whole texts at hand, each text shipped
 once. Families beyond FAMILY texts are verified bucket by bucket, and a bucket
-beyond that in chunks, each with the same PIVOTS members of the bucket. Verified
-links (weighted Jaccard similarity of THRESHOLD or more) give the classes; pairs
-that are connected already need no check.
+beyond that in chunks, each with the same PIVOTS members of the bucket, which
+connects most of it; what stays apart meets the whole bucket, a pair of chunks at
+a time. Verified links (weighted Jaccard similarity of THRESHOLD or more) give the
+classes; pairs that are connected already need no check.
 """
 
 from __future__ import annotations
@@ -228,6 +229,82 @@ def links_of(texts: list[str], sigs: list[bytes], idf: np.ndarray, threshold: fl
     return out
 
 
+def links_across(texts: list[str], sigs: list[bytes], roots: list[bytes], sides: list[int], band: int, idf: np.ndarray, threshold: float = THRESHOLD) -> list[tuple[int, int]]:
+    """Verified links that connect texts of different roots and sides, or of side -1; pairs that share an earlier band are left to it."""
+    m = len(texts)
+    sig = np.frombuffer(b"".join(sigs), np.int32).reshape(m, SAMPLES)
+    number: dict[bytes, int] = {}
+    parent = [number.setdefault(r, i) for i, r in enumerate(roots)]
+    first, side = np.array(parent), np.array(sides)
+    bags: list = [None] * m
+
+    def root(i: int) -> int:
+        while parent[i] != i:
+            parent[i] = parent[parent[i]]
+            i = parent[i]
+        return i
+
+    def of(i: int):
+        if bags[i] is None:
+            bags[i] = bag(texts[i], idf)
+        return bags[i]
+
+    out = []
+    for i in range(m - 1):
+        apart = np.flatnonzero((first[i + 1 :] != first[i]) & ((side[i + 1 :] != side[i]) | (side[i] < 0))) + i + 1
+        equal = sig[apart] == sig[i]
+        earlier = equal[:, : band * ROWS].reshape(len(apart), band, ROWS).all(axis=2).any(axis=1)
+        for j in apart[(equal.sum(axis=1) >= LEAST_EQUAL) & ~earlier].tolist():
+            if root(i) != root(j) and weighted_jaccard(of(i), of(j)) >= threshold:
+                parent[root(j)] = root(i)
+                out.append((i, j))
+    return out
+
+
+def _verify_across(idf: np.ndarray, threshold: float):
+    def run(group):
+        group = group.sort_by([("unit", "ascending"), ("_t", "ascending")])
+        units, ids, bands = (group.column(c).to_pylist() for c in ("unit", "_t", "band"))
+        columns = [group.column(c).to_pylist() for c in ("_text", "sig", "root", "side")]
+        us, vs, low = [], [], 0
+        for i in range(1, len(units) + 1):
+            if i == len(units) or units[i] != units[low]:
+                for a, b in links_across(*(c[low:i] for c in columns), bands[low], idf, threshold):
+                    us.append(ids[low + a])
+                    vs.append(ids[low + b])
+                low = i
+        return pa.table({"u": pa.array(us, pa.binary()), "v": pa.array(vs, pa.binary())})
+
+    return run
+
+
+def _units_across(large: DataFrame, roots: DataFrame, family: int) -> DataFrame:
+    """(_t, root, band, side, unit) of all pairs of large buckets (_t, band, h) whose texts have different roots (node, root).
+
+    A bucket's largest root is not compared with itself. The other texts, in chunks,
+    meet one another and the chunks of the largest; a unit holds two chunks, about
+    family texts, and a pair of chunks is in one unit.
+    """
+    known = large.join(roots.withColumnRenamed("node", "_t"), "_t", "left").withColumn("root", F.coalesce("root", "_t"))
+    known = written(known.select("_t", "band", "h", "root"), "near-large")
+    counts = known.groupBy("band", "h", "root").agg(F.count(F.lit(1)).alias("k"))
+    heads = counts.groupBy("band", "h").agg(F.max(F.struct("k", "root")).alias("m"), F.sum("k").alias("n")).where("m.k < n")
+    part = max(1, family // 2)
+    chunks = lambda n: F.ceil(n / part).cast("int")
+    heads = heads.select("band", "h", F.col("m.root").alias("head"), chunks(F.col("m.k")).alias("n_head"), chunks(F.col("n") - F.col("m.k")).alias("n_rest"))
+    dealt = known.join(F.broadcast(heads), ["band", "h"])  # at most one row for family rows of a band
+    in_head = F.col("root") == F.col("head")
+    dealt = dealt.withColumn("chunk", F.pmod(F.xxhash64("_t"), F.when(in_head, F.col("n_head")).otherwise(F.col("n_rest"))).cast("int"))
+    own = F.col("chunk")
+    unit = lambda kind, low, high, side: F.struct(F.lit(kind).alias("kind"), low.alias("low"), high.alias("high"), side.alias("side"))
+    upto = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
+    with_rest = F.transform(upto("n_rest"), lambda x: unit(0, F.least(own, x), F.greatest(own, x), F.when(own == x, -1).when(own < x, 0).otherwise(1)))
+    with_head = F.transform(upto("n_head"), lambda x: unit(1, own, x, F.lit(0)))
+    of_head = F.transform(upto("n_rest"), lambda x: unit(1, x, own, F.lit(1)))
+    met = dealt.select("_t", "root", "band", "h", F.inline(F.when(in_head, of_head).otherwise(F.concat(with_rest, with_head))))
+    return met.select("_t", "root", "band", "side", F.xxhash64("band", "h", "kind", "low", "high").alias("unit"))
+
+
 def _verify(idf: np.ndarray, threshold: float):
     def run(group):
         group = group.sort_by([("unit", "ascending"), ("_t", "ascending")])
@@ -260,7 +337,7 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *,
     families = written(families, "near-families")
     big = families.groupBy("root").agg(F.count(F.lit(1)).alias("k")).where(F.col("k") > family).select("root")
     small_units = families.join(big, "root", "left_anti").select(F.col("node").alias("_t"), F.xxhash64("root").alias("unit"))
-    # large families: bucket by bucket, large buckets in chunks that share their pivots
+    # large families: bucket by bucket, large buckets first in chunks that share their pivots
     in_big = members.join(families.join(big, "root", "left_semi").select(F.col("node").alias("_t")), "_t", "left_semi")
     chunks = F.ceil(F.col("size") / family).cast("int")
     dealt = in_big.select("_t", "band", "h", chunks.alias("chunks"), F.pmod(F.xxhash64("_t"), chunks).cast("int").alias("chunk"))
@@ -276,7 +353,16 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *,
     groups = max(1, -(-size // GROUP_BYTES))
     placed = held.select("_t", "_text", "sig", F.explode("units").alias("unit"))
     links = placed.groupBy(F.pmod("unit", F.lit(groups)).alias("group")).applyInArrow(_verify(idf, threshold), "u binary, v binary")
-    return components(written(links, "near-links")).select(F.col("node").alias("_t"), "root")
+    roots = components(written(links, "near-links"))
+    large = in_big.where(F.col("size") > family).select("_t", "band", "h")
+    if not large.isEmpty():
+        across = written(_units_across(large, roots, family), "near-across")
+        met = held.select("_t", "_text", "sig").join(across, "_t")
+        size = met.agg(F.sum(F.octet_length("_text").cast("bigint"))).first()[0] or 0
+        groups = max(1, -(-size // GROUP_BYTES))
+        more = met.groupBy(F.pmod("unit", F.lit(groups)).alias("group")).applyInArrow(_verify_across(idf, threshold), "u binary, v binary")
+        roots = components(written(roots.select(F.col("node").alias("u"), F.col("root").alias("v")).unionByName(more), "near-all-links"))
+    return roots.select(F.col("node").alias("_t"), "root")
 
 
 def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, threshold: float = THRESHOLD) -> DataFrame:
