@@ -58,8 +58,13 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 @_stage
 def suffix_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each passage of 400 bytes or more that repeats, the first copy stays."""
-    return _documents(dedup_substrings(docs))
+    """Of each passage of over 50 words, and then of 400 bytes or more, that repeats, the first copy stays."""
+    with Scope() as tables:
+        rest = _documents(dedup_substrings(docs, min_words=51))
+        with _scope:
+            rest = written(rest, "pipeline-long-passages")
+    tables.begin()
+    return _documents(dedup_substrings(rest))
 
 
 @_stage

@@ -25,3 +25,18 @@ def test_stages(spark, tmp_path):
 def test_names():
     assert [n for n, _ in P.STAGES] == ["quality rules", "line dedup", "near dedup", "suffix dedup", "packing"]
     assert P.ORACLE_SQL is None
+
+
+def test_passages_of_over_50_words(spark):
+    """Repeats of 51 to 65 words go however few bytes they have, as do shorter ones of 400 bytes; 50 short words stay."""
+    words = lambda tag, n: [f"{tag}{i}" for i in range(n)]
+    long = ["l" * 40 + str(i) for i in range(11)]
+    passages = {n: words(f"p{n}x", n) for n in (50, 51, 55, 60, 65)} | {0: long}
+    rows, want = [], {}
+    for n, passage in passages.items():
+        for copy in range(2):
+            own = [[f"{copy}{w}{copy}" for w in words(f"{side}{n}x", 60)] for side in "oe"]
+            want[len(rows)] = "".join([*own[0], *(passage if copy == 0 or n == 50 else []), *own[1]])
+            rows.append((len(rows), " ".join([*own[0], *passage, *own[1]]), "en", "s", 0))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    assert {r.doc_id: "".join(r.text.split()) for r in P.suffix_dedup(spark, docs, SMALL).collect()} == want

@@ -83,3 +83,35 @@ def test_other_columns_and_empty_frames(spark):
     rows = M.dedup_substrings(df).collect()
     assert sorted(r.n_removed for r in rows) == [1, 2] and sorted(len(r.text) for r in rows)[0] == 0
     assert M.dedup_substrings(df.limit(0)).count() == 0
+
+
+def brute_words(texts, size):
+    """The words that stay of each text, of equal runs of size words the first."""
+    met, out = set(), []
+    for words in ((t or "").split() for t in texts):
+        gone = [False] * len(words)
+        for i in range(len(words) - size + 1):
+            w = tuple(words[i : i + size])
+            if w in met:
+                gone[i : i + size] = [True] * size
+            met.add(w)
+        out.append([w for w, g in zip(words, gone, strict=True) if not g])
+    return out
+
+
+@pytest.mark.parametrize("hot", [2_000, 2])
+def test_runs_of_words_against_brute_force(spark, monkeypatch, hot):
+    monkeypatch.setattr(M, "HOT_BLOCKS", hot)
+    rng = random.Random(6)
+    new = lambda n: [rng.choice("aé") + str(rng.randrange(10**rng.choice((1, 5)))) for _ in range(n)]
+    shared = [new(n) for n in (50, 51, 52, 58, 65, 200)]
+    texts = [None, "", "a " * 300, "a b " * 60, " ".join(new(50))]
+    for _ in range(25):
+        x = new(rng.randint(0, 70))
+        for _ in range(rng.randint(0, 3)):
+            x += rng.choice(shared) + new(rng.randint(0, 70))
+        texts.append(rng.choice((" ", "\n", " \t")).join(x))
+    texts += [texts[9], " ".join(shared[3]), "x " + "\n".join(shared[3]) + " y", texts[4]]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.text.split() for r in M.dedup_substrings(df, min_words=51).collect()}
+    assert got == dict(enumerate(brute_words(texts, 51)))

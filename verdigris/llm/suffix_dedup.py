@@ -16,13 +16,17 @@ but the last. A key with too many distinct blocks for one bucket (the edges of a
 passage that a large share of all documents holds) is compared window by window,
 by 128-bit digests that are counted before they are shuffled.
 
-Texts of fewer than min_bytes bytes lose nothing. Repeated rows and copies of a
+With min_words, all of this is done over words, each coded as a 64-bit hash, so
+that windows of that many words are compared whatever their bytes.
+
+Texts of fewer than min_bytes bytes, or min_words words, lose nothing. Repeated rows and copies of a
 text share one text digest, so a hot text costs one row for each task.
 """
 
 from __future__ import annotations
 
 import hashlib
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,11 +36,13 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..shipping import ship
-from .common import table, whole, written
+from .common import WORD_CLASS, table, whole, written
 
 MIN_BYTES = 400
 #: Bytes of the k-grams that decide a window's key.
 GRAM = 32
+#: Words of those that decide a window of words' key.
+WORD_GRAM = 8
 #: Window starts that are hashed at once.
 SEGMENT = 1 << 20
 #: Bytes of block text that a suffix order is built over.
@@ -48,11 +54,22 @@ _rng = np.random.default_rng(20_240_229)
 _BYTE = _rng.integers(0, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 _MIX = np.uint64(0xD6E8FEB86659FD93)
+_WORD = re.compile(WORD_CLASS.encode())
+
+
+def _coded(text: str, words: bool) -> bytes:
+    """The text's bytes, or for each of its words eight bytes of hash."""
+    data = text.encode()
+    return np.fromiter(map(xxhash.xxh3_64_intdigest, _WORD.findall(data)), np.uint64).tobytes() if words else data
+
+
+def _units(coded: bytes, words: bool) -> np.ndarray:
+    return np.frombuffer(coded, np.uint64 if words else np.uint8)
 
 
 def _gram_hashes(data: np.ndarray, gram: int) -> np.ndarray:
-    """A 64-bit hash of the gram bytes from each position; gram is a power of two."""
-    h = _BYTE[data]
+    """A 64-bit hash of the gram bytes (or coded words) from each position; gram is a power of two."""
+    h = _BYTE[data] if data.dtype == np.uint8 else data
     step = 1
     while step < gram:
         h = h[:-step] * _ODD + (h[step:] ^ (h[step:] >> np.uint64(29)))
@@ -73,11 +90,14 @@ def _sliding(h: np.ndarray, width: int, pick) -> np.ndarray:
     return pick(h[:-rest], h[rest:]) if rest else h
 
 
-def blocks_of(text: bytes, min_bytes: int = MIN_BYTES, gram: int = GRAM) -> tuple[list[int], list[int], list[int], list[int], list[bool]]:
-    """Starts, numbers of windows, keys, content digests and whether a key's k-gram recurs within the text."""
+def blocks_of(text: bytes, min_bytes: int = MIN_BYTES, gram: int = GRAM, words: bool = False) -> tuple[list[int], list[int], list[int], list[int], list[bool]]:
+    """Starts, numbers of windows, keys, content digests and whether a key's k-gram recurs within the text.
+
+    With words, text is coded and all places and sizes count words.
+    """
     out: tuple[list, list, list, list, list] = ([], [], [], [], [])
-    windows, width = len(text) - min_bytes + 1, min_bytes - gram + 1
-    data = np.frombuffer(text, np.uint8)
+    data, unit = _units(text, words), 8 if words else 1
+    windows, width = len(data) - min_bytes + 1, min_bytes - gram + 1
     for low in range(0, max(windows, 0), SEGMENT):
         count = min(SEGMENT, windows - low)
         h = _gram_hashes(data[low : low + count + min_bytes - 1], gram)
@@ -92,14 +112,14 @@ def blocks_of(text: bytes, min_bytes: int = MIN_BYTES, gram: int = GRAM) -> tupl
         out[0].extend((edges + low).tolist())
         out[1].extend(sizes.tolist())
         out[2].extend(keys.view(np.int64).tolist())
-        out[3].extend(xxhash.xxh3_64_intdigest(text[s : s + n + min_bytes - 1]) - (1 << 63) for s, n in zip((edges + low).tolist(), sizes.tolist(), strict=True))
+        out[3].extend(xxhash.xxh3_64_intdigest(text[s * unit : (s + n + min_bytes - 1) * unit]) - (1 << 63) for s, n in zip((edges + low).tolist(), sizes.tolist(), strict=True))
         out[4].extend(again.tolist())
     return out
 
 
-def _mark(batches: Iterator[pa.RecordBatch], min_bytes: int) -> Iterator[pa.RecordBatch]:
+def _mark(batches: Iterator[pa.RecordBatch], min_bytes: int, words: bool) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        rows = [blocks_of(x.encode(), min_bytes) for x in batch.column("_text").to_pylist()]
+        rows = [blocks_of(_coded(x, words), min_bytes, WORD_GRAM if words else GRAM, words) for x in batch.column("_text").to_pylist()]
         columns = [pa.array([r[i] for r in rows], pa.list_(kind)) for i, kind in enumerate((pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.bool_()))]
         yield pa.RecordBatch.from_arrays([batch.column("_t"), batch.column("_order"), *columns], ["_t", "_order", "at", "n", "key", "h", "again"])
 
@@ -119,18 +139,20 @@ def _ranked(key: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 def suffix_groups(data: np.ndarray, starts: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
     """Places in starts in suffix order (by the first length bytes, then position) of those that share these bytes with another; their groups.
 
-    Every start has length bytes after it. Prefix doubling: ranks by 8 bytes, then
-    16, 32 and so on; suffixes that are alone keep their rank and are not sorted again.
+    Every start has length bytes after it. Prefix doubling: ranks by 8 bytes (or one
+    coded word), then twice as many and so on; suffixes that are alone keep their rank and are not sorted again.
     """
-    size = len(data)
-    padded = np.concatenate((data, np.zeros(length + 8, np.uint8)))
-    packed = np.zeros(size, np.uint64)
-    for i in range(min(8, length)):
-        packed = (packed << np.uint64(8)) | padded[i : i + size].astype(np.uint64)
+    size, done = len(data), 1
+    packed = data
+    if data.dtype == np.uint8:
+        done = min(8, length)
+        padded = np.concatenate((data, np.zeros(length + 8, np.uint8)))
+        packed = np.zeros(size, np.uint64)
+        for i in range(done):
+            packed = (packed << np.uint64(8)) | padded[i : i + size].astype(np.uint64)
     _, rank, many = _ranked(packed)
     rank = np.concatenate((rank, np.full(length + 8, -1, np.int64)))  # ranks past the end: before all others
     active = np.flatnonzero(many > 1)
-    done = min(8, length)
     while done * 2 <= length and len(active):
         key = rank[active] * (size + 1) + rank[active + done] + 1
         order, group, many = _ranked(key)
@@ -173,13 +195,13 @@ def _runs(flags: np.ndarray) -> list[tuple[int, int]]:
     return list(zip(edges[::2].tolist(), edges[1::2].tolist(), strict=True))
 
 
-def _order_bucket(group: pa.Table, min_bytes: int, first: bool) -> pa.Table:
+def _order_bucket(group: pa.Table, min_bytes: int, first: bool, words: bool) -> pa.Table:
     """key, h and the runs of windows [a, b) that have a partner (an earlier one, to keep the first)."""
     group = group.sort_by([("_order", "ascending"), ("at", "ascending"), ("h", "ascending")])
     texts = group.column("block").to_pylist()
-    data = np.frombuffer(b"".join(texts), np.uint8)
-    offsets = np.cumsum([0, *map(len, texts)])
-    sizes = [len(x) - min_bytes + 1 for x in texts]
+    data, lengths = _units(b"".join(texts), words), [len(x) // (8 if words else 1) for x in texts]
+    offsets = np.cumsum([0, *lengths])
+    sizes = [n - min_bytes + 1 for n in lengths]
     starts = np.concatenate([np.arange(o, o + n) for o, n in zip(offsets[:-1].tolist(), sizes, strict=True)]) if texts else np.zeros(0, np.int64)
     earlier, later = factors(data, starts, min_bytes)
     flags = earlier if first else earlier | later
@@ -189,32 +211,32 @@ def _order_bucket(group: pa.Table, min_bytes: int, first: bool) -> pa.Table:
     return pa.table({"key": group.column("key"), "h": group.column("h"), "runs": pa.array([[{"a": a, "b": b} for a, b in x] for x in found], kind)})
 
 
-def _cut_blocks(batches: Iterator[pa.RecordBatch], min_bytes: int) -> Iterator[pa.RecordBatch]:
+def _cut_blocks(batches: Iterator[pa.RecordBatch], min_bytes: int, words: bool) -> Iterator[pa.RecordBatch]:
     """The texts of the blocks that are compared in suffix order."""
-    names = ["key", "h", "_order", "at", "block"]
+    names, unit = ["key", "h", "_order", "at", "block"], 8 if words else 1
     for batch in batches:
         out: list[list] = [[], [], [], [], []]
         for text, order, cand in zip(*(batch.column(c).to_pylist() for c in ("_text", "_order", "cand")), strict=True):
-            data = text.encode()
+            data = _coded(text, words)
             for x in cand:
                 if x["role"] == 1:
-                    for to, v in zip(out, (x["key"], x["h"], order, x["at"], data[x["at"] : x["at"] + x["n"] + min_bytes - 1]), strict=True):
+                    for to, v in zip(out, (x["key"], x["h"], order, x["at"], data[x["at"] * unit : (x["at"] + x["n"] + min_bytes - 1) * unit]), strict=True):
                         to.append(v)
         yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(out, (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary()), strict=True)], names)
 
 
-def _cut_windows(batches: Iterator[pa.RecordBatch], min_bytes: int) -> Iterator[pa.RecordBatch]:
+def _cut_windows(batches: Iterator[pa.RecordBatch], min_bytes: int, words: bool) -> Iterator[pa.RecordBatch]:
     """The windows of hot keys' blocks, as digests."""
-    names = ["key", "h", "_order", "at", "off", "digest"]
+    names, unit = ["key", "h", "_order", "at", "off", "digest"], 8 if words else 1
     kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary())
     for batch in batches:
         for text, order, cand in zip(*(batch.column(c).to_pylist() for c in ("_text", "_order", "cand")), strict=True):
-            data = text.encode()
+            data = _coded(text, words)
             for x in cand:
                 if x["role"] == 2:
                     for low in range(0, x["n"], 65_536):
                         count = min(65_536, x["n"] - low)
-                        digests = [xxhash.xxh3_128_digest(data[s : s + min_bytes]) for s in range(x["at"] + low, x["at"] + low + count)]
+                        digests = [xxhash.xxh3_128_digest(data[s * unit : (s + min_bytes) * unit]) for s in range(x["at"] + low, x["at"] + low + count)]
                         same = [[v] * count for v in (x["key"], x["h"], order, x["at"])]
                         yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip((*same, range(low, low + count), digests), kinds, strict=True)], names)
 
@@ -229,12 +251,15 @@ def _join_runs(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
-def _remove(batches: Iterator[pa.RecordBatch], min_bytes: int) -> Iterator[pa.RecordBatch]:
+def _remove(batches: Iterator[pa.RecordBatch], min_bytes: int, words: bool) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         removed, spans, kept, digests = [], [], [], []
         for text, marks in zip(batch.column("_text").to_pylist(), batch.column("marks").to_pylist(), strict=True):
             data = text.encode()
             runs = _join_runs([(x["at"] + r["a"], x["at"] + r["b"] + min_bytes - 1) for x in marks for r in x["runs"]])
+            if words:
+                edges = [w.span() for w in _WORD.finditer(data)]
+                runs = [(edges[a][0], edges[b - 1][1]) for a, b in runs]
             rest = b"".join(data[a:b] for a, b in zip([0, *(r[1] for r in runs)], [*(r[0] for r in runs), len(data)], strict=True))
             removed.append(len(data) - len(rest))
             spans.append(len(runs))
@@ -250,15 +275,22 @@ def text_digest(text_col: str = "text") -> Column:
     return F.unhex(F.md5(whole(F.col(text_col))))
 
 
-def removals(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, min_bytes: int = MIN_BYTES, keep_first: bool = False) -> DataFrame:
+def _long_enough(text_col: str, min_bytes: int, min_words: int | None) -> Column:
+    text = whole(F.col(text_col))
+    return F.octet_length(text) >= min_bytes if min_words is None else F.regexp_count(text, F.lit(WORD_CLASS)) >= min_words
+
+
+def removals(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, min_bytes: int = MIN_BYTES, keep_first: bool = False, min_words: int | None = None) -> DataFrame:
     """(_t, n_removed, n_spans, kept, kept_sha256) for each distinct text that may lose bytes.
 
     keep_first: only windows with an earlier equal one go, in order of the least id
-    of a text, then place; copies of a text after the first go whole (see dedup_substrings).
+    of a text, then place; copies of a text after the first go whole (see dedup_substrings). min_words: windows
+    of so many words (over WORD_GRAM) instead of min_bytes bytes.
     """
     ship(docs.sparkSession)
-    texts = docs.select(text_digest(text_col).alias("_t"), F.coalesce(F.col(id_col).cast("bigint"), F.lit(-(2**63))).alias("_order"), whole(F.col(text_col)).alias("_text")).where(F.octet_length("_text") >= min_bytes)
-    marked = texts.mapInArrow(lambda it: _mark(it, min_bytes), "_t binary, _order bigint, at array<bigint>, n array<int>, key array<bigint>, h array<bigint>, again array<boolean>")
+    words, least = min_words is not None, min_bytes if min_words is None else min_words
+    texts = docs.select(text_digest(text_col).alias("_t"), F.coalesce(F.col(id_col).cast("bigint"), F.lit(-(2**63))).alias("_order"), whole(F.col(text_col)).alias("_text")).where(_long_enough("_text", min_bytes, min_words))
+    marked = texts.mapInArrow(lambda it: _mark(it, least, words), "_t binary, _order bigint, at array<bigint>, n array<int>, key array<bigint>, h array<bigint>, again array<boolean>")
     each = marked.groupBy("_t").agg(F.min("_order").alias("_order"), F.count(F.lit(1)).alias("copies"), F.first(F.arrays_zip("at", "n", "key", "h", "again")).alias("b"))
     each = written(each, "suffix-marks")  # read twice below; two plans with other columns would hash the texts twice
     blocks = each.select("_t", "_order", "copies", F.inline("b"))
@@ -276,11 +308,11 @@ def removals(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *,
     one_each = texts.groupBy("_t").agg(F.first("_text").alias("_text"))  # one of each text from every task, before the shuffle
     held = written(one_each.join(lists, "_t"), "suffix-texts")
     # bounded buckets by key
-    size = held.select(F.explode("cand").alias("x")).where("x.role = 1").agg(F.sum(F.col("x.n") + min_bytes - 1)).first()[0] or 0
-    buckets = max(1, -(-size // BUCKET_BYTES))
-    cut = held.where(F.exists("cand", lambda x: x["role"] == 1)).select("_text", "_order", "cand").mapInArrow(lambda it: _cut_blocks(it, min_bytes), "key bigint, h bigint, _order bigint, at bigint, block binary")
-    ordered = cut.groupBy(F.pmod(F.xxhash64("key"), F.lit(buckets)).alias("bucket")).applyInArrow(lambda g: _order_bucket(g, min_bytes, keep_first), "key bigint, h bigint, runs array<struct<a:int,b:int>>")
-    hot = held.where(F.exists("cand", lambda x: x["role"] == 2)).select("_text", "_order", "cand").mapInArrow(lambda it: _cut_windows(it, min_bytes), "key bigint, h bigint, _order bigint, at bigint, off int, digest binary")
+    size = held.select(F.explode("cand").alias("x")).where("x.role = 1").agg(F.sum(F.col("x.n") + least - 1)).first()[0] or 0
+    buckets = max(1, -(-size * (8 if words else 1) // BUCKET_BYTES))
+    cut = held.where(F.exists("cand", lambda x: x["role"] == 1)).select("_text", "_order", "cand").mapInArrow(lambda it: _cut_blocks(it, least, words), "key bigint, h bigint, _order bigint, at bigint, block binary")
+    ordered = cut.groupBy(F.pmod(F.xxhash64("key"), F.lit(buckets)).alias("bucket")).applyInArrow(lambda g: _order_bucket(g, least, keep_first, words), "key bigint, h bigint, runs array<struct<a:int,b:int>>")
+    hot = held.where(F.exists("cand", lambda x: x["role"] == 2)).select("_text", "_order", "cand").mapInArrow(lambda it: _cut_windows(it, least, words), "key bigint, h bigint, _order bigint, at bigint, off int, digest binary")
     hot = written(hot, "suffix-hot")
     again = hot.groupBy("digest").agg(F.count(F.lit(1)).alias("c"), F.min(F.struct("_order", "at", "h", "off")).alias("rep")).where("c > 1")
     met = hot.join(again, "digest")
@@ -292,12 +324,15 @@ def removals(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *,
     whole_run = F.array(F.struct(F.lit(0).alias("a"), F.col("n").alias("b")))
     marks = places.withColumn("runs", F.when(F.col("gone"), whole_run).otherwise(F.col("runs"))).where(F.col("runs").isNotNull())
     marks = marks.groupBy("_t").agg(F.collect_list(F.struct("at", "runs")).alias("marks"))
-    return held.select("_t", "_text").join(marks, "_t").mapInArrow(lambda it: _remove(it, min_bytes), "_t binary, n_removed bigint, n_spans bigint, kept string, kept_sha256 string")
+    return held.select("_t", "_text").join(marks, "_t").mapInArrow(lambda it: _remove(it, least, words), "_t binary, n_removed bigint, n_spans bigint, kept string, kept_sha256 string")
 
 
-def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, min_bytes: int = MIN_BYTES, keep_first: bool = True) -> DataFrame:
+def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, min_bytes: int = MIN_BYTES, keep_first: bool = True, min_words: int | None = None) -> DataFrame:
     """Every row with its text less the bytes under a min_bytes string that also starts elsewhere, and _n_removed, _n_spans.
 
+    min_words: less the words under a run of so many words that also starts elsewhere,
+    whatever white space is between them; the white space around a span stays.
+
     keep_first: of equal strings the first stays (by least id of the text, then
     place), and of equal texts the row with the least id; otherwise all go. Spans
     overlap freely and are judged on the input. A character cut by a span's edge
@@ -305,11 +340,11 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     text count as copies; of these the first by row stays. Other columns pass
     through; a frame without rows gives none.
     """
-    found = removals(docs, id_col, text_col, min_bytes=min_bytes, keep_first=keep_first)
+    found = removals(docs, id_col, text_col, min_bytes=min_bytes, keep_first=keep_first, min_words=min_words)
     rows = docs.withColumn("_t", text_digest(text_col)).withColumn("_row", F.monotonically_increasing_id())
     if keep_first:
         order = F.struct(F.coalesce(F.col(id_col).cast("bigint"), F.lit(-(2**63))).alias("o"), F.col("_row").alias("r"))
-        firsts = rows.where(F.octet_length(whole(F.col(text_col))) >= min_bytes).groupBy("_t").agg(F.min(order).alias("_first"))
+        firsts = rows.where(_long_enough(text_col, min_bytes, min_words)).groupBy("_t").agg(F.min(order).alias("_first"))
         rows = rows.join(firsts, "_t", "left")
         copy = F.col("_first").isNotNull() & (order != F.col("_first"))
     else:
