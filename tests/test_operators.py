@@ -87,6 +87,26 @@ def test_subset_sums_are_closed(spark):
     assert grounding.subset_sums(rows, ["g"], "c").first().sums == [0, 3, 4, 7, 8, 11]
 
 
+def test_subset_sums_in_tenths_without_a_cap(spark):
+    values = {"a": [0.3, 2.7, 0.3, None], "b": [90.0, 90.0, 45.5, 0.0], "c": [None], "d": [-1.5, 2.0]}
+    rows = spark.createDataFrame([(g, x) for g, v in values.items() for x in v], "g string, c double")
+    got = {r.g: r.sums for r in grounding.subset_sums(rows, ["g"], "c", unit=10).collect()}
+    for g, v in values.items():
+        want = {0}
+        for x in v:
+            want |= {s + round(x * 10) for s in want} if x is not None else set()
+        assert got[g] == sorted(want)
+
+
+def test_numeric_closure_takes_every_part(spark):
+    from compare import SMALL
+    from verdigris.plans import registry
+
+    totals = {r.p_brand: r.t for r in spark.read.parquet(f"{SMALL}/part.parquet").groupBy("p_brand").agg(F.sum("p_size").alias("t")).collect()}
+    got = {r.p_brand: r.sums.split(",") for r in registry.QUERIES["numeric_closure"](spark, SMALL).collect()}
+    assert {g: int(s[-1]) for g, s in got.items()} == {g: 5 * t for g, t in totals.items()}
+
+
 def test_split_body_and_table():
     text = "一" * 50 + "。" + "二" * 50 + "。" + "三" * 200
     parts = ingest.split_body(text, 100)

@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.text import token_set
+from ..shipping import ship
 
 MIN_OVERLAP, MIN_COVERAGE = 2, 0.16
 DENSE_THRESHOLD = 0.35
@@ -40,14 +46,37 @@ def binding_violation(quote: Column, text: Column, place: Column, expected: Colu
     )
 
 
-def subset_sums(values: DataFrame, by: list[str], value: str, unit: int = 2, most: int = 400) -> DataFrame:
-    """All sums of subsets of the values, as one array of halves (value * unit) for each group, up to most.
+def _reachable(counts: list[tuple[int, int]]) -> np.ndarray:
+    """Ascending sums of subsets of the values, given as (value, times): bit s of a number for each sum s over the least."""
+    least, bits = sum(x * n for x, n in counts if x < 0), 1
+    for x, n in counts:
+        times = 1
+        while n:
+            step = min(times, n)
+            bits |= bits << abs(x) * step
+            n, times = n - step, times * 2
+    held = np.frombuffer(bits.to_bytes(bits.bit_length() // 8 + 1, "little"), np.uint8)
+    return np.flatnonzero(np.unpackbits(held, bitorder="little")) + least
+
+
+def subset_sums(values: DataFrame, by: list[str], value: str, unit: int = 2) -> DataFrame:
+    """All sums of subsets of the values, as one array of units (value * unit, to the nearest) for each group.
 
-    The state is a set of at most most + 1 numbers, whatever the group's size.
+    The default unit is halves; the reference's closure is over tenths. Nulls don't
+    count. The state is one bit for each unit of the group's own total.
     """
-    listed = values.groupBy(*by).agg(F.array_sort(F.collect_list(F.round(F.col(value) * unit).cast("int"))).alias("_v"))
-    sums = F.aggregate("_v", F.array(F.lit(0)), lambda s, x: F.array_distinct(F.concat(s, F.filter(F.transform(s, lambda y: y + x), lambda y: y <= most))))
-    return listed.select(*by, F.array_sort(sums).alias("sums"))
+    ship(values.sparkSession)
+    each = values.groupBy(*by, F.bround(F.col(value) * unit).cast("bigint").alias("_x")).agg(F.count(F.lit(1)).alias("_n"))
+    counts = each.groupBy(*by).agg(F.collect_list(F.when(F.col("_x").isNotNull(), F.struct("_x", "_n"))).alias("_v"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i, v in enumerate(batch.column("_v").to_pylist()):
+                sums = pa.array([_reachable([(x["_x"], x["_n"]) for x in v])], pa.list_(pa.int64()))
+                yield pa.RecordBatch.from_arrays([*(batch.column(c).slice(i, 1) for c in by), sums], [*by, "sums"])
+
+    shape = type(counts.schema)([counts.schema[c] for c in by]).add("sums", T.ArrayType(T.LongType()))
+    return counts.mapInArrow(run, shape)
 
 
 def evidence_gate(ranked: DataFrame, by: str, score: str, covered: Column) -> DataFrame:

@@ -370,8 +370,8 @@ def binder_violations(spark, d):
 
 @query()
 def numeric_closure(spark, d):
-    v = load(spark, d, "part").where("p_size <= 3").select("p_brand", (F.col("p_size") / 2).alias("credits"))
-    return grounding.subset_sums(v, ["p_brand"], "credits").select("p_brand", F.array_join(F.transform("sums", lambda x: x.cast("string")), ",").alias("sums"))
+    v = load(spark, d, "part").select("p_brand", (F.col("p_size") / 2).alias("credits"))
+    return grounding.subset_sums(v, ["p_brand"], "credits", unit=10).select("p_brand", F.array_join(F.transform("sums", lambda x: x.cast("string")), ",").alias("sums"))
 
 
 # evaluation
