@@ -66,3 +66,12 @@ def test_query(spark):
     assert out.columns == ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"]
     assert "Python" not in out._jdf.queryExecution().toString()
     assert out.where("base_failed and kept").count() == 0
+
+
+def test_texts_of_more_words_than_the_position_bits_hold(spark, monkeypatch):
+    monkeypatch.setattr(M, "_POS_BITS", 4)
+    monkeypatch.setattr(M, "_POS_MASK", 15)
+    rng = random.Random(8)
+    texts = [" ".join(rng.choice("abcd") for _ in range(n)) for n in (10, 17, 18, 19, 20, 60, 300)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert {r.doc_id: r.n_repeat_words for r in M.measured(df).collect()} == {i: brute(t)[4] for i, t in enumerate(texts)}
