@@ -63,3 +63,12 @@ def test_sequences_are_gapless(spark, island):
 
 def test_empty(spark):
     assert M.pack_documents(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_added_tokens_are_the_librarys():
+    from tokenizers import Tokenizer
+
+    w, plain = word_ids(M.default_vocabulary()), Tokenizer.from_file(M.default_vocabulary())
+    assert list(struct.unpack("<3I", w.ids_of("hello <|endoftext|> world"))) == [3306, 49407, 1002]
+    for text in ("hello <|endoftext|> world", "<|startoftext|>a", "a<|endoftext|><|ENDOFTEXT|> b", "<|EndOfText|>", "<| endoftext |>"):
+        assert w.ids_of(text) == b"".join(struct.pack("<I", i) for i in plain.encode(text, add_special_tokens=False).ids), text

@@ -2,7 +2,8 @@
 
 Texts whose characters all lie in the vetted ranges below are normalised and split
 here, and each distinct word is encoded once for each Python worker; the ids are
-those of the library. All other texts go through the library whole.
+those of the library. All other texts, and those that hold an added token of the
+vocabulary, go through the library whole.
 """
 
 from __future__ import annotations
@@ -29,7 +30,8 @@ class WordIds:
         from tokenizers import Tokenizer
 
         self.whole = Tokenizer.from_file(vocabulary)
-        self.whole.encode_special_tokens = True  # their strings in a text are ordinary text
+        added = [t.content.lower() for t in self.whole.get_added_tokens_decoder().values()]
+        self.added = re.compile("|".join(map(re.escape, added)) or r"(?!)")  # the library matches these before it splits
         self.model = self.whole.model
         self.known: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}  # the generation before; words seen again move on
@@ -43,9 +45,10 @@ class WordIds:
         return self._bytes([t.id for t in self.model.tokenize(word.encode().decode("latin-1").translate(_SPELLED))])
 
     def ids_of(self, text: str) -> bytes:
-        if not _KNOWN.fullmatch(text):
+        lower = text.lower()
+        if self.added.search(lower) or not _KNOWN.fullmatch(text):
             return self._bytes(self.whole.encode(text, add_special_tokens=False).ids)
-        found = _WORDS.findall(text.lower())
+        found = _WORDS.findall(lower)
         try:
             return b"".join(map(self.known.__getitem__, found))
         except KeyError:
