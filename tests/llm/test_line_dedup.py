@@ -43,3 +43,32 @@ def test_runs_compact(spark):
 
 def test_empty(spark):
     assert M.dedup_lines(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_runs_outlive_their_session(spark, tmp_path):
+    """Earlier documents count, each batch once, also from a folder read again."""
+    one = spark.createDataFrame([(1, "v\nw"), (2, "v\nx")], "doc_id long, text string")
+    runs = M.LineRuns(spark, folder=str(tmp_path))
+    for _ in range(2):
+        out = M.dedup_lines(one, min_docs=3, runs=runs, name="first")
+        assert sorted(r._n_dropped for r in out.collect()) == [0, 0]
+    again = M.LineRuns(spark, folder=str(tmp_path))
+    assert again.levels == runs.levels and sorted(r.n for r in again.counts().collect()) == [1, 1, 2]
+    more = M.dedup_lines(spark.createDataFrame([(3, "V \ny")], "doc_id long, text string"), min_docs=3, runs=again, name="second")
+    assert more.first().text == "y"
+
+
+def test_clashing_names(spark):
+    df = spark.createDataFrame([(i, "same\nl%d" % i, "a", "b", "c", 1) for i in range(3)], "doc_id long, body string, t string, text string, row string, _n_lines int")
+    rows = M.dedup_lines(df, "body", min_docs=3).collect()
+    assert sorted((r.doc_id, r.body, r.t, r.text, r.row, r._n_lines) for r in rows) == [(i, f"l{i}", "a", "b", "c", 2) for i in range(3)]
+
+
+def test_keys_stay_distinct():
+    """The Latin-1 form keeps what UTF-8 tells apart, in A-Z's case alone alike."""
+    lower = lambda x: x.encode().decode("latin-1").lower()
+    points = [*range(32, 0x3000), *range(0xE000, 0xE800), *range(0x1F300, 0x1F400), *range(0xFFF0, 0x10010)]
+    forms = {}
+    for p in points:
+        forms.setdefault(lower(chr(p)), set()).add(re.sub("[A-Z]", lambda m: m[0].lower(), chr(p)))
+    assert all(len(x) == 1 for x in forms.values())

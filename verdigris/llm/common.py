@@ -3,9 +3,13 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -31,13 +35,27 @@ def ascii_lower(column: Column) -> Column:
     return F.when(F.octet_length(column) == F.char_length(column), F.lower(column)).otherwise(F.translate(column, UPPER, UPPER.lower()))
 
 
+def boxed(df: DataFrame, *without: str) -> Column:
+    """The frame's other columns as one struct, row, so that none clashes with a column made here."""
+    spare = "_"
+    while spare in df.columns:
+        spare += "_"
+    return F.struct(*[F.col(f"`{c}`") for c in df.columns if c not in without], F.lit(0).alias(spare)).alias("row")
+
+
+def unboxed(names: list[str], row: str = "row") -> list[Column]:
+    return [F.col(row)[c].alias(c) for c in names]
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share. One is set only where the session names none."""
+    """The folder that driver and executors share. One is set only where the session names none and all run on one machine."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named
     found = spark.sparkContext.getCheckpointDir()
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="verdigris-"))
         found = spark.sparkContext.getCheckpointDir()
     return found
@@ -102,3 +120,25 @@ def written(df: DataFrame, label: str, partition_by: list[str] | None = None) ->
         writer = writer.partitionBy(*partition_by)
     writer.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def pieces_by_bytes(batch: pa.RecordBatch, column: int | str, most: int) -> Iterator[pa.RecordBatch]:
+    """The batch in slices of one row or more whose strings in column hold at most so many bytes; longer ones stand alone."""
+    sizes = pa.compute.fill_null(pa.compute.binary_length(batch.column(column)), 0).to_pylist()
+    low = total = 0
+    for i, n in enumerate(sizes):
+        if i > low and total + n > most:
+            yield batch.slice(low, i - low)
+            low, total = i, 0
+        total += n
+    if low < batch.num_rows:
+        yield batch.slice(low)
+
+
+def released() -> None:
+    """Gives a Python worker's free memory back to the system; idle workers live on beside the next stage's."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        return

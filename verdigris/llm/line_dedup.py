@@ -5,41 +5,82 @@ with it in one batch, sorted by key. New batches add level-0 runs; as soon as a
 level holds FANOUT runs they merge into one run of the next level. Before a batch
 adds its run, it is merge-anti-joined against the keys that the runs already show
 in enough documents: those are settled and need no further counting.
+
+Every line is trimmed, lower-cased and digested once: the digests of a text's lines
+are written beside the text's own digest, and both the counting and the places of
+the lines that go are read from there.
 """
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import SPACE, ascii_lower, new_path, table, whole, written
+from .common import SPACE, boxed, new_path, table, whole, written
 
 MIN_DOCS = 10
 MIN_CHARS = 1
 BATCHES = 3
 FANOUT = 2
+#: A key's lines are dealt over so many tasks when they meet the frequent keys, so that a line of a third of all documents isn't one task's.
+SALTS = 8
 
 
-def line_key(line: Column) -> Column:
-    return ascii_lower(F.btrim(line, F.lit(SPACE)))
+def _trimmed(line: Column) -> Column:
+    """The line without white space at its ends; most lines have none, which their first and last characters show."""
+    space = lambda x: F.ascii(x).isin(*map(ord, SPACE))
+    return F.when(space(line) | space(F.right(line, F.lit(1))), F.btrim(line, F.lit(SPACE))).otherwise(line)
 
 
-def _digest(line: Column, min_chars: int) -> Column:
-    """16 bytes for a key of min_chars code points or more, else null."""
-    return F.when(F.char_length(F.btrim(line, F.lit(SPACE))) >= min_chars, F.unhex(F.md5(line_key(line))))
+def line_digest(line: Column, min_chars: int = MIN_CHARS) -> Column:
+    """A digest (string) of the line's key; null for a key of fewer than min_chars code points.
+
+    Lower-casing the bytes of the UTF-8 form as Latin-1 letters lower-cases A-Z; it
+    changes lead bytes of two-byte characters as well, into bytes that are told from
+    those of longer characters by the number of bytes that follow, so distinct keys stay distinct.
+    """
+    key = _trimmed(line)
+    ascii_only = F.octet_length(key) == F.char_length(key)
+    lower = F.when(ascii_only, F.lower(key)).otherwise(F.lower(F.decode(F.encode(key, "utf-8"), "iso-8859-1")))
+    return F.when(F.char_length(key) >= min_chars, F.md5(lower))
 
 
 class LineRuns:
-    """Runs of (key binary, n long) in levels, as Parquet in the shared folder."""
+    """Runs of (key binary, n long) in levels, as Parquet in the shared folder, or in folder.
 
-    def __init__(self, spark: SparkSession, fanout: int = FANOUT):
+    With a folder, runs outlive the session: a manifest there names the runs of
+    each level and the batches that they count, and is written after the runs. A
+    batch that is named there already isn't counted again.
+    """
+
+    def __init__(self, spark: SparkSession, fanout: int = FANOUT, folder: str | None = None):
         if fanout < 2:
             raise ValueError("fanout must be 2 or more")
-        self.spark, self.fanout, self.levels = spark, fanout, [[]]
-
-    def _write(self, counts: DataFrame, level: int) -> str:
-        path = new_path(self.spark, f"line-run-l{level}")
-        counts.select("key", "n").repartition("key").sortWithinPartitions("key").write.parquet(path)
+        self.spark, self.fanout, self.folder = spark, fanout, folder
+        self.levels: list[list[str]] = [[]]
+        self.counted: set[str] = set()
+        if folder:
+            lines = self._manifest().collect() if self._exists() else []
+            if lines:
+                state = max((json.loads(r[0]) for r in lines), key=lambda x: x["version"])
+                self.levels, self.counted = state["levels"], set(state["counted"])
+        self.version = len(self.counted)
+
+    def _path(self):
+        return self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.folder}/manifest")
+
+    def _exists(self) -> bool:
+        path = self._path()
+        return path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).exists(path)
+
+    def _manifest(self) -> DataFrame:
+        return self.spark.read.text(f"{self.folder}/manifest")
+
+    def _write(self, counts: DataFrame, level: int, number: int = 0) -> str:
+        path = f"{self.folder}/run-l{level}-{self.version}-{number}" if self.folder else new_path(self.spark, f"line-run-l{level}")
+        counts.select("key", "n").repartition("key").sortWithinPartitions("key").write.mode("overwrite").parquet(path)
         return path
 
     def _read(self, paths: list[str]) -> DataFrame:
@@ -55,62 +96,75 @@ class LineRuns:
     def settled(self, min_docs: int) -> DataFrame:
         return self.counts().where(F.col("n") >= min_docs).select("key")
 
-    def add(self, batch: DataFrame, min_docs: int) -> None:
-        """batch: (key, n), one row for each key."""
+    def add(self, batch: DataFrame, min_docs: int, name: str | None = None) -> None:
+        """batch: (key, n), one row for each key. A name that has been counted is passed over."""
+        if name is not None and name in self.counted:
+            return
         if any(self.levels):
             batch = batch.join(self.settled(min_docs), "key", "left_anti")
-        self.levels[0].append(self._write(batch, 0))
+        self.version += 1
+        levels = [[*x] for x in self.levels]
+        levels[0].append(self._write(batch, 0))
         level = 0
-        while len(self.levels[level]) >= self.fanout:
-            merged = self._read(self.levels[level]).groupBy("key").agg(F.sum("n").alias("n"))
-            if level + 1 == len(self.levels):
-                self.levels.append([])
-            self.levels[level + 1].append(self._write(merged, level + 1))
-            self.levels[level] = []
+        while len(levels[level]) >= self.fanout:
+            merged = self._read(levels[level]).groupBy("key").agg(F.sum("n").alias("n"))
+            if level + 1 == len(levels):
+                levels.append([])
+            levels[level + 1].append(self._write(merged, level + 1))
+            levels[level] = []
             level += 1
+        self.levels = levels
+        self.counted.add(name if name is not None else f"batch {self.version}")
+        if self.folder:
+            state = json.dumps({"version": self.version, "levels": self.levels, "counted": sorted(self.counted)})
+            self.spark.range(1).select(F.lit(state)).coalesce(1).write.mode("append").text(f"{self.folder}/manifest")
 
 
-def _keys(df: DataFrame, text_col: str, min_chars: int) -> DataFrame:
-    """(_t, key): the text's digest and each distinct key in it."""
-    text = whole(F.col(text_col))
-    digests = F.array_distinct(F.array_compact(F.transform(F.split(text, "\n", -1), lambda x: _digest(x, min_chars))))
-    return df.select(F.unhex(F.md5(text)).alias("_t"), F.explode(digests).alias("key"))
-
-
-def dedup_lines(docs: DataFrame, text_col: str = "text", *, min_docs: int = MIN_DOCS, min_chars: int = MIN_CHARS, batches: int = BATCHES, runs: LineRuns | None = None) -> DataFrame:
+def dedup_lines(
+    docs: DataFrame, text_col: str = "text", *, min_docs: int = MIN_DOCS, min_chars: int = MIN_CHARS, batches: int = BATCHES, runs: LineRuns | None = None, name: str = "batch"
+) -> DataFrame:
     """Every row with _n_lines, _n_dropped and its text without the lines found in min_docs rows or more.
 
     Each row counts as a document, repeated rows and ids too. A null or empty text
     is one empty line; an empty line has no key and stays. A text that loses every
-    line becomes empty. Given earlier runs, their documents count as well. All
-    other columns pass through; a frame without rows gives none.
+    line becomes empty. Given earlier runs, their documents count as well; docs are
+    then counted in them under name, once. All other columns pass through, whatever
+    their names; _n_lines and _n_dropped are replaced. A frame without rows gives none.
     """
     spark = docs.sparkSession
-    keys = _keys(docs, text_col, min_chars)
+    text = whole(F.col(text_col))
+    digests = F.transform(F.split(text, "\n", -1), lambda x: line_digest(x, min_chars))
+    hashed = written(docs.select(F.md5(text).alias("t"), digests.alias("keys")), "line-digests")
+    keys = hashed.select("t", F.explode(F.array_distinct(F.array_compact("keys"))).alias("key")).select("t", F.unhex("key").alias("key"))
     # batches by text digest: in one job, each key's documents of each batch
-    staged = written(
-        keys.groupBy((F.conv(F.hex(F.substring("_t", 1, 2)), 16, 10).cast("int") % batches).alias("batch"), "key").agg(F.count(F.lit(1)).alias("n")),
-        "line-batches",
-        ["batch"],
-    )
+    batch = (F.conv(F.substring("t", 1, 4), 16, 10).cast("int") % batches).alias("batch")
+    staged = written(keys.groupBy(batch, "key").agg(F.count(F.lit(1)).alias("n")), "line-batches", ["batch"])
     runs = runs or LineRuns(spark)
     for b in range(batches):
-        runs.add(staged.where(F.col("batch") == b).select("key", "n"), min_docs)
-    frequent = runs.settled(min_docs)
-    # only texts with a settled key get a list; copies of a text share it
-    lists = keys.join(frequent, "key", "left_semi").groupBy("_t").agg(F.collect_set("key").alias("_gone"))
-    lines = F.split(whole(F.col(text_col)), "\n", -1)
-    marked = docs.withColumn("_t", F.unhex(F.md5(whole(F.col(text_col))))).join(lists, "_t", "left")
-    kept = F.when(F.col("_gone").isNull(), lines).otherwise(F.filter(lines, lambda x: ~F.coalesce(F.array_contains("_gone", _digest(x, min_chars)), F.lit(False))))
-    marked = marked.withColumn("_kept", kept)
-    return marked.select(
-        *[F.array_join("_kept", "\n").alias(c) if c == text_col else F.col(c) for c in docs.columns],
-        F.size(F.split(whole(F.col(text_col)), "\n", -1)).cast("bigint").alias("_n_lines"),
-        (F.size(F.split(whole(F.col(text_col)), "\n", -1)) - F.size("_kept")).cast("bigint").alias("_n_dropped"),
+        runs.add(staged.where(F.col("batch") == b).select("key", "n"), min_docs, f"{name} {b} of {batches}")
+    # a frequent key once for each salt; a text's lines take the salt of the text
+    frequent = runs.settled(min_docs).select("key", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    lines = hashed.select("t", F.posexplode("keys").alias("place", "key")).where(F.col("key").isNotNull())
+    lines = lines.select("t", "place", F.unhex("key").alias("key"), F.pmod(F.xxhash64("t"), F.lit(SALTS)).cast("int").alias("salt"))
+    # only texts with a frequent key get a list; copies of a text share it
+    gone = lines.join(frequent, ["key", "salt"], "left_semi").groupBy("t").agg(F.array_sort(F.collect_set("place")).alias("gone"))
+    rows = docs.select(boxed(docs, text_col), F.md5(text).alias("t"), text.alias("text")).join(gone, "t", "left")
+    size = F.size(F.split("text", "\n", -1)).cast("bigint")
+    kept = F.array_join(F.filter(F.split("text", "\n", -1), lambda x, i: ~F.array_contains("gone", i)), "\n")
+    names = [c for c in docs.columns if c not in ("_n_lines", "_n_dropped")]
+    return rows.select(
+        *[F.when(F.col("gone").isNull(), F.col("text")).otherwise(kept).alias(c) if c == text_col else F.col("row")[c].alias(c) for c in names],
+        size.alias("_n_lines"),
+        F.coalesce(F.size("gone"), F.lit(0)).cast("bigint").alias("_n_dropped"),
     )
 
 
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without the lines of ten documents or more: doc_id, n_lines, n_dropped, kept_sha256.
+
+    A null or empty text is one empty line, which stays; repeated rows count and
+    stay; an empty table gives none.
+    """
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     out = dedup_lines(docs)
     return out.select("doc_id", F.col("_n_lines").alias("n_lines"), F.col("_n_dropped").alias("n_dropped"), F.sha2("text", 256).alias("kept_sha256"))
