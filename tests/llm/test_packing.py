@@ -72,3 +72,55 @@ def test_added_tokens_are_the_librarys():
     assert list(struct.unpack("<3I", w.ids_of("hello <|endoftext|> world"))) == [3306, 49407, 1002]
     for text in ("hello <|endoftext|> world", "<|startoftext|>a", "a<|endoftext|><|ENDOFTEXT|> b", "<|EndOfText|>", "<| endoftext |>"):
         assert w.ids_of(text) == b"".join(struct.pack("<I", i) for i in plain.encode(text, add_special_tokens=False).ids), text
+
+
+def exact(lengths, capacity):
+    """The least number of bins, by trying every bin for each piece."""
+    best = len(lengths)
+
+    def place(i, rooms):
+        nonlocal best
+        if len(rooms) >= best:
+            return
+        if i == len(order):
+            best = len(rooms)
+            return
+        for room in {r for r in rooms if r >= order[i]}:
+            place(i + 1, [*rooms[: rooms.index(room)], room - order[i], *rooms[rooms.index(room) + 1 :]])
+        place(i + 1, [*rooms, capacity - order[i]])
+
+    order = sorted(lengths, reverse=True)
+    place(0, [])
+    return best
+
+
+def test_as_few_bins_as_an_exact_packing():
+    rng = random.Random(4)
+    over = 0
+    for seed in range(40):
+        lengths = [rng.randint(15, 70) for _ in range(rng.randint(1, 9))]
+        over += len(M.evolve(lengths, 100, [], seed)) - exact(lengths, 100)
+    assert over == 0
+
+
+def test_generations_improve_on_their_first_pool():
+    rng = random.Random(5)
+    lengths = [rng.randrange(700, 2300) for _ in range(800)]
+    pool = M.first_pool(lengths, 4096, random.Random(1), M.POPULATION)
+    assert len(M.evolve(lengths, 4096, [], 1)) < min(map(len, pool))
+
+
+def test_migrants_change_an_islands_bins():
+    rng = random.Random(6)
+    lengths = [rng.randrange(700, 2300) for _ in range(800)]
+    other = M.best_patterns(M.evolve(lengths[:400] * 2, 4096, [], 9))
+    alone, joined = M.evolve(lengths, 4096, [], 1), M.evolve(lengths, 4096, other, 1)
+    shape = lambda bins: sorted(map(sorted, bins))
+    assert shape(alone) != shape(joined) and Counter(sum(joined, [])) == Counter(lengths)
+
+
+def test_clashing_names(spark):
+    df = spark.createDataFrame([(i, 1000 + i, 5, 1, 2, 3, 4, 6) for i in range(9)], "doc_id long, length long, ids_crc32 long, island int, fill int, _number int, sequence_id int, row int")
+    rows = M.pack(df, island_rows=4).collect()
+    assert sorted((r.doc_id, r.island, r.fill, r._number, r.row) for r in rows) == [(i, 1, 2, 3, 6) for i in range(9)]
+    assert len({r.sequence_id for r in rows}) in (3, 4)

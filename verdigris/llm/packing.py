@@ -2,13 +2,15 @@
 
 Documents are tokenised, closed with an end id and cut only if longer than a
 sequence. Pieces that fill a sequence stand alone; the others are dealt by hash
-into islands of a bounded size. On an island an individual is a set of bins.
-Crossover injects well-filled bins of one parent into the other, removes the bins
-that hold the same pieces again, and places the displaced pieces by best fit.
-Pieces of one length are interchangeable, so bins are handled as patterns of
-lengths; the best patterns of each island migrate to the next one in a ring and
-join its next epoch. Poorly filled bins are then opened and their pieces packed
-again, on ever fewer islands. An island stops as soon as it reaches the lower bound.
+into islands of a bounded size. On an island an individual is a set of bins, first
+made by best fit in a random order of its own. Crossover injects whole well-filled
+bins of one parent into the other, removes the bins that hold the same pieces
+again, and places the displaced pieces by best fit; mutation opens the emptiest
+bins. Pieces of one length are interchangeable, so bins are handled as patterns of
+lengths. Every island sends the best patterns of its first epoch to the next island
+in a ring, which injects them into its own individuals at the start of its second.
+Poorly filled bins are then opened and their pieces packed again, on ever fewer
+islands. The lower bound is looked at after a generation, never before.
 """
 
 from __future__ import annotations
@@ -23,20 +25,29 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..shipping import ship
-from .common import table, whole, written
+from .common import boxed, pieces_by_bytes, released, table, unboxed, whole, written
 from .tokens import word_ids
 
 LENGTH = 4096
 END_ID = 1
 #: Pieces on an island.
 ISLAND = 20_000
-POPULATION = 4
-GENERATIONS = 5
+POPULATION = 6
+#: Children of an epoch, unless the lower bound is reached; CALM of them without a better one end it as well.
+GENERATIONS = 40
+CALM = 12
+#: Bins filled at least so much of the donor's fullest one are well filled; crossover injects this share of them.
+WELL_FILLED = 0.98
+INJECTED = 0.8
+#: Share of the emptiest bins that a mutation opens.
+OPENED = 0.1
 #: Patterns that an island sends on.
 ELITES = 64
 #: Bins filled less than this are opened for the next round.
 OPEN_BELOW = 0.95
 ROUNDS = 3
+#: Text that is tokenised before its pieces leave a Python worker.
+SLICE_BYTES = 4 << 20
 
 _PIECE = "piece int, start bigint, length bigint, ids_crc32 bigint"
 
@@ -62,14 +73,16 @@ def token_pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = word_ids(path)
-        for batch in batches:
-            ids, rows = [], []
-            for own, text in zip(batch.column(0), batch.column(1).to_pylist(), strict=True):
+        for batch in (x for whole_batch in batches for x in pieces_by_bytes(whole_batch, 1, SLICE_BYTES)):
+            at, rows = [], []
+            for own, text in enumerate(batch.column(1).to_pylist()):
                 for row in pieces_of(encoder.ids_of(text) + end, length):
-                    ids.append(own)
+                    at.append(own)
                     rows.append(row)
             columns = [pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.int32(), pa.int64(), pa.int64(), pa.int64()))]
-            yield pa.RecordBatch.from_arrays([pa.array([x.as_py() for x in ids], batch.column(0).type), *columns], [id_col, "piece", "start", "length", "ids_crc32"])
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at, pa.int64())), *columns], [id_col, "piece", "start", "length", "ids_crc32"])
+        encoder.forget()
+        released()
 
     return docs.select(id_col, whole(F.col(text_col)).alias("_text")).mapInArrow(run, f"`{id_col}` {kind}, {_PIECE}")
 
@@ -120,44 +133,70 @@ def fitness(bins: list[list[int]], capacity: int) -> tuple[int, float]:
     return -len(bins), sum((sum(b) / capacity) ** 2 for b in bins) / max(1, len(bins))
 
 
-def evolve(lengths: list[int], capacity: int, migrants: list[tuple[int, ...]], seed: int, population: int = POPULATION, generations: int = GENERATIONS) -> list[list[int]]:
-    rng = random.Random(seed)
-    counts, bound = Counter(lengths), -(-sum(lengths) // capacity)
-    ordered = sorted(lengths, reverse=True)
-    pool = [best_fit(ordered, [], capacity)]
-    if migrants:
-        pool.append(inject(migrants, pool[0], counts, capacity))
-    while len(pool) < population and max(map(lambda b: -len(b), pool)) < -bound:
-        noisy = sorted(lengths, key=lambda n: n * rng.uniform(0.8, 1.0), reverse=True)
-        pool.append(best_fit(noisy, [], capacity))
-    for _ in range(generations):
-        pool.sort(key=lambda b: fitness(b, capacity), reverse=True)
-        if len(pool[0]) <= bound or len(pool) < 2:
+def first_pool(lengths: list[int], capacity: int, rng: random.Random, population: int) -> list[list[list[int]]]:
+    """Individuals by best fit: one with long pieces first, each other in a random order of its own that leans that way."""
+    return [best_fit(sorted(lengths, key=lambda n, low=0.6 if i else 1.0: n * rng.uniform(low, 1.0), reverse=True), [], capacity) for i in range(population)]
+
+
+def crossed(donor: list[list[int]], parent: list[list[int]], counts: Counter, capacity: int, rng: random.Random) -> list[list[int]]:
+    """Well-filled bins of the donor injected into the parent; in one of two children the emptiest bins are opened first."""
+    least = WELL_FILLED * max(map(sum, donor))
+    chosen = [tuple(b) for b in donor if sum(b) >= least and rng.random() < INJECTED]
+    kept = sorted(parent, key=sum, reverse=True)
+    if rng.random() < 0.5:
+        kept = kept[: len(kept) - max(1, int(OPENED * len(kept)))]
+    return inject(chosen, kept, counts, capacity)
+
+
+def epoch(pool: list[list[list[int]]], counts: Counter, capacity: int, rng: random.Random, generations: int = GENERATIONS) -> list[list[list[int]]]:
+    """The pool after generations of one child each, which replaces the worst if it is better; the best stands first."""
+    rated = sorted(((fitness(b, capacity), i, b) for i, b in enumerate(pool)), reverse=True)
+    bound, calm, made = -(-sum(n * k for n, k in counts.items()) // capacity), 0, len(pool)
+    for _ in range(generations if len(pool) > 1 else 0):
+        donor, parent = rng.sample(rated[: max(2, (len(rated) + 1) // 2)], 2)
+        child = crossed(donor[2], parent[2], counts, capacity, rng)
+        value, best = fitness(child, capacity), rated[0][0]
+        if value > rated[-1][0]:
+            made += 1
+            rated[-1] = (value, made, child)
+            rated.sort(reverse=True)
+        calm = 0 if value > best else calm + 1
+        if len(rated[0][2]) <= bound or calm >= CALM:
             break
-        donor, parent = rng.sample(pool[: max(2, population // 2)], 2)
-        full = sorted(donor, key=sum, reverse=True)
-        chosen = [tuple(b) for b in full[: max(1, len(full) // 2)] if rng.random() < 0.6]
-        child = inject(chosen, parent, counts, capacity)
-        pool[-1] = max(child, pool[-1], key=lambda b: fitness(b, capacity))
-    return max(pool, key=lambda b: fitness(b, capacity))
+    return [x[2] for x in rated]
+
+
+def evolve(lengths: list[int], capacity: int, migrants: list[tuple[int, ...]], seed: int, population: int = POPULATION, generations: int = GENERATIONS) -> list[list[int]]:
+    """Two epochs; migrants, patterns of another island's first one, are injected between them. An island alone takes its own."""
+    if not lengths:
+        return []
+    rng, counts = random.Random(seed), Counter(lengths)
+    pool = epoch(first_pool(lengths, capacity, rng, population), counts, capacity, rng, generations)
+    pool = pool[: max(1, population - 1)] + [inject(migrants or best_patterns(pool[0]), pool[-1], counts, capacity)]
+    return epoch(pool, counts, capacity, rng, generations)[0]
+
+
+def best_patterns(bins: list[list[int]]) -> list[tuple[int, ...]]:
+    return sorted({tuple(sorted(b, reverse=True)) for b in bins}, key=lambda b: (-sum(b), len(b), b))[:ELITES]
 
 
 def _elites(group: pa.Table, length: int, island: int, islands: int) -> pa.Table:
-    bins = evolve(group.column("length").to_pylist(), length, [], island)
-    best = sorted({tuple(sorted(b, reverse=True)) for b in bins}, key=lambda b: (-sum(b), len(b), b))[:ELITES]
+    """The best patterns of the island's first epoch, for the next island."""
+    lengths = sorted(group.column("length").to_pylist())
+    rng, counts = random.Random(island), Counter(lengths)
+    best = best_patterns(epoch(first_pool(lengths, length, rng, POPULATION), counts, length, rng)[0])
     return pa.table({"island": pa.array([(island + 1) % islands], pa.int64()), "patterns": pa.array([[list(p) for p in best]], pa.list_(pa.list_(pa.int64())))})
 
 
 def _settle(group: pa.Table, migrants: list[tuple[int, ...]], length: int, island: int, level: int, names: list[str]) -> pa.Table:
     """The rows with their place."""
-    order = pa.compute.sort_indices(group, sort_keys=[("length", "descending"), ("ids_crc32", "ascending")])
-    group = group.take(order)
+    group = group.take(pa.compute.sort_indices(group, sort_keys=[("length", "descending"), ("_crc", "ascending")]))
     lengths = group.column("length").to_pylist()
     rows: dict[int, list[int]] = {}
     for i in range(len(lengths) - 1, -1, -1):
         rows.setdefault(lengths[i], []).append(i)
     sequence, offset, fill = [0] * len(lengths), [0] * len(lengths), [0] * len(lengths)
-    for number, b in enumerate(evolve(lengths, length, migrants, island)):
+    for number, b in enumerate(evolve(sorted(lengths), length, migrants, island)):
         at, total = 0, sum(b)
         for n in sorted(b, reverse=True):
             i = rows[n].pop()
@@ -187,24 +226,27 @@ def pack(pieces: DataFrame, *, length: int = LENGTH, island_rows: int = ISLAND,
     """pieces with sequence_id and offset (columns of these names are replaced); needs length, ids_crc32 and any other columns.
 
     Sequences hold at most length tokens, gapless from offset 0. Rows are told
-    apart by place alone, so equal rows may repeat. A frame without rows gives
-    none. island_rows bounds what a task holds; it must be under 2^24.
+    apart by place alone, so equal rows may repeat; other columns, whatever their
+    names, pass through. A frame without rows gives none. island_rows bounds what a
+    task holds; it must be under 2^24.
     """
     spark = pieces.sparkSession
     ship(spark)
-    source = written(pieces.drop("sequence_id", "offset", "fill"), "pack-pieces")
-    names = source.columns
-    shape = ", ".join(f"`{c}` {t}" for c, t in source.dtypes)
-    full = source.where(F.col("length") >= length).withColumns({"sequence_id": F.lit(1 << 62) + F.monotonically_increasing_id(), "offset": F.lit(0).cast("bigint")})
-    done = [full.select(*names, "sequence_id", "offset")]
-    rest = source.where(F.col("length") < length)
+    own = [c for c in pieces.columns if c not in ("sequence_id", "offset")]
+    slim = pieces.select(boxed(pieces, "sequence_id", "offset"), F.col("length").cast("bigint").alias("length"), F.col("ids_crc32").cast("bigint").alias("_crc"))
+    # a number for each row, once: the rows themselves stay in this table, and only numbers and lengths are packed
+    source = written(slim.withColumn("_number", F.monotonically_increasing_id()), "pack-pieces")
+    names = ["_number", "length", "_crc"]
+    shape = "_number bigint, length bigint, _crc bigint"
+    full = source.where(F.col("length") >= length).select("_number", (F.lit(1 << 62) + F.col("_number")).alias("sequence_id"), F.lit(0).cast("bigint").alias("offset"))
+    done = [full]
+    rest = source.where(F.col("length") < length).select(*names)
     for level in range(rounds):
         n = rest.count()
         if not n:
             break
         islands = -(-n // island_rows)
-        own = F.pmod(F.xxhash64(F.lit(level), *[F.col(c) for c in names if c in ("doc_id", "piece", "start", "length", "ids_crc32")]), F.lit(islands)).alias("island")
-        dealt = rest.select(*names, own)
+        dealt = rest.select(*names, F.pmod(F.xxhash64(F.lit(level), "_number"), F.lit(islands)).alias("island"))
         last = islands == 1 or level == rounds - 1
 
         out_shape = f"{shape}, sequence_id bigint, offset bigint, fill bigint"
@@ -215,20 +257,25 @@ def pack(pieces: DataFrame, *, length: int = LENGTH, island_rows: int = ISLAND,
             settled = dealt.groupBy("island").cogroup(elites.groupBy("island")).applyInArrow(_settler(level, length, names)[1], out_shape)
         settled = written(settled, "pack-round")
         if last:
-            done.append(settled.select(*names, "sequence_id", "offset"))
+            done.append(settled.select("_number", "sequence_id", "offset"))
             break
-        done.append(settled.where(F.col("fill") >= open_below * length).select(*names, "sequence_id", "offset"))
+        done.append(settled.where(F.col("fill") >= open_below * length).select("_number", "sequence_id", "offset"))
         rest = settled.where(F.col("fill") < open_below * length).select(*names)
     out = done[0]
     for x in done[1:]:
         out = out.unionByName(x)
-    return out
+    return source.select("row", "_number").join(out, "_number").select(*unboxed(own), "sequence_id", "offset")
 
 
 def pack_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, vocabulary: str | None = None, length: int = LENGTH) -> DataFrame:
-    """(id_col, piece, start, length, ids_crc32, sequence_id, offset) of every document."""
+    """(id_col, piece, start, length, ids_crc32, sequence_id, offset) of every document. Other columns don't matter; repeated rows stay."""
     return pack(token_pieces(docs, id_col, text_col, vocabulary=vocabulary, length=length), length=length)
 
 
 def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's pieces in sequences of 4,096: doc_id, piece, start, length, ids_crc32, sequence_id, offset.
+
+    A null or empty text has one piece, its end id; repeated rows are packed each;
+    an empty table gives none.
+    """
     return pack_documents(table(spark, sf_dir, "documents").select("doc_id", "text"))

@@ -15,8 +15,8 @@ import struct
 _KNOWN = re.compile(r"[\t\n\r\x20-\x7e¡-§©«¬®°±¶·»¿-ķĹ-ňŊ-ž‐-‣…‰-›€™]*")
 #: The tokenizer's split, for lower-cased text of those ranges.
 _WORDS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ƀ]+|[0-9]|[^\sa-zß-öø-ƀ0-9]+")
-#: Words kept by a Python worker in each of two generations, about 200 bytes each.
-CACHE_WORDS = 700_000
+#: Words kept by a Python worker in each of two generations, about 200 bytes each: 40 MB in all.
+CACHE_WORDS = 100_000
 _PRINTED = [*range(33, 127), *range(161, 173), *range(174, 256)]
 _OTHERS = [b for b in range(256) if b not in _PRINTED]
 #: How byte-level vocabularies spell bytes: printable ones as themselves, the others from U+0100 on.
@@ -64,6 +64,11 @@ class WordIds:
         return out
 
 
+    def forget(self) -> None:
+        """Drops the kept words: the worker lives on beside those of later stages."""
+        self.known, self.older = {}, {}
+
+
 _loaded: dict[str, WordIds] = {}
 
 
