@@ -46,13 +46,16 @@ def corpus():
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.text("ab", max_size=60), min_size=1, max_size=5), st.integers(8, 20))
 def test_factors_equal_brute_force(texts, size):
-    data = b"".join(t.encode() for t in texts)
-    offsets = np.cumsum([0, *map(len, texts)])
-    starts = np.concatenate([np.arange(o, o + max(0, len(t) - size + 1)) for o, t in zip(offsets, texts)]).astype(np.int64)
-    windows = [data[s : s + size] for s in starts.tolist()]
-    earlier, later = M.factors(np.frombuffer(data, np.uint8), starts, size)
-    assert earlier.tolist() == [w in windows[:i] for i, w in enumerate(windows)]
-    assert later.tolist() == [w in windows[i + 1 :] for i, w in enumerate(windows)]
+    """Every longest previous and next factor against all pairs of places; factors end with their text."""
+    data = [t.encode() for t in texts if t]
+    ends = np.cumsum([len(t) for t in data]).astype(np.int64)
+    flat = np.frombuffer(b"".join(data), np.uint8)
+    places = [t[i:] for t in data for i in range(len(t))]
+    share = lambda a, b: next((i for i, (x, y) in enumerate(zip(a, b)) if x != y), min(len(a), len(b)))
+    cut = lambda n: n if n >= size else 0
+    earlier, later = M.factors(flat, ends, size)
+    assert earlier.tolist() == [cut(max((share(x, y) for y in places[:i]), default=0)) for i, x in enumerate(places)]
+    assert later.tolist() == [cut(max((share(x, y) for y in places[i + 1 :]), default=0)) for i, x in enumerate(places)]
 
 
 def test_equal_windows_share_a_key():
@@ -72,8 +75,9 @@ def test_against_brute_force(spark, monkeypatch, hot):
     texts = corpus()
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     monkeypatch.setattr(M, "table", lambda *_: df)
-    got = sorted(map(tuple, M.op1_suffix_dedup(spark, "").collect()))
-    assert got == [(i, *w) for i, w in enumerate(brute(texts, 400))]
+    rows = sorted(M.op1_suffix_dedup(spark, "").collect())
+    assert [tuple(r[:5]) for r in rows] == [(i, *w) for i, w in enumerate(brute(texts, 400))]
+    assert all(r.repeats == (r.n_removed > 0 or r.n_passages > 0) for r in rows)
     kept = sorted((r.doc_id, r._n_removed, r._n_spans) for r in M.dedup_substrings(df).collect())
     assert kept == [(i, w[1], w[2]) for i, w in enumerate(brute(texts, 400, first=True))]
 
@@ -85,6 +89,15 @@ def test_other_columns_and_empty_frames(spark):
     assert M.dedup_substrings(df.limit(0)).count() == 0
 
 
+def test_string_ids_and_clashing_names(spark):
+    texts = ["q" * 30 + "xyz" * 200, "p" * 25 + "xyz" * 200, None, "q" * 30 + "xyz" * 200]
+    df = spark.createDataFrame([(f"id-{9 - i}", t, 1, 2, 3, 4) for i, t in enumerate(texts)], "doc_id string, text string, t int, o int, row int, _t int")
+    rows = {r.doc_id: r for r in M.dedup_substrings(df).collect()}
+    assert {(r.t, r.o, r.row, r._t) for r in rows.values()} == {(1, 2, 3, 4)}
+    assert rows["id-6"].text == texts[3][: 30 + 3 * 200] or rows["id-6"]._n_removed > 0
+    assert rows["id-9"].text == "" and rows["id-7"].text == "" and 25 <= len(rows["id-8"].text) < 625
+
+
 def brute_words(texts, size):
     """The words that stay of each text, of equal runs of size words the first."""
     met, out = set(), []

@@ -47,6 +47,28 @@ def unboxed(names: list[str], row: str = "row") -> list[Column]:
     return [F.col(row)[c].alias(c) for c in names]
 
 
+def text_digest(text_col: str = "text") -> Column:
+    return F.unhex(F.md5(whole(F.col(text_col))))
+
+
+def order_of(docs: DataFrame, id_col: str) -> Column:
+    """The id as a number where it is a whole number, else as a string; null comes first."""
+    if dict(docs.dtypes)[id_col] in ("tinyint", "smallint", "int", "bigint"):
+        return F.coalesce(F.col(id_col).cast("bigint"), F.lit(-(2**63)).cast("bigint"))
+    return F.coalesce(F.col(id_col).cast("string"), F.lit(""))
+
+
+def numbered(docs: DataFrame, id_col: str, text_col: str, label: str) -> DataFrame:
+    """(row, t, id_order, id_null, id, number): every row without its text, written once, so that its number never changes."""
+    rows = docs.select(boxed(docs, text_col), text_digest(text_col).alias("t"), order_of(docs, id_col).alias("id_order"), F.col(id_col).isNull().alias("id_null"), F.col(id_col).alias("id"))
+    return written(rows.withColumn("number", F.monotonically_increasing_id()), label)
+
+
+def distinct_texts(docs: DataFrame, text_col: str) -> DataFrame:
+    """(t, text): each text once, one from every task before the shuffle; null counts as empty."""
+    return docs.select(text_digest(text_col).alias("t"), whole(F.col(text_col)).alias("text")).groupBy("t").agg(F.first("text").alias("text"))
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share. One is set only where the session names none and all run on one machine."""
     named = spark.conf.get("spark.checkpoint.dir", None)

@@ -7,12 +7,13 @@ equal windows have equal keys wherever they stand, so blocks with a key of their
 own need no comparison. Equal blocks collapse to one with a count.
 
 The distinct blocks that share a key are dealt by key into buckets of a bounded
-size. Each bucket sorts its suffixes (prefix doubling over the first min_bytes
-bytes, dropping suffixes as soon as they are alone). Suffixes that agree in so many
-bytes stand side by side in order of position; so the neighbour before is the
-previous smaller position, and a longest previous factor of min_bytes or more is
-there exactly for all but the first of them, as is a longest next factor for all
-but the last. A key with too many distinct blocks for one bucket (the edges of a
+size. Each bucket sorts its suffixes by prefix doubling, dropping suffixes as soon
+as they are alone. In suffix order, the nearest suffixes before and after that stand
+earlier in the text (previous and next smaller positions) hold the longest previous
+factor of each; those that stand later, the longest next factor. A place whose
+previous factor has min_bytes or more has an earlier copy and goes as far as the
+factor reaches, so the first copy stays; where no copy is to stay, next factors
+count too. A key with too many distinct blocks for one bucket (the edges of a
 passage that a large share of all documents holds) is compared window by window,
 by 128-bit digests that are counted before they are shuffled.
 
@@ -36,7 +37,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..shipping import ship
-from .common import WORD_CLASS, table, whole, written
+from .common import WORD_CLASS, Scope, distinct_texts, numbered, order_of, pieces_by_bytes, released, table, text_digest, unboxed, whole, written
 
 MIN_BYTES = 400
 #: Bytes of the k-grams that decide a window's key.
@@ -46,7 +47,11 @@ WORD_GRAM = 8
 #: Window starts that are hashed at once.
 SEGMENT = 1 << 20
 #: Bytes of block text that a suffix order is built over.
-BUCKET_BYTES = 2 << 20
+BUCKET_BYTES = 1 << 20
+#: Text that a Python worker holds as rows.
+SLICE_BYTES = 2 << 20
+#: Words of a passage that counts as long.
+PASSAGE_WORDS = 51
 #: Distinct blocks of a key beyond which its windows are compared by digest.
 HOT_BLOCKS = 2_000
 
@@ -117,120 +122,186 @@ def blocks_of(text: bytes, min_bytes: int = MIN_BYTES, gram: int = GRAM, words:
     return out
 
 
-def _mark(batches: Iterator[pa.RecordBatch], min_bytes: int, words: bool) -> Iterator[pa.RecordBatch]:
+def _sliced(batches: Iterator[pa.RecordBatch], column: str = "text") -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        rows = [blocks_of(_coded(x, words), min_bytes, WORD_GRAM if words else GRAM, words) for x in batch.column("_text").to_pylist()]
-        columns = [pa.array([r[i] for r in rows], pa.list_(kind)) for i, kind in enumerate((pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.bool_()))]
-        yield pa.RecordBatch.from_arrays([batch.column("_t"), batch.column("_order"), *columns], ["_t", "_order", "at", "n", "key", "h", "again"])
+        yield from pieces_by_bytes(batch, column, SLICE_BYTES)
 
 
-def _ranked(key: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Stable order of the keys, each element's group (by its first place in that order) and the groups' sizes by element."""
-    order = np.argsort(key, kind="stable")
-    sorted_key = key[order]
-    first = np.concatenate(([True], sorted_key[1:] != sorted_key[:-1]))
-    starts = np.flatnonzero(first)
-    sizes = np.diff(np.append(starts, len(key)))
-    group, size = np.empty(len(key), np.int64), np.empty(len(key), np.int64)
-    group[order], size[order] = np.repeat(starts, sizes), np.repeat(sizes, sizes)
-    return order, group, size
+def _mark(batches: Iterator[pa.RecordBatch], min_bytes: int, words: bool) -> Iterator[pa.RecordBatch]:
+    for batch in _sliced(batches):
+        rows = [blocks_of(_coded(x, words), min_bytes, WORD_GRAM if words else GRAM, words) for x in batch.column("text").to_pylist()]
+        columns = [pa.array([r[i] for r in rows], pa.list_(kind)) for i, kind in enumerate((pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.bool_()))]
+        yield pa.RecordBatch.from_arrays([batch.column("t"), batch.column("o"), *columns], ["t", "o", "at", "n", "key", "h", "again"])
+    released()
+
+
+def _sorted_pairs(first: np.ndarray, second: np.ndarray) -> np.ndarray:
+    """The order of the pairs, equal ones by index; in one sort of packed numbers where these fit."""
+    bits = [max(1, int(x.max()).bit_length()) for x in (first, second)] + [max(1, (len(first) - 1).bit_length())]
+    if sum(bits) > 64:
+        return np.lexsort((second, first))
+    packed = (first.astype(np.uint64) << np.uint64(bits[1] + bits[2])) | (second.astype(np.uint64) << np.uint64(bits[2]))
+    packed |= np.arange(len(first), dtype=np.uint64)
+    packed.sort()
+    return (packed & np.uint64((1 << bits[2]) - 1)).astype(np.int64)
+
+
+def _heads(*columns: np.ndarray) -> np.ndarray:
+    """Whether an element differs from the one before in any column."""
+    out = np.ones(len(columns[0]), bool)
+    out[1:] = False
+    for c in columns:
+        out[1:] |= c[1:] != c[:-1]
+    return out
 
 
-def suffix_groups(data: np.ndarray, starts: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
-    """Places in starts in suffix order (by the first length bytes, then position) of those that share these bytes with another; their groups.
+def suffix_ranks(data: np.ndarray, ends: np.ndarray) -> tuple[list[tuple[int, np.ndarray]], np.ndarray]:
+    """Ranks of the suffixes of the blocks that end at ends, by their first units: (number of units, ranks) for ever more units.
 
-    Every start has length bytes after it. Prefix doubling: ranks by 8 bytes (or one
-    coded word), then twice as many and so on; suffixes that are alone keep their rank and are not sorted again.
+    Suffixes end with their block; ranks have places to spare past the last. Also
+    the final ranks, in full suffix order, where equal suffixes have one rank.
     """
-    size, done = len(data), 1
-    packed = data
+    size = len(data)
+    stop = np.repeat(ends, np.diff(np.concatenate(([0], ends))))
     if data.dtype == np.uint8:
-        done = min(8, length)
-        padded = np.concatenate((data, np.zeros(length + 8, np.uint8)))
-        packed = np.zeros(size, np.uint64)
-        for i in range(done):
-            packed = (packed << np.uint64(8)) | padded[i : i + size].astype(np.uint64)
-    _, rank, many = _ranked(packed)
-    rank = np.concatenate((rank, np.full(length + 8, -1, np.int64)))  # ranks past the end: before all others
-    active = np.flatnonzero(many > 1)
-    while done * 2 <= length and len(active):
-        key = rank[active] * (size + 1) + rank[active + done] + 1
-        order, group, many = _ranked(key)
-        # a group's place: its old rank plus how many of the old group sort before
+        present = np.bincount(data, minlength=256) > 0
+        code = np.cumsum(present)[data].astype(np.uint64)
+    else:
+        code = np.unique(data, return_inverse=True)[1].astype(np.uint64) + np.uint64(1)
+    width = max(1, int(code.max()).bit_length()) if size else 1
+    at_once = max(1, (63 - size.bit_length()) // width)
+    padded = np.concatenate((code, np.zeros(at_once, np.uint64)))
+    key = np.zeros(size, np.uint64)
+    place = np.arange(size)
+    for i in range(at_once):
+        key = (key << np.uint64(width)) | np.where(place + i < stop, padded[i : i + size], np.uint64(0))
+    order = _sorted_pairs(key, np.zeros(size, np.uint64)) if size else place
+    longest = int((stop - place).max()) if size else 0
+    rank = np.zeros(size + longest + 1, np.int64)  # 0 past a block's end
+    head = _heads(key[order])
+    starts = np.flatnonzero(head)
+    sizes = np.diff(np.append(starts, size))
+    rank[order] = np.repeat(starts, sizes) + 1
+    many = np.zeros(size, bool)
+    many[order] = np.repeat(sizes, sizes) > 1
+    active, depth = np.flatnonzero(many), at_once
+    levels = [(depth, rank[:size].astype(np.int32))]
+    while len(active) and depth < longest:
+        ahead = active + depth
+        second = np.where(ahead < stop[active], rank[ahead], 0)
         old = rank[active]
-        old_start = np.full(size, len(active), np.int64)
-        np.minimum.at(old_start, old, group)
-        rank[active] = old + group - old_start[old]
-        active = active[many > 1]
-        done *= 2
-    rest = length - done
-    chosen = np.flatnonzero(np.isin(starts, active)) if len(active) else np.zeros(0, np.int64)
-    if not len(chosen):
-        return chosen, chosen
-    at = starts[chosen]
-    key = rank[at] * (size + 1) + rank[at + rest] + 1
-    order, group, many = _ranked(key)
-    order = order[many[order] > 1]
-    return chosen[order], group[order]
-
-
-def factors(data: np.ndarray, starts: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
-    """For each start: whether its longest previous factor, and its longest next factor, has length bytes or more.
-
-    starts ascend. In suffix order, suffixes that share length bytes stand by
-    position: the one before is the previous smaller position with the longest
-    common prefix, the one after is the next greater.
+        order = _sorted_pairs(old, second)
+        old, second, moved = old[order], second[order], active[order]
+        head, group = _heads(old, second), _heads(old)
+        starts = np.flatnonzero(head)
+        sizes = np.diff(np.append(starts, len(moved)))
+        group_start = np.maximum.accumulate(np.where(group, np.arange(len(moved)), 0))
+        rank[moved] = old + np.repeat(starts, sizes) - group_start
+        active = np.sort(moved[np.repeat(sizes, sizes) > 1])
+        depth *= 2
+        levels.append((depth, rank[:size].astype(np.int32)))
+    return levels, rank[:size]
+
+
+def _common_prefix(levels: list[tuple[int, np.ndarray]], code: np.ndarray, left: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Units that the suffixes at a and b share; left: units to the end of each one's block."""
+    most = np.minimum(left[a], left[b])
+    out = np.zeros(len(a), np.int64)
+    last = len(code) - 1
+    for depth, rank in reversed(levels):
+        same = (out < most) & (rank[np.minimum(a + out, last)] == rank[np.minimum(b + out, last)])
+        out[same] += depth
+    for _ in range(levels[0][0]):
+        same = (out < most) & (code[np.minimum(a + out, last)] == code[np.minimum(b + out, last)])
+        out[same] += 1
+    return np.minimum(out, most)
+
+
+def _nearest(position: np.ndarray, shared: np.ndarray, least: int) -> np.ndarray:
+    """For each suffix, what it shares with the nearest one before it in suffix order of a smaller position; 0 for under least.
+
+    shared: with the one just before. Pointers jump over those of greater positions.
     """
-    order, group = suffix_groups(data, starts, length)
-    earlier, later = np.zeros(len(starts), bool), np.zeros(len(starts), bool)
-    if len(order):
-        same = group[1:] == group[:-1]
-        earlier[order[1:][same]] = True
-        later[order[:-1][same]] = True
-    return earlier, later
-
-
-def _runs(flags: np.ndarray) -> list[tuple[int, int]]:
-    edges = np.flatnonzero(np.diff(np.concatenate(([0], flags.astype(np.int8), [0]))))
-    return list(zip(edges[::2].tolist(), edges[1::2].tolist(), strict=True))
+    before, common = np.arange(len(position)) - 1, shared.copy()
+    before[common < least] = -1
+    open_ = np.flatnonzero((before >= 0) & (position[before] > position))
+    while len(open_):
+        over = before[open_]
+        common[open_], before[open_] = np.minimum(common[open_], common[over]), before[over]
+        before[open_[common[open_] < least]] = -1
+        open_ = open_[before[open_] >= 0]
+        open_ = open_[position[before[open_]] > position[open_]]
+    return np.where(before >= 0, common, 0)
+
+
+def factors(data: np.ndarray, ends: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """The longest previous factor and the longest next factor at every place of the blocks that end at ends; 0 for under length."""
+    size = len(data)
+    previous, following = np.zeros(size, np.int64), np.zeros(size, np.int64)
+    if not size:
+        return previous, following
+    levels, rank = suffix_ranks(data, ends)
+    place = np.arange(size)
+    left = np.repeat(ends, np.diff(np.concatenate(([0], ends)))) - place
+    # the suffixes that share length units with another, in suffix order
+    depth, near = max((x for x in levels if x[0] <= length), key=lambda x: x[0], default=levels[0])
+    some = np.flatnonzero(left >= length)
+    if depth <= length:
+        some = some[np.bincount(near, minlength=size + 2)[near[some]] > 1]
+    if not len(some):
+        return previous, following
+    some = some[_sorted_pairs(rank[some], np.zeros(len(some), np.int64))]
+    shared = np.zeros(len(some), np.int64)
+    shared[1:] = _common_prefix(levels, data, left, some[:-1], some[1:])
+    back = np.concatenate((shared[1:], [0]))[::-1]
+    for out, position in ((previous, some), (following, -some)):
+        out[some] = np.maximum(_nearest(position, shared, length), _nearest(position[::-1], back, length)[::-1])
+    return previous, following
+
+
+def _covered(length: np.ndarray, least: int) -> list[tuple[int, int]]:
+    """The runs of windows [a, b) under the factors, which begin at each place and have the given lengths."""
+    at = np.flatnonzero(length >= least)
+    if not len(at):
+        return []
+    reach = np.maximum.accumulate(at + length[at])
+    first = np.concatenate(([True], at[1:] > reach[:-1]))
+    last = np.append(np.flatnonzero(first)[1:] - 1, len(at) - 1)
+    return list(zip(at[first].tolist(), (reach[last] - least + 1).tolist(), strict=True))
 
 
 def _order_bucket(group: pa.Table, min_bytes: int, first: bool, words: bool) -> pa.Table:
     """key, h and the runs of windows [a, b) that have a partner (an earlier one, to keep the first)."""
-    group = group.sort_by([("_order", "ascending"), ("at", "ascending"), ("h", "ascending")])
+    group = group.sort_by([("o", "ascending"), ("at", "ascending"), ("h", "ascending")])
     texts = group.column("block").to_pylist()
-    data, lengths = _units(b"".join(texts), words), [len(x) // (8 if words else 1) for x in texts]
-    offsets = np.cumsum([0, *lengths])
-    sizes = [n - min_bytes + 1 for n in lengths]
-    starts = np.concatenate([np.arange(o, o + n) for o, n in zip(offsets[:-1].tolist(), sizes, strict=True)]) if texts else np.zeros(0, np.int64)
-    earlier, later = factors(data, starts, min_bytes)
-    flags = earlier if first else earlier | later
-    ends = np.cumsum([0, *sizes])
-    found = [_runs(flags[ends[i] : ends[i + 1]]) for i in range(len(texts))]
+    data, ends = _units(b"".join(texts), words), np.cumsum([len(x) // (8 if words else 1) for x in texts])
+    earlier, later = factors(data, ends, min_bytes)
+    found = [_covered((earlier if first else np.maximum(earlier, later))[a:b], min_bytes) for a, b in zip([0, *ends.tolist()], ends.tolist(), strict=False)]
     kind = pa.list_(pa.struct([("a", pa.int32()), ("b", pa.int32())]))
     return pa.table({"key": group.column("key"), "h": group.column("h"), "runs": pa.array([[{"a": a, "b": b} for a, b in x] for x in found], kind)})
 
 
 def _cut_blocks(batches: Iterator[pa.RecordBatch], min_bytes: int, words: bool) -> Iterator[pa.RecordBatch]:
     """The texts of the blocks that are compared in suffix order."""
-    names, unit = ["key", "h", "_order", "at", "block"], 8 if words else 1
-    for batch in batches:
+    names, unit = ["key", "h", "o", "at", "block"], 8 if words else 1
+    for batch in _sliced(batches):
         out: list[list] = [[], [], [], [], []]
-        for text, order, cand in zip(*(batch.column(c).to_pylist() for c in ("_text", "_order", "cand")), strict=True):
+        for text, order, cand in zip(*(batch.column(c).to_pylist() for c in ("text", "o", "cand")), strict=True):
             data = _coded(text, words)
             for x in cand:
                 if x["role"] == 1:
                     for to, v in zip(out, (x["key"], x["h"], order, x["at"], data[x["at"] * unit : (x["at"] + x["n"] + min_bytes - 1) * unit]), strict=True):
                         to.append(v)
-        yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(out, (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary()), strict=True)], names)
+        yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(out, (pa.int64(), pa.int64(), batch.column("o").type, pa.int64(), pa.binary()), strict=True)], names)
+    released()
 
 
 def _cut_windows(batches: Iterator[pa.RecordBatch], min_bytes: int, words: bool) -> Iterator[pa.RecordBatch]:
     """The windows of hot keys' blocks, as digests."""
-    names, unit = ["key", "h", "_order", "at", "off", "digest"], 8 if words else 1
-    kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary())
-    for batch in batches:
-        for text, order, cand in zip(*(batch.column(c).to_pylist() for c in ("_text", "_order", "cand")), strict=True):
+    names, unit = ["key", "h", "o", "at", "off", "digest"], 8 if words else 1
+    for batch in _sliced(batches):
+        kinds = (pa.int64(), pa.int64(), batch.column("o").type, pa.int64(), pa.int32(), pa.binary())
+        for text, order, cand in zip(*(batch.column(c).to_pylist() for c in ("text", "o", "cand")), strict=True):
             data = _coded(text, words)
             for x in cand:
                 if x["role"] == 2:
@@ -239,6 +310,7 @@ def _cut_windows(batches: Iterator[pa.RecordBatch], min_bytes: int, words: bool)
                         digests = [xxhash.xxh3_128_digest(data[s * unit : (s + min_bytes) * unit]) for s in range(x["at"] + low, x["at"] + low + count)]
                         same = [[v] * count for v in (x["key"], x["h"], order, x["at"])]
                         yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip((*same, range(low, low + count), digests), kinds, strict=True)], names)
+    released()
 
 
 def _join_runs(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -252,9 +324,9 @@ def _join_runs(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
 
 
 def _remove(batches: Iterator[pa.RecordBatch], min_bytes: int, words: bool) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in _sliced(batches):
         removed, spans, kept, digests = [], [], [], []
-        for text, marks in zip(batch.column("_text").to_pylist(), batch.column("marks").to_pylist(), strict=True):
+        for text, marks in zip(batch.column("text").to_pylist(), batch.column("marks").to_pylist(), strict=True):
             data = text.encode()
             runs = _join_runs([(x["at"] + r["a"], x["at"] + r["b"] + min_bytes - 1) for x in marks for r in x["runs"]])
             if words:
@@ -266,65 +338,63 @@ def _remove(batches: Iterator[pa.RecordBatch], min_bytes: int, words: bool) -> I
             kept.append(rest.decode(errors="ignore"))
             digests.append(hashlib.sha256(rest).hexdigest())
         yield pa.RecordBatch.from_arrays(
-            [batch.column("_t"), pa.array(removed, pa.int64()), pa.array(spans, pa.int64()), pa.array(kept, pa.string()), pa.array(digests, pa.string())],
-            ["_t", "n_removed", "n_spans", "kept", "kept_sha256"],
+            [batch.column("t"), pa.array(removed, pa.int64()), pa.array(spans, pa.int64()), pa.array(kept, pa.string()), pa.array(digests, pa.string())],
+            ["t", "n_removed", "n_spans", "kept", "kept_sha256"],
         )
+    released()
 
 
-def text_digest(text_col: str = "text") -> Column:
-    return F.unhex(F.md5(whole(F.col(text_col))))
-
-
-def _long_enough(text_col: str, min_bytes: int, min_words: int | None) -> Column:
-    text = whole(F.col(text_col))
+def _long_enough(text: Column, min_bytes: int, min_words: int | None) -> Column:
     return F.octet_length(text) >= min_bytes if min_words is None else F.regexp_count(text, F.lit(WORD_CLASS)) >= min_words
 
 
 def removals(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, min_bytes: int = MIN_BYTES, keep_first: bool = False, min_words: int | None = None) -> DataFrame:
-    """(_t, n_removed, n_spans, kept, kept_sha256) for each distinct text that may lose bytes.
+    """(t, n_removed, n_spans, kept, kept_sha256) for each distinct text, by its digest, that may lose bytes.
 
     keep_first: only windows with an earlier equal one go, in order of the least id
     of a text, then place; copies of a text after the first go whole (see dedup_substrings). min_words: windows
-    of so many words (over WORD_GRAM) instead of min_bytes bytes.
+    of so many words (over WORD_GRAM) instead of min_bytes bytes. Ids that aren't whole numbers are ordered as
+    strings; null ids come first; null texts count as empty. Other columns don't matter.
     """
     ship(docs.sparkSession)
     words, least = min_words is not None, min_bytes if min_words is None else min_words
-    texts = docs.select(text_digest(text_col).alias("_t"), F.coalesce(F.col(id_col).cast("bigint"), F.lit(-(2**63))).alias("_order"), whole(F.col(text_col)).alias("_text")).where(_long_enough("_text", min_bytes, min_words))
-    marked = texts.mapInArrow(lambda it: _mark(it, least, words), "_t binary, _order bigint, at array<bigint>, n array<int>, key array<bigint>, h array<bigint>, again array<boolean>")
-    each = marked.groupBy("_t").agg(F.min("_order").alias("_order"), F.count(F.lit(1)).alias("copies"), F.first(F.arrays_zip("at", "n", "key", "h", "again")).alias("b"))
+    texts = docs.select(text_digest(text_col).alias("t"), order_of(docs, id_col).alias("o"), whole(F.col(text_col)).alias("text")).where(_long_enough(F.col("text"), min_bytes, min_words))
+    kind = dict(texts.dtypes)["o"]
+    marked = texts.mapInArrow(lambda it: _mark(it, least, words), f"t binary, o {kind}, at array<bigint>, n array<int>, key array<bigint>, h array<bigint>, again array<boolean>")
+    each = marked.groupBy("t").agg(F.min("o").alias("o"), F.count(F.lit(1)).alias("copies"), F.first(F.arrays_zip("at", "n", "key", "h", "again")).alias("b"))
     each = written(each, "suffix-marks")  # read twice below; two plans with other columns would hash the texts twice
-    blocks = each.select("_t", "_order", "copies", F.inline("b"))
+    blocks = each.select("t", "o", "copies", F.inline("b"))
     shared = blocks.groupBy("key").agg(F.sum("copies").alias("c"), F.max("again").alias("a")).where((F.col("c") > 1) | F.col("a")).select("key")
     cand = written(blocks.join(shared, "key", "left_semi"), "suffix-blocks")
     # distinct blocks, and how many of them share a key
-    distinct = cand.groupBy("key", "h").agg(F.sum("copies").alias("m"), F.min(F.struct("_order", "at", "_t")).alias("rep"), F.max("again").alias("a"), F.first("n").alias("w"))
+    distinct = cand.groupBy("key", "h").agg(F.sum("copies").alias("m"), F.min(F.struct("o", "at", "t")).alias("rep"), F.max("again").alias("a"), F.first("n").alias("w"))
     by_key = distinct.groupBy("key").agg(F.count(F.lit(1)).alias("d"), F.sum("w").alias("w"))
     known = cand.join(distinct.drop("w").join(by_key, "key"), ["key", "h"])
-    is_rep = (F.col("rep._t") == F.col("_t")) & (F.col("rep.at") == F.col("at"))
-    hot_key = (F.col("d") > HOT_BLOCKS) | ((F.col("d") > 1) & (F.col("w") > 4 * BUCKET_BYTES))
+    is_rep = (F.col("rep.t") == F.col("t")) & (F.col("rep.at") == F.col("at"))
+    hot_key = (F.col("d") > HOT_BLOCKS) | ((F.col("d") > 1) & (F.col("w") > 8 * BUCKET_BYTES))
     role = F.when(is_rep & hot_key, 2).when(is_rep & ((F.col("d") > 1) | F.col("a")), 1).otherwise(0)
     gone = ~is_rep if keep_first else F.col("m") > 1
-    lists = known.groupBy("_t").agg(F.first("_order").alias("_order"), F.collect_list(F.struct("key", "h", "at", "n", role.alias("role"), gone.alias("gone"))).alias("cand"))
-    one_each = texts.groupBy("_t").agg(F.first("_text").alias("_text"))  # one of each text from every task, before the shuffle
-    held = written(one_each.join(lists, "_t"), "suffix-texts")
+    lists = known.groupBy("t").agg(F.first("o").alias("o"), F.collect_list(F.struct("key", "h", "at", "n", role.alias("role"), gone.alias("gone"))).alias("cand"))
+    one_each = texts.groupBy("t").agg(F.first("text").alias("text"))  # one of each text from every task, before the shuffle
+    held = written(one_each.join(lists, "t"), "suffix-texts")
     # bounded buckets by key
     size = held.select(F.explode("cand").alias("x")).where("x.role = 1").agg(F.sum(F.col("x.n") + least - 1)).first()[0] or 0
     buckets = max(1, -(-size * (8 if words else 1) // BUCKET_BYTES))
-    cut = held.where(F.exists("cand", lambda x: x["role"] == 1)).select("_text", "_order", "cand").mapInArrow(lambda it: _cut_blocks(it, least, words), "key bigint, h bigint, _order bigint, at bigint, block binary")
+    cut = held.where(F.exists("cand", lambda x: x["role"] == 1)).select("text", "o", "cand").mapInArrow(lambda it: _cut_blocks(it, least, words), f"key bigint, h bigint, o {kind}, at bigint, block binary")
     ordered = cut.groupBy(F.pmod(F.xxhash64("key"), F.lit(buckets)).alias("bucket")).applyInArrow(lambda g: _order_bucket(g, least, keep_first, words), "key bigint, h bigint, runs array<struct<a:int,b:int>>")
-    hot = held.where(F.exists("cand", lambda x: x["role"] == 2)).select("_text", "_order", "cand").mapInArrow(lambda it: _cut_windows(it, least, words), "key bigint, h bigint, _order bigint, at bigint, off int, digest binary")
+    hot = held.where(F.exists("cand", lambda x: x["role"] == 2)).select("text", "o", "cand").mapInArrow(lambda it: _cut_windows(it, least, words), f"key bigint, h bigint, o {kind}, at bigint, off int, digest binary")
     hot = written(hot, "suffix-hot")
-    again = hot.groupBy("digest").agg(F.count(F.lit(1)).alias("c"), F.min(F.struct("_order", "at", "h", "off")).alias("rep")).where("c > 1")
+    again = hot.groupBy("digest").agg(F.count(F.lit(1)).alias("c"), F.min(F.struct("o", "at", "h", "off")).alias("rep")).where("c > 1")
     met = hot.join(again, "digest")
     if keep_first:
-        met = met.where(~((F.col("rep._order") == F.col("_order")) & (F.col("rep.at") == F.col("at")) & (F.col("rep.h") == F.col("h")) & (F.col("rep.off") == F.col("off"))))
+        met = met.where(~((F.col("rep.o") == F.col("o")) & (F.col("rep.at") == F.col("at")) & (F.col("rep.h") == F.col("h")) & (F.col("rep.off") == F.col("off"))))
     by_window = met.groupBy("key", "h").agg(F.collect_list(F.struct(F.col("off").alias("a"), (F.col("off") + 1).alias("b"))).alias("runs"))
     runs = ordered.unionByName(by_window).where(F.size("runs") > 0)
-    places = held.select("_t", F.inline("cand")).join(runs, ["key", "h"], "left")
+    places = held.select("t", F.inline("cand")).join(runs, ["key", "h"], "left")
     whole_run = F.array(F.struct(F.lit(0).alias("a"), F.col("n").alias("b")))
     marks = places.withColumn("runs", F.when(F.col("gone"), whole_run).otherwise(F.col("runs"))).where(F.col("runs").isNotNull())
-    marks = marks.groupBy("_t").agg(F.collect_list(F.struct("at", "runs")).alias("marks"))
-    return held.select("_t", "_text").join(marks, "_t").mapInArrow(lambda it: _remove(it, least, words), "_t binary, n_removed bigint, n_spans bigint, kept string, kept_sha256 string")
+    marks = marks.groupBy("t").agg(F.collect_list(F.struct("at", "runs")).alias("marks"))
+    return held.select("t", "text").join(marks, "t").mapInArrow(lambda it: _remove(it, least, words), "t binary, n_removed bigint, n_spans bigint, kept string, kept_sha256 string")
 
 
 def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, min_bytes: int = MIN_BYTES, keep_first: bool = True, min_words: int | None = None) -> DataFrame:
@@ -334,36 +404,65 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     whatever white space is between them; the white space around a span stays.
 
     keep_first: of equal strings the first stays (by least id of the text, then
-    place), and of equal texts the row with the least id; otherwise all go. Spans
-    overlap freely and are judged on the input. A character cut by a span's edge
-    goes whole. Null texts count as empty and become so. Rows with one id and one
-    text count as copies; of these the first by row stays. Other columns pass
-    through; a frame without rows gives none.
+    place; ids that aren't whole numbers as strings), and of equal texts the row with
+    the least id; otherwise all go. Spans overlap freely and are judged on the input.
+    A character cut by a span's edge goes whole. Null texts count as empty and
+    become so; null ids come first. Rows with one id and one text count as copies; of
+    these the first by row stays. Other columns, whatever their names, pass through
+    (_n_removed and _n_spans are replaced); a frame without rows gives none.
     """
     found = removals(docs, id_col, text_col, min_bytes=min_bytes, keep_first=keep_first, min_words=min_words)
-    rows = docs.withColumn("_t", text_digest(text_col)).withColumn("_row", F.monotonically_increasing_id())
+    rows = numbered(docs, id_col, text_col, "suffix-rows")
+    texts = distinct_texts(docs, text_col).join(found.select("t", "n_removed", "n_spans", "kept"), "t", "left")
     if keep_first:
-        order = F.struct(F.coalesce(F.col(id_col).cast("bigint"), F.lit(-(2**63))).alias("o"), F.col("_row").alias("r"))
-        firsts = rows.where(_long_enough(text_col, min_bytes, min_words)).groupBy("_t").agg(F.min(order).alias("_first"))
-        rows = rows.join(firsts, "_t", "left")
-        copy = F.col("_first").isNotNull() & (order != F.col("_first"))
+        firsts = rows.groupBy("t").agg(F.min(F.struct("id_order", "number")).alias("first"))
+        texts = texts.join(firsts, "t")
+        copy = _long_enough(F.col("text"), min_bytes, min_words) & (F.col("number") != F.col("first.number"))
     else:
         copy = F.lit(False)
-    joined = rows.join(found.select("_t", F.col("n_removed").alias("_gone"), F.col("n_spans").alias("_runs"), F.col("kept").alias("_rest")), "_t", "left")
-    size = F.octet_length(whole(F.col(text_col))).cast("bigint")
-    kept = F.when(copy, F.lit("")).when(F.col("_rest").isNull(), whole(F.col(text_col))).otherwise(F.col("_rest"))
+    joined = rows.join(texts, "t")
+    kept = F.when(copy, F.lit("")).otherwise(F.coalesce("kept", "text"))
+    zero = F.lit(0).cast("bigint")
+    names = [c for c in docs.columns if c not in ("_n_removed", "_n_spans")]
     return joined.select(
-        *[kept.alias(c) if c == text_col else F.col(c) for c in docs.columns],
-        F.when(copy, size).otherwise(F.coalesce("_gone", F.lit(0).cast("bigint"))).alias("_n_removed"),
-        F.when(copy, F.lit(1).cast("bigint")).otherwise(F.coalesce("_runs", F.lit(0).cast("bigint"))).alias("_n_spans"),
+        *[kept.alias(c) if c == text_col else F.col("row")[c].alias(c) for c in names],
+        F.when(copy, F.octet_length("text").cast("bigint")).otherwise(F.coalesce("n_removed", zero)).alias("_n_removed"),
+        F.when(copy, F.lit(1).cast("bigint")).otherwise(F.coalesce("n_spans", zero)).alias("_n_spans"),
     )
 
 
+def _settled(found: DataFrame, label: str, tables: Scope) -> DataFrame:
+    """The rows as a table of their own; those that they were made from go."""
+    with Scope():
+        kept = written(found, label)
+    tables.begin()
+    return kept
+
+
 def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document: doc_id, n_bytes, n_removed, n_spans, kept_sha256 by 400-byte strings; n_passages, n_passage_bytes, repeats.
+
+    n_passages and n_passage_bytes are the spans and bytes under runs of over 50 words
+    that also stand elsewhere, whatever their bytes; repeats is true where either
+    kind is found. A null or empty text loses nothing; repeated rows lose all that
+    they share; an empty table gives none.
+    """
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    found = removals(docs).select("_t", "n_removed", "n_spans", "kept_sha256")
-    rows = docs.select("doc_id", text_digest().alias("_t"), F.octet_length(whole(F.col("text"))).cast("bigint").alias("n_bytes"), F.sha2(whole(F.col("text")), 256).alias("_sha"))
+    with Scope() as tables:
+        found = _settled(removals(docs).select("t", "n_removed", "n_spans", "kept_sha256"), "suffix-found", tables)
+    with Scope() as tables:
+        passages = removals(docs, min_words=PASSAGE_WORDS).select("t", F.col("n_removed").alias("n_passage_bytes"), F.col("n_spans").alias("n_passages"))
+        passages = _settled(passages, "suffix-passages", tables)
+    text = whole(F.col("text"))
+    rows = docs.select("doc_id", text_digest().alias("t"), F.octet_length(text).cast("bigint").alias("n_bytes"), F.sha2(text, 256).alias("sha"))
     zero = F.lit(0).cast("bigint")
-    return rows.join(found, "_t", "left").select(
-        "doc_id", "n_bytes", F.coalesce("n_removed", zero).alias("n_removed"), F.coalesce("n_spans", zero).alias("n_spans"), F.coalesce("kept_sha256", "_sha").alias("kept_sha256")
+    out = rows.join(found, "t", "left").join(passages, "t", "left").select(
+        "doc_id",
+        "n_bytes",
+        F.coalesce("n_removed", zero).alias("n_removed"),
+        F.coalesce("n_spans", zero).alias("n_spans"),
+        F.coalesce("kept_sha256", "sha").alias("kept_sha256"),
+        F.coalesce("n_passages", zero).alias("n_passages"),
+        F.coalesce("n_passage_bytes", zero).alias("n_passage_bytes"),
     )
+    return out.withColumn("repeats", (F.col("n_removed") > 0) | (F.col("n_passage_bytes") > 0))
