@@ -1,11 +1,15 @@
 import hashlib
+import math
 import random
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from verdigris.llm import near_dedup as M
 from verdigris.llm.components import components
 
+from compare import SMALL
+
 WORDS = [f"w{i}" for i in range(5000)]
 
 
@@ -104,7 +108,7 @@ def test_pairs_in_large_buckets_of_a_template(spark):
     new = lambda n: [f"z{rng.random()}" for _ in range(n)]
     rows = []
     for _ in range(150):
-        both = new(45)
+        both = new(105)
         rows += [" ".join(template + both + new(4)) for _ in range(2)]
     idf = M.inverse_frequencies(*sketch(rows))
     bags = [M.bag(t, idf) for t in rows]
@@ -129,7 +133,65 @@ def test_links_across_leaves_sides_and_roots():
 
 
 def sketch(rows):
-    slots = np.zeros(M.SLOTS, np.int64)
+    """What document_frequencies gathers, for texts that aren't copies."""
+    own, slots = np.zeros(M.SLOTS, np.float32), np.zeros(M.SLOTS, np.float32)
+    for t in rows:
+        own[int(M.shingles(t).min()) & M.SLOTS - 1] += 1
     for t in rows:
-        np.add.at(slots, (np.unique(M.shingles(t)) & np.uint64(M.SLOTS - 1)).astype(np.int64), 1)
+        e = np.unique(M.shingles(t))
+        np.add.at(slots, M._slots(e), 1 / M._over_chance(own)[int(e[0]) & M.SLOTS - 1])
     return slots, len(rows)
+
+
+def test_frequencies_count_copies_once(spark):
+    """A line of many documents weighs less than others, a text of many copies doesn't."""
+    rng = random.Random(7)
+    new = lambda n: " ".join(f"z{rng.random()}" for _ in range(n))
+    common, copied = new(5), new(60)
+    rows = [f"{new(30)} {common}" for _ in range(400)] + [copied] * 400
+    slots, n = M.document_frequencies(spark.createDataFrame([(t,) for t in rows], "_text string"))
+    idf = M.inverse_frequencies(slots, n)
+    weight = lambda text: float(np.median(idf[M._slots(M.shingles(text))]))
+    assert n == 800 and abs(weight(common) - math.log(3)) < 0.1
+    assert abs(weight(copied) - weight(new(60))) < 0.1 and weight(copied) > 6
+    want = sketch(rows)[0]
+    assert np.allclose(slots, want, atol=1e-3)
+
+
+def test_classes_against_all_pairs(spark):
+    """Recall and precision of the classes of the smallest tables against the weighted Jaccard similarity of all pairs."""
+    texts = [r.text or "" for r in spark.read.parquet(f"{SMALL}/documents.parquet").select("text").collect()]
+    rng = random.Random(8)
+    for t in list(texts[:60]):
+        words = t.split(" ")
+        for share in (0.01, 0.03, 0.05, 0.1):
+            w = list(words)
+            for i in rng.sample(range(len(w)), int(len(w) * share / 2)):
+                w[i] = f"y{rng.random()}"
+            texts.append(" ".join(w))
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    slots, n = M.document_frequencies(df.select(F.col("text").alias("_text")))
+    idf = M.inverse_frequencies(slots, n)
+    bags = [M.bag(t, idf) for t in texts]
+    near = {(i, j) for j in range(len(texts)) for i in range(j) if texts[i] == texts[j] or M.weighted_jaccard(bags[i], bags[j]) >= M.THRESHOLD}
+    assert len(near) > 100
+    parent = list(range(len(texts)))
+
+    def root(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    for i, j in near:
+        a, b = root(i), root(j)
+        parent[max(a, b)] = min(a, b)
+    got = {r.doc_id: r._class for r in M.near_classes(df).collect()}
+    together = sum(got[i] == got[j] for i, j in near)
+    assert together >= 0.99 * len(near)
+    assert all(root(got[i]) == root(i) for i in got)  # nothing else is linked
+
+
+def test_clashing_names(spark):
+    df = spark.createDataFrame([(f"id{i}", "one two three four five six", 1, 2, 3, 4) for i in range(2)], "doc_id string, text string, t int, row int, number int, _t int")
+    rows = M.near_classes(df).collect()
+    assert sorted((r.doc_id, r.t, r.row, r.number, r._t, r._class, r._kept) for r in rows) == [("id0", 1, 2, 3, 4, "id0", True), ("id1", 1, 2, 3, 4, "id0", False)]

@@ -1,9 +1,12 @@
 """Near duplicates by improved consistent weighted sampling over TF-IDF shingles.
 
 Equal texts collapse by digest first. A text is the bag of its five-word shingles,
-weighted by frequency times inverse document frequency. Document frequencies come
-from one count sketch over all documents (its size is fixed; the mean load of a
-slot is taken off), so rare shingles weigh alike and boilerplate weighs less.
+weighted by frequency times inverse document frequency, ln(1 + n / df) without a
+cap. Document frequencies come from a count sketch over all documents of fixed size,
+less the mean load of a slot; what lies within three standard deviations of that
+counts as 1. Copies are no evidence that a passage is common: a document weighs one
+over the number of documents with its own least shingle hash (a second such
+sketch), so that a group of copies or near copies counts like a few documents.
 
 Each of BANDS x ROWS samples is, for a pair of texts, equal with probability their
 weighted Jaccard similarity. Texts that agree in all samples of a band share a
@@ -27,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..shipping import ship
-from .common import table, whole, written
+from .common import distinct_texts, numbered, pieces_by_bytes, released, table, text_digest, unboxed, whole, written
 from .components import components
 
 SHINGLE = 5
@@ -36,13 +39,14 @@ BANDS, ROWS = 12, 3
 SAMPLES = BANDS * ROWS
 #: Equal samples of a pair under which it can't reach the threshold (by chance: 1 in 10 million).
 LEAST_EQUAL = 15
-SLOTS = 1 << 18
+SLOTS = 1 << 20
 SLOT_BLOCK = 1 << 12
-#: Shingles in fewer than one in so many documents weigh the same.
-RARE = 10
-#: As are shingles in no more documents than this.
-FEW = 5
+#: Standard deviations of a slot's load under which a count is taken for chance.
+NOISE = 3.0
+#: Texts of a family that are verified in one task; a text counts once more for every WEIGHT bytes.
 FAMILY = 2_000
+WEIGHT = 16 << 10
+SLICE_BYTES = 4 << 20
 PIVOTS = 16
 GROUP_BYTES = 4 << 20
 
@@ -95,10 +99,14 @@ def shingles(text: str) -> np.ndarray:
     return _mix(total)
 
 
+def _slots(e: np.ndarray) -> np.ndarray:
+    return (e & _U(SLOTS - 1)).astype(np.int64)
+
+
 def bag(text: str, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Distinct shingles, ascending, and their weights."""
     e, n = np.unique(shingles(text), return_counts=True)
-    return e, n * idf[(e & _U(SLOTS - 1)).astype(np.int64)]
+    return e, n * idf[_slots(e)].astype(np.float64)
 
 
 def weighted_jaccard(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> float:
@@ -142,41 +150,75 @@ def band_hashes(sig: np.ndarray) -> np.ndarray:
     return (h ^ (np.arange(BANDS, dtype=np.uint64) * _U(0xD6E8FEB86659FD93))).view(np.int64)
 
 
-def document_frequencies(texts: DataFrame) -> tuple[np.ndarray, int]:
-    """The sketch over all rows of _text, and their number. SLOTS counts reach the driver."""
+def _summed(texts: DataFrame, add) -> tuple[np.ndarray, int]:
+    """SLOTS sums over all rows of _text, and their number. add(slots, text) adds a text's share.
+
+    Tasks' sums are added up in two levels, so that no task reads more than the
+    square root of their number. SLOTS sums, whatever the data, reach the driver.
+    """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        slots, n = np.zeros(SLOTS, np.int64), 0
-        for batch in batches:
+        slots, n = np.zeros(SLOTS, np.float32), 0
+        for batch in (x for y in batches for x in pieces_by_bytes(y, "_text", SLICE_BYTES)):
             for text in batch.column("_text").to_pylist():
-                e = np.unique(shingles(text))
-                slots += np.bincount((e & _U(SLOTS - 1)).astype(np.int64), minlength=SLOTS) if len(e) > SLOTS // 8 else 0
-                if len(e) <= SLOTS // 8:
-                    np.add.at(slots, (e & _U(SLOTS - 1)).astype(np.int64), 1)
+                add(slots, text)
                 n += 1
         if n:
+            from pyspark import TaskContext
+
             blocks = slots.reshape(-1, SLOT_BLOCK)
-            yield pa.RecordBatch.from_arrays([pa.array(range(len(blocks)), pa.int32()), pa.array([b.tobytes() for b in blocks], pa.binary()), pa.array([n] + [0] * (len(blocks) - 1), pa.int64())], ["block", "counts", "n"])
+            salt = TaskContext.get().partitionId() % salts
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(range(len(blocks)), pa.int32()), pa.array([salt] * len(blocks), pa.int32()), pa.array([b.tobytes() for b in blocks], pa.binary()), pa.array([n] + [0] * (len(blocks) - 1), pa.int64())],
+                ["block", "salt", "sums", "n"],
+            )
+        released()
 
-    def add(group):
-        total = sum(np.frombuffer(x, np.int64) for x in group.column("counts").to_pylist())
-        return pa.table({"block": pa.array([group.column("block")[0].as_py()], pa.int32()), "counts": pa.array([total.tobytes()], pa.binary()), "n": pa.array([sum(group.column("n").to_pylist())], pa.int64())})
+    def both(group):
+        total = sum(np.frombuffer(x, np.float32).astype(np.float64) for x in group.column("sums").to_pylist())
+        return pa.table({"block": group.column("block")[:1], "salt": group.column("salt")[:1], "sums": pa.array([total.astype(np.float32).tobytes()], pa.binary()), "n": pa.array([sum(group.column("n").to_pylist())], pa.int64())})
 
-    shape = "block int, counts binary, n bigint"
-    rows = texts.select("_text").mapInArrow(count, shape).groupBy("block").applyInArrow(add, shape).orderBy("block").collect()
+    salts = max(1, math.isqrt(texts.rdd.getNumPartitions()))
+    shape = "block int, salt int, sums binary, n bigint"
+    once = texts.select("_text").mapInArrow(count, shape).groupBy("block", "salt").applyInArrow(both, shape)
+    rows = once.groupBy("block").applyInArrow(both, shape).orderBy("block").collect()
     if not rows:
-        return np.zeros(SLOTS, np.int64), 0
-    return np.concatenate([np.frombuffer(r["counts"], np.int64) for r in rows]), sum(r["n"] for r in rows)
+        return np.zeros(SLOTS, np.float32), 0
+    return np.concatenate([np.frombuffer(r["sums"], np.float32) for r in rows]), sum(r["n"] for r in rows)
+
+
+def _over_chance(slots: np.ndarray) -> np.ndarray:
+    """The sums less the mean load; 1 where that is within NOISE standard deviations, and at least."""
+    mean = float(slots.mean(dtype=np.float64))
+    over = slots - np.float32(mean)
+    return np.maximum(1.0, np.where(over > NOISE * math.sqrt(mean), over, 1.0))
+
+
+def document_frequencies(texts: DataFrame) -> tuple[np.ndarray, int]:
+    """The sketch of all rows of _text, each weighing one over the size of its group of copies, and the number of rows."""
+
+    def own(slots: np.ndarray, text: str) -> None:
+        e = shingles(text)
+        if len(e):
+            slots[int(e.min()) & SLOTS - 1] += 1
+
+    shares = (1.0 / _over_chance(_summed(texts, own)[0])).astype(np.float32)
+
+    def add(slots: np.ndarray, text: str) -> None:
+        e = np.unique(shingles(text))
+        if len(e):
+            np.add.at(slots, _slots(e), shares[int(e[0]) & SLOTS - 1])
+
+    return _summed(texts, add)
 
 
 def inverse_frequencies(slots: np.ndarray, n: int) -> np.ndarray:
-    """ln(1 + n / df), with df the slot's count less the mean load, FEW at least, and n / df at most RARE."""
-    df = np.maximum(FEW, slots - slots.mean())
-    return np.log1p(np.minimum(max(n, 1) / df, RARE))
+    """ln(1 + n / df) for every slot."""
+    return np.log1p(max(n, 1) / _over_chance(slots)).astype(np.float32)
 
 
 def _sign(batches: Iterator[pa.RecordBatch], idf: np.ndarray) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in (x for y in batches for x in pieces_by_bytes(y, "_text", SLICE_BYTES)):
         texts, at = batch.column("_text").to_pylist(), 0
         while at < len(texts):
             bags, low, size = [], at, 0
@@ -196,9 +238,11 @@ def _sign(batches: Iterator[pa.RecordBatch], idf: np.ndarray) -> Iterator[pa.Rec
                     batch.column("_t").slice(low, len(bags)),
                     pa.array([r.tobytes() for r in sig], pa.binary()),
                     pa.array([b.tolist() if i in some else [] for i, b in enumerate(bands)], pa.list_(pa.int64())),
+                    pa.array([1 + len(x) // WEIGHT for x in texts[low:at]], pa.int64()),
                 ],
-                ["_t", "sig", "bands"],
+                ["_t", "sig", "bands", "weight"],
             )
+    released()
 
 
 def links_of(texts: list[str], sigs: list[bytes], idf: np.ndarray, threshold: float = THRESHOLD) -> list[tuple[int, int]]:
@@ -279,20 +323,20 @@ def _verify_across(idf: np.ndarray, threshold: float):
 
 
 def _units_across(large: DataFrame, roots: DataFrame, family: int) -> DataFrame:
-    """(_t, root, band, side, unit) of all pairs of large buckets (_t, band, h) whose texts have different roots (node, root).
+    """(_t, root, band, side, unit) of all pairs of large buckets (_t, band, h, weight) whose texts have different roots (node, root).
 
     A bucket's largest root is not compared with itself. The other texts, in chunks,
     meet one another and the chunks of the largest; a unit holds two chunks, about
     family texts, and a pair of chunks is in one unit.
     """
     known = large.join(roots.withColumnRenamed("node", "_t"), "_t", "left").withColumn("root", F.coalesce("root", "_t"))
-    known = written(known.select("_t", "band", "h", "root"), "near-large")
-    counts = known.groupBy("band", "h", "root").agg(F.count(F.lit(1)).alias("k"))
+    known = written(known.select("_t", "band", "h", "root", "weight"), "near-large")
+    counts = known.groupBy("band", "h", "root").agg(F.sum("weight").alias("k"))
     heads = counts.groupBy("band", "h").agg(F.max(F.struct("k", "root")).alias("m"), F.sum("k").alias("n")).where("m.k < n")
     part = max(1, family // 2)
     chunks = lambda n: F.ceil(n / part).cast("int")
     heads = heads.select("band", "h", F.col("m.root").alias("head"), chunks(F.col("m.k")).alias("n_head"), chunks(F.col("n") - F.col("m.k")).alias("n_rest"))
-    dealt = known.join(F.broadcast(heads), ["band", "h"])  # at most one row for family rows of a band
+    dealt = known.join(heads, ["band", "h"])  # at most one row for a weight of family in a band; AQE takes a shuffled join where that is much
     in_head = F.col("root") == F.col("head")
     dealt = dealt.withColumn("chunk", F.pmod(F.xxhash64("_t"), F.when(in_head, F.col("n_head")).otherwise(F.col("n_rest"))).cast("int"))
     own = F.col("chunk")
@@ -325,17 +369,18 @@ def _verify(idf: np.ndarray, threshold: float):
 def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, threshold: float = THRESHOLD, family: int = FAMILY) -> DataFrame:
     """(_t, root): the class of every distinct text that has a near duplicate; root is the least digest in it."""
     ship(docs.sparkSession)
-    texts = docs.select(F.unhex(F.md5(whole(F.col(text_col)))).alias("_t"), whole(F.col(text_col)).alias("_text"))
+    texts = docs.select(text_digest(text_col).alias("_t"), whole(F.col(text_col)).alias("_text"))
     slots, n = document_frequencies(texts)
     idf = inverse_frequencies(slots, n)
-    signed = texts.mapInArrow(lambda it: _sign(it, idf), "_t binary, sig binary, bands array<bigint>").groupBy("_t").agg(F.first("sig").alias("sig"), F.first("bands").alias("bands"))
-    signed = written(signed, "near-samples")
-    bands = signed.select("_t", F.posexplode("bands").alias("band", "h"))
-    buckets = bands.groupBy("band", "h").agg(F.min("_t").alias("least"), F.count(F.lit(1)).alias("size")).where("size > 1")
+    signed = texts.mapInArrow(lambda it: _sign(it, idf), "_t binary, sig binary, bands array<bigint>, weight bigint")
+    signed = written(signed.groupBy("_t").agg(F.first("sig").alias("sig"), F.first("bands").alias("bands"), F.first("weight").alias("weight")), "near-samples")
+    bands = signed.select("_t", "weight", F.posexplode("bands").alias("band", "h"))
+    buckets = bands.groupBy("band", "h").agg(F.min("_t").alias("least"), F.count(F.lit(1)).alias("n"), F.sum("weight").alias("size")).where("n > 1")
     members = written(bands.join(buckets, ["band", "h"]), "near-buckets")
     families = components(members.where(F.col("_t") != F.col("least")).select(F.col("_t").alias("u"), F.col("least").alias("v")).distinct())
     families = written(families, "near-families")
-    big = families.groupBy("root").agg(F.count(F.lit(1)).alias("k")).where(F.col("k") > family).select("root")
+    weights = signed.select(F.col("_t").alias("node"), "weight")
+    big = families.join(weights, "node").groupBy("root").agg(F.sum("weight").alias("k")).where(F.col("k") > family).select("root")
     small_units = families.join(big, "root", "left_anti").select(F.col("node").alias("_t"), F.xxhash64("root").alias("unit"))
     # large families: bucket by bucket, large buckets first in chunks that share their pivots
     in_big = members.join(families.join(big, "root", "left_semi").select(F.col("node").alias("_t")), "_t", "left_semi")
@@ -354,7 +399,7 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *,
     placed = held.select("_t", "_text", "sig", F.explode("units").alias("unit"))
     links = placed.groupBy(F.pmod("unit", F.lit(groups)).alias("group")).applyInArrow(_verify(idf, threshold), "u binary, v binary")
     roots = components(written(links, "near-links"))
-    large = in_big.where(F.col("size") > family).select("_t", "band", "h")
+    large = in_big.where(F.col("size") > family).select("_t", "band", "h", "weight")
     if not large.isEmpty():
         across = written(_units_across(large, roots, family), "near-across")
         met = held.select("_t", "_text", "sig").join(across, "_t")
@@ -369,22 +414,29 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """Every row of docs with _class, the least id in its class, and _kept, true for one row of each class.
 
     Equal texts are one class, texts without words among them (null counts as
-    empty). The row that stays has the least id; of equal ids and texts, one. A
-    frame without rows gives none; other columns pass through.
+    empty). The row that stays has the least id; a null id comes last; of equal ids
+    and texts, one. A frame without rows gives none; other columns, whatever their
+    names, pass through (_class and _kept are replaced).
     """
-    roots = classes(docs, id_col, text_col, threshold=threshold)
-    rows = docs.withColumn("_t", F.unhex(F.md5(whole(F.col(text_col))))).withColumn("_row", F.monotonically_increasing_id())
-    slim = rows.select("_t", F.col(id_col).alias("_id"), "_row").join(roots, "_t", "left").withColumn("_root", F.coalesce("root", "_t"))
-    first = slim.groupBy("_root").agg(F.min(F.struct(F.col("_id").isNull().alias("n"), "_id", "_t", "_row")).alias("least"))
-    by_text = slim.select("_t", "_root").distinct().join(first, "_root").select("_t", F.col("least").alias("_least"))
-    out = rows.join(by_text, "_t")
-    return out.select(*[F.col(c) for c in docs.columns], F.col("_least._id").alias("_class"), ((F.col("_row") == F.col("_least._row")) & (F.col("_t") == F.col("_least._t"))).alias("_kept"))
+    roots = classes(docs, id_col, text_col, threshold=threshold).withColumnRenamed("_t", "t")
+    rows = numbered(docs, id_col, text_col, "near-rows")
+    met = rows.select("t", "id", "id_null", "number").join(roots, "t", "left").withColumn("root", F.coalesce("root", "t"))
+    first = met.groupBy("root").agg(F.min(F.struct("id_null", "id", "t", "number")).alias("least"))
+    by_text = met.select("t", "root").distinct().join(first, "root").select("t", "least")
+    out = rows.join(distinct_texts(docs, text_col), "t").join(by_text, "t")
+    keep = [c for c in docs.columns if c not in ("_class", "_kept")]
+    return out.select(*[F.col("text").alias(c) if c == text_col else F.col("row")[c].alias(c) for c in keep], F.col("least.id").alias("_class"), (F.col("number") == F.col("least.number")).alias("_kept"))
 
 
 def op9_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with its class of near copies: doc_id, class_id (its least doc_id), class_size, kept.
+
+    Equal texts are one class, texts without words among them (null counts as
+    empty); repeated rows stay; an empty table gives none.
+    """
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     roots = classes(docs)
-    slim = docs.select("doc_id", F.unhex(F.md5(whole(F.col("text")))).alias("_t")).join(roots, "_t", "left").withColumn("_root", F.coalesce("root", "_t"))
+    slim = docs.select("doc_id", text_digest().alias("_t")).join(roots, "_t", "left").withColumn("_root", F.coalesce("root", "_t"))
     slim = written(slim.select("doc_id", "_root"), "near-classes")
     first = slim.groupBy("_root").agg(F.min("doc_id").alias("class_id"), F.count(F.lit(1)).alias("class_size"))
     return slim.join(first, "_root").select("doc_id", "class_id", "class_size", (F.col("doc_id") == F.col("class_id")).alias("kept"))
