@@ -19,8 +19,10 @@ BIN_BITS = 7
 BINS = 1 << BIN_BITS
 BITS = 8
 SHINGLE = 5
-#: Row ranges for each shuffle partition.
+#: Row ranges for each shuffle partition, or more: one for every so many bytes of text, up to a number whose bounds are a small literal.
 RANGES = 4
+RANGE_BYTES = 64 << 20
+MOST_RANGES = 20_000
 
 
 def _bin(x: Column) -> Column:
@@ -64,7 +66,8 @@ def likeness(a: Column, b: Column) -> Column:
 
 def _ranged(docs: DataFrame) -> DataFrame:
     """docs (doc_id, text) with _range, and rows again where a range needs the first row after it (_extra 1; after the last: _extra 2)."""
-    n = RANGES * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    size = docs.agg(F.sum(F.octet_length("text").cast("bigint"))).first()[0] or 0
+    n = min(MOST_RANGES, max(RANGES * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size // RANGE_BYTES)))
     cuts = docs.agg(F.percentile_approx("doc_id", [i / n for i in range(1, n)], 20 * n).alias("c")).first()["c"]  # one id for each range
     bounds = sorted(set(cuts or []))
     listed = lambda ids: F.split(F.lit(",".join(map(str, ids))), ",").cast("array<bigint>")  # noqa: E731  folds to one literal
@@ -119,4 +122,5 @@ def fingerprint_neighbours(docs: DataFrame) -> DataFrame:
 
 
 def op3_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document beside its edited text and the next document: see fingerprint_neighbours(). An empty table gives none."""
     return fingerprint_neighbours(table(spark, sf_dir, "documents").select("doc_id", "text"))

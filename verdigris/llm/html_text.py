@@ -20,12 +20,14 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..shipping import ship
-from .common import table, whole
+from .common import boxed, pieces_by_bytes, released, table, unboxed, whole
 
 #: Labelled pages that the weights are counted on, in expectation.
 SAMPLE_PAGES = 2_000
+SLICE_BYTES = 4 << 20
 #: Without labelled pages: a word's and a tag's score.
 PRIOR = {"word": 1.0, "tag": -3.25}
 #: Of a block in a box of other matter, whatever its length.
@@ -36,18 +38,18 @@ UNSEEN_TAG = -1.0
 INNER_TAG = -0.1
 INNER_WORD = 0.3
 
-_RAW = "script|style|noscript|template|textarea|title|svg|math|iframe|object|canvas|select|button|audio|video|noembed|noframes|xmp"
-_TOKEN = re.compile(
-    r"<!--.*?(?:--!?>|\Z)"
-    rf"|<({_RAW})(?=[\s/>])[^>]*>.*?(?:</\1(?=[\s/>])[^>]*>|\Z)"
-    r"|<!\[CDATA\[.*?(?:\]\]>|\Z)"
-    r"|<[!?][^>]*(?:>|\Z)"
-    r"|<(/?)([a-z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^>\"'])*+)>"
-    r"|<(/?)([a-z][^\s/>]*)([^>]*)(?:>|\Z)"
-    r"|</[^>]*(?:>|\Z)",
-    re.S | re.I,
-)
-_INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark nobr q ruby rt rp s samp small span strike strong sub sup time tt u var wbr img input".split())
+#: Elements whose content is no text of the page.
+_RAW = frozenset("script style noscript template textarea title iframe select noembed noframes".split())
+#: Among them form fields, which stand in a line of text.
+_RAW_INLINE = frozenset(("textarea", "select"))
+_NAME = re.compile(r"</?([A-Za-z][^\s/>]*)")
+_TAG = re.compile(r"<(/?)([A-Za-z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^>\"'])*+)>")
+_RAW_END = {name: re.compile(rf"</{name}(?=[\s/>])", re.I) for name in _RAW}
+_INLINE = frozenset(("textarea", "select"))
+_NAME = re.compile(r"</?([A-Za-z][^\s/>]*)")
+_TAG = re.compile(r"<(/?)([A-Za-z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^>\"'])*+)>")
+_ASCII_LOWER = {c: c + 32 for c in range(65, 91)}
+_INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark nobr q ruby rt rp s samp small span strike strong sub sup time tt u var wbr img input button math mi mn mo mrow msup msub mtext svg text tspan object canvas output meter progress".split())
 _CONTAINERS = frozenset("article aside body center details dialog div dl fieldset figure footer form header html main menu nav ol section table ul".split())
 _BOX_TAGS = frozenset("nav aside footer form menu dialog head".split())
 _BOX_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar".split())
@@ -57,7 +59,11 @@ _BOX_WORDS = re.compile(
     r"|popup|modal|overlay|newsletter|subscribe|signup|login|search|comments?|commentlist|disqus|replies|respond|share|sharing|social|related|recommended|widget|toolbar|pagination|pager|tags?|disclaimer|legal|copyright)(?=$|[\s_-])",
     re.I,
 )
+#: Of these, the ones that name a page's head, but an article's own one within it.
+_HEAD_WORDS = frozenset(("header", "masthead", "topbar", "banner"))
 _MAIN = re.compile(r"<(?:article|main)(?=[\s>])", re.I)
+#: Tags whose counts are kept apart; all others count as one.
+_COUNTED = frozenset("p br hr h1 h2 h3 h4 h5 h6 li dt dd tr td th thead tbody tfoot caption blockquote pre address figcaption summary legend option optgroup head link meta base picture source svg path math button object canvas video audio param embed area map col colgroup".split())
 _CLASS = re.compile(r"""\b(?:class|id)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 _ROLE = re.compile(r"""\brole\s*=\s*["']?([\w-]+)""", re.I)
 _HIDDEN = re.compile(r"""(?:^|\s)hidden(?=[\s=/]|$)|aria-hidden\s*=\s*["']?true|display\s*:\s*none""", re.I)
@@ -73,7 +79,83 @@ def _is_box(name: str, attributes: str, within: bool) -> bool:
     role = _ROLE.search(attributes)
     if role and role[1].lower() in _BOX_ROLES:
         return True
-    return any(_BOX_WORDS.search(next(x for x in m.groups(default="") if x or m.lastindex is None)) for m in _CLASS.finditer(attributes) if m.lastindex)
+    for m in _CLASS.finditer(attributes):
+        for word in _BOX_WORDS.finditer(next((x for x in m.groups() if x), "")):
+            if not (within and word[0].strip(" \t\r\n_-").lower() in _HEAD_WORDS):
+                return True
+    return False
+
+
+def tokens_of(page: str) -> Iterator[tuple[str, str, bool, str]]:
+    """("text", raw, False, "") and ("tag", name, closing, attributes) and ("raw", name, False, "") in page order, in time linear in the page.
+
+    Every kind of end is looked for at most once where there is none; after a tag
+    whose quotes never close, quotes no longer hide a >.
+    """
+    none: set[str] = set()  # ends that don't come any more
+    quotes, at, size = True, 0, len(page)
+
+    def after(end: str, start: int) -> int:
+        if end in none:
+            return size
+        hit = page.find(end, start)
+        if hit < 0:
+            none.add(end)
+            return size
+        return hit + len(end)
+
+    def after_raw(name: str, start: int) -> int:
+        hit = None if name in none else _RAW_END[name].search(page, start)
+        if hit is None:
+            none.add(name)
+            return size
+        return after(">", hit.end())
+
+    while at < size:
+        here = page.find("<", at)
+        if here < 0 or here + 1 == size:
+            yield "text", page[at:], False, ""
+            return
+        tag = _TAG.match(page, here) if quotes else None
+        if tag:
+            if here > at:
+                yield "text", page[at:here], False, ""
+            slash, name, attributes = tag.groups()
+            name = name.lower()
+            at = tag.end()
+            if name not in _RAW or slash:
+                yield "tag", name, slash == "/", attributes
+                continue
+            yield "raw", name, False, ""
+            at = after_raw(name, at)
+            continue
+        if page.startswith("<!--", here):
+            stop = min(after("-->", here + 4), after("--!>", here + 4))
+        elif page.startswith("<![CDATA[", here):
+            stop = after("]]>", here)
+        elif page[here + 1] in "!?":
+            stop = after(">", here)
+        else:
+            m = _NAME.match(page, here)
+            if not m:
+                if page[here + 1] != "/":
+                    yield "text", page[at : here + 1], False, ""
+                    at = here + 1
+                    continue
+                stop, name = after(">", here), ""
+            else:
+                name = m[1].lower()
+                quotes = False  # as _TAG doesn't match
+                stop = after(">", m.end())
+            if here > at:
+                yield "text", page[at:here], False, ""
+            if name:
+                yield "tag", name, page[here + 1] == "/", page[m.end() : stop].removesuffix(">")
+            at = stop
+            continue
+        if here > at:
+            yield "text", page[at:here], False, ""
+        at = stop
 
 
 def items_of(page: str) -> list[tuple]:
@@ -100,25 +182,25 @@ def items_of(page: str) -> list[tuple]:
                 out.append(("block", block, f"{kind}{'+a' if 2 * linked > chars else ''}", box > 0, within > 0))
             parts, linked, chars = [], 0, 0
 
-    at = 0
-    for m in _TOKEN.finditer(page):
-        text(page[at : m.start()])
-        at = m.end()
-        name = (m[3] or m[6] or "").lower()
-        if not name:
-            if m[1] and m[1].lower() not in ("textarea", "button", "select"):
+    open_: Counter = Counter()
+    for sort, name, closing, attributes in tokens_of(page):
+        if sort == "text":
+            text(name)
+            continue
+        if sort == "raw":
+            if name not in _RAW_INLINE:
                 end()
             continue
-        closing, attributes = bool(m[2] or m[5]), m[4] or m[7] or ""
         if name == "a":
             link = 0 if closing else 1
         if name in _INLINE:
             continue
         end()
         mark = len(out)
-        out.append(("tag", name, box > 0, within > 0))
+        kept_name = name if name in _COUNTED or name in _CONTAINERS else "other"
+        out.append(("tag", kept_name, box > 0, within > 0))
         if name not in _CONTAINERS:
-            kind = "body" if closing else name
+            kind = "body" if closing else kept_name
             if name != "br":
                 link = 0
             continue
@@ -127,17 +209,18 @@ def items_of(page: str) -> list[tuple]:
             if not attributes.rstrip().endswith("/"):
                 here = _is_box(name, attributes, within > 0)
                 stack.append((name, here))
+                open_[name] += 1
                 box += here
                 within += name in ("article", "main")
-                out[mark] = ("tag", name, box > 0, within > 0)
-        elif any(n == name for n, _ in stack):
+                out[mark] = ("tag", kept_name, box > 0, within > 0)
+        elif open_[name]:
             while True:
                 n, here = stack.pop()
+                open_[n] -= 1
                 box -= here
                 within -= n in ("article", "main")
                 if n == name:
                     break
-    text(page[at:])
     end()
     return out
 
@@ -222,7 +305,7 @@ def learn(pages: DataFrame, html_col: str = "html", id_col: str = "page_id", sam
         keys = list(found)
         yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in keys], pa.string()), pa.array([k[1] for k in keys], pa.string()), pa.array([found[k] for k in keys], pa.int64())], ["name", "here", "n"])
 
-    rows = some.mapInArrow(count, "name string, here string, n bigint").groupBy("name", "here").agg(F.sum("n").alias("n")).orderBy(F.desc("n")).limit(2_000).collect()
+    rows = some.mapInArrow(count, "name string, here string, n bigint").groupBy("name", "here").agg(F.sum("n").alias("n")).collect()  # as many as there are kinds of tags and blocks
     return fit({(r["name"], r["here"]): r["n"] for r in rows})
 
 
@@ -230,23 +313,25 @@ def extract_text(pages: DataFrame, html_col: str = "html", weights: dict[str, fl
     """Every row without html_col, with text and n_chars; columns of these names are replaced.
 
     A null or empty page, or one without a region of positive sum, has the empty
-    text. Pages are judged one by one, so repeated rows and clashing columns are no
-    matter. An unclosed tag, comment or script reaches to the end of the page.
+    text. Pages are judged one by one, so repeated rows are no matter; other columns,
+    whatever their names, pass through; an empty frame gives none. An unclosed tag,
+    comment or script reaches to the end of the page.
     """
     ship(pages.sparkSession)
     learned = learn(pages, html_col, id_col) if weights is None else weights
-    keep = [f for f in pages.schema.fields if f.name not in (html_col, "text", "n_chars")]
-    names = [f.name for f in keep]
-    ready = pages.select(*[F.col(c) for c in names], whole(F.col(html_col)).alias("_html"))
+    keep = [c for c in pages.columns if c not in (html_col, "text", "n_chars")]
+    ready = pages.select(boxed(pages, html_col, "text", "n_chars"), whole(F.col(f"`{html_col}`")).alias("html"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts = [main_text(x, learned) for x in batch.column("_html").to_pylist()]
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(texts, pa.string()), pa.array(map(len, texts), pa.int64())], [*names, "text", "n_chars"])
+        for batch in (x for y in batches for x in pieces_by_bytes(y, "html", SLICE_BYTES)):
+            texts = [main_text(x, learned) for x in batch.column("html").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(texts, pa.string()), pa.array(map(len, texts), pa.int64())], ["row", "text", "n_chars"])
+        released()
 
-    schema = type(pages.schema)([*keep]).add("text", "string").add("n_chars", "long")
-    return ready.mapInArrow(run, schema)
+    out = ready.mapInArrow(run, T.StructType([ready.schema["row"]]).add("text", "string").add("n_chars", "long"))
+    return out.select(*unboxed(keep), "text", "n_chars")
 
 
 def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page's main text: page_id, url, text, n_chars. A null or empty page has the empty text; repeated rows stay."""
     return extract_text(table(spark, sf_dir, "pages").select("page_id", "url", "html"))

@@ -20,7 +20,7 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import SPACE, SPACE_CLASS, table, whole, written
+from .common import SPACE, SPACE_CLASS, boxed, table, whole, written
 
 ALPHA = 0.02
 DELTA = 0.05
@@ -86,16 +86,12 @@ def upper_bound(k: int, n: int, delta: float) -> float:
     return high
 
 
-def measured(docs: DataFrame, text_col: str = "text", keep_text: bool = False) -> DataFrame:
-    """Adds the counts: n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed and the grids' features.
-
-    A null or empty text has no words; every count is then 0 and base_failed true.
-    Columns of these names are replaced; the text is dropped unless keep_text.
-    """
-    own = [c for c in docs.columns if c not in MEASURED and (keep_text or c != text_col)]
-    text = whole(F.col(text_col))
-    a = docs.select(
-        *own,
+def _measured(docs: DataFrame, text_col: str) -> DataFrame:
+    """(row, text, the counts and features of every text); row holds all columns but the text."""
+    own, text = ["row", "text"], F.col("text")
+    a = docs.select(boxed(docs, text_col), whole(F.col(f"`{text_col}`")).alias("text"), F.col(f"`{text_col}`").isNull().alias("null")).select(
+        "row",
+        F.when(~F.col("null"), text).alias("text"),
         F.filter(F.split(text, SPACE_CLASS + "+", -1), lambda w: w != "").alias("_words"),
         F.filter(F.split(text, "\n", -1), lambda x: F.btrim(x, F.lit(SPACE)) != "").alias("_lines"),
         F.regexp_count(text, F.lit(r"[#*$%&|<>]")).cast("bigint").alias("n_symbols"),
@@ -113,7 +109,6 @@ def measured(docs: DataFrame, text_col: str = "text", keep_text: bool = False) -
         (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("bigint").alias("n_dup_lines"),
         F.transform("_words", lambda w: F.xxhash64(w)).alias("_h"),
     )
-    empty = F.array().cast("array<bigint>")
     starts = F.when(F.col("_n") >= 3, F.sequence(F.lit(0), F.col("_n") - 3)).otherwise(F.array().cast("array<int>"))
     c = b.withColumn("_w", F.transform(starts, lambda i: F.xxhash64(F.get("_h", i), F.get("_h", i + 1), F.get("_h", i + 2))))
     # the window's hash above its position: equal windows meet when sorted
@@ -145,6 +140,17 @@ def measured(docs: DataFrame, text_col: str = "text", keep_text: bool = False) -
     return g.drop("_p", "_n", "_n_lines", "_upper", "_bang")
 
 
+def measured(docs: DataFrame, text_col: str = "text", keep_text: bool = False) -> DataFrame:
+    """Adds the counts: n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed and the grids' features.
+
+    A null or empty text has no words; every count is then 0 and base_failed true.
+    Columns of these names are replaced, others pass through, whatever their names;
+    the text is dropped unless keep_text. Repeated rows stay; an empty frame gives none.
+    """
+    names = [c for c in docs.columns if c not in MEASURED and (keep_text or c != text_col)]
+    return _measured(docs, text_col).select(*[F.col("text").alias(c) if c == text_col else F.col("row")[c].alias(c) for c in names], *sorted(MEASURED))
+
+
 def _steps(feature: str) -> Column:
     """How many cutoffs of the grid the value is above."""
     return F.size(F.filter(F.array(*[F.lit(float(x)) for x in GRIDS[feature]]), lambda x: x < F.col(feature)))
@@ -157,8 +163,10 @@ def cutoffs(features: DataFrame, labels: DataFrame, stratum: str = "lang", alpha
     Documents that fail the base rules need no cutoff and take no part.
     """
     truth = labels.where(F.col("quality").isNotNull() & F.col("doc_id").isNotNull()).groupBy(F.col("doc_id").alias("_id")).agg(F.max("quality").alias("_q"))
-    known = features.where(~F.col("base_failed")).join(truth, F.col("doc_id") == F.col("_id"))
-    known = known.select(F.col(stratum).alias("_stratum"), (F.pmod(F.xxhash64(F.lit("half"), "_id"), F.lit(2)) == 0).alias("_first"), "_q", *GRIDS)
+    # written first: a filter or join would otherwise be pushed below the feature columns, which are then computed again within one another's lambdas
+    ready = written(features.select(F.col("doc_id").alias("_doc"), F.col(stratum).alias("_stratum"), "base_failed", *GRIDS), "quality-ready")
+    known = ready.where(~F.col("base_failed")).join(truth, F.col("_doc") == F.col("_id"))
+    known = known.select("_stratum", (F.pmod(F.xxhash64(F.lit("half"), "_id"), F.lit(2)) == 0).alias("_first"), "_q", *GRIDS)
     known = written(known, "quality-labels")
     steps = known.where("_first").select("_stratum", "_q", F.inline(F.array(*[F.struct(F.lit(k).alias("feature"), _steps(k).alias("step")) for k in GRIDS])))
     counts = steps.groupBy("_stratum", "_q", "feature", "step").count().collect()  # strata x features x grid
@@ -212,20 +220,23 @@ def _rejected(rules: dict[str | None, dict[str, float]], stratum: str) -> Column
 
 
 def filter_quality(docs: DataFrame, labels: DataFrame, stratum: str = "lang", text_col: str = "text") -> DataFrame:
-    """The rows of docs that judged() keeps, whole and with their own columns.
+    """The rows of docs that judged() keeps, whole and with their own columns, whatever their names.
 
-    Rows and features are written together before the filter: it would otherwise be
-    pushed below the feature columns, which then stand within one another's lambdas
-    and are computed again for every element.
+    Null and empty texts fail the base rules and go; repeated rows are judged alike;
+    an empty frame gives none. Rows and features are written together before the
+    filter, for the reason given in cutoffs().
     """
-    aside = {c: f"_own_{c}" for c in docs.columns if c in MEASURED}
-    rows = written(measured(docs.withColumnsRenamed(aside), text_col, keep_text=True), "quality-rows")
-    rules = cutoffs(rows.drop(text_col), labels, stratum)
-    kept = rows.where(~F.col("base_failed") & ~_rejected(rules, stratum))
-    return kept.select(*[F.col(aside.get(c, c)).alias(c) for c in docs.columns])
+    rows = written(_measured(docs, text_col), "quality-rows")
+    rules = cutoffs(rows.select(F.col("row")["doc_id"].alias("doc_id"), F.col("row")[stratum].alias(stratum), "base_failed", *GRIDS), labels, stratum)
+    kept = rows.withColumn("_stratum", F.col("row")[stratum]).where(~F.col("base_failed") & ~_rejected(rules, "_stratum"))
+    return kept.select(*[F.col("text").alias(c) if c == text_col else F.col("row")[c].alias(c) for c in docs.columns])
 
 
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document judged: doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept.
+
+    A null text has no words; repeated rows stay; an empty table gives none.
+    """
     docs = table(spark, sf_dir, "documents").select("doc_id", "lang", "text")
     out = judged(docs, table(spark, sf_dir, "labels"))
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")

@@ -76,4 +76,5 @@ def place(df: DataFrame, key: str, shards: Sequence[str] = SHARDS, slots: int =
 
 
 def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's slot and shard: doc_id, source, slot, shard. A null doc_id has the empty string's; repeated rows stay."""
     return place(table(spark, sf_dir, "documents").select("doc_id", "source"), "doc_id")

@@ -12,7 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import UPPER, table, whole
+from .common import UPPER, boxed, table, unboxed, whole
 
 #: The rules of the contract: verdict, host, path.
 RULES = (
@@ -24,8 +24,8 @@ RULES = (
 )
 #: Without a rule, a URL passes.
 DEFAULT_VERDICT = "allow"
-#: Rules beyond this many meet the expressions in a shuffled join (64 bytes each: 6.4 MB).
-BROADCAST_RULES = 100_000
+#: Rules of more bytes than this meet the expressions in a shuffled join.
+BROADCAST_BYTES = 8 << 20
 PREFIX_HEX = 8
 
 
@@ -59,17 +59,21 @@ def filter_urls(pages: DataFrame, rules: DataFrame, url_col: str = "url", defaul
     The longest rule wins (host and path together, then host, then block before
     allow). A null URL, or one without ://, has empty host and path and no rule.
     Equal (host, path) pairs are judged once, so a hot host costs no more than its
-    distinct paths. An empty rules table leaves every URL at the default.
+    distinct paths. An empty rules table leaves every URL at the default. Repeated
+    rows stay; other columns, whatever their names, pass through; an empty frame gives none.
     """
     rules = rules.select("verdict", "host", "path", _digest(F.col("host"), F.col("path")).alias("digest")).withColumn("key", F.substring("digest", 1, PREFIX_HEX))
     lengths = sorted(r[0] for r in rules.select(F.char_length("path")).distinct().collect())  # at most as many as a rule's path has characters
-    few = rules.limit(BROADCAST_RULES + 1).count() <= BROADCAST_RULES
-    kept = pages.drop("host", "path", "rule", "verdict") if url_col not in ("host", "path", "rule", "verdict") else pages
-    judged = kept.withColumns({"host": url_host(whole(F.col(url_col))), "path": url_path(whole(F.col(url_col)))})
+    about = rules.agg(F.max(F.size(F.split("host", r"\."))).alias("labels"), F.count(F.lit(1)).alias("n"), F.sum(F.octet_length("host") + F.octet_length("path")).alias("bytes")).first()
+    few = (about["bytes"] or 0) + 80 * about["n"] <= BROADCAST_BYTES
+    names = [c for c in pages.columns if c not in ("host", "path", "rule", "verdict") or c == url_col]
+    url = whole(F.col(f"`{url_col}`"))
+    judged = pages.select(boxed(pages), url_host(url).alias("host"), url_path(url).alias("path"))
     distinct = judged.select("host", "path").distinct()
-    labels = F.split("host", r"\.")
-    suffixes = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(F.split("host", r"\."), i, F.size(F.split("host", r"\."))), "."))
-    wide = distinct.withColumn("suffix", F.explode(suffixes))
+    # suffixes of no more labels than the longest rule's host
+    last = F.reverse(F.slice(F.reverse(F.split("host", r"\.")), 1, about["labels"] or 1))
+    suffixes = F.transform(F.sequence(F.lit(1), F.size("labels")), lambda i: F.array_join(F.slice("labels", i, F.size("labels")), "."))
+    wide = distinct.withColumn("labels", last).select("host", "path", F.explode(suffixes).alias("suffix"))
     wide = wide.withColumn("size", F.explode(F.filter(F.array(*[F.lit(n) for n in lengths]), lambda n: n <= F.char_length("path")))) if lengths else wide.withColumn("size", F.lit(0))
     wide = wide.withColumn("full", _digest(F.col("suffix"), F.expr("substring(path, 1, size)"))).withColumn("key", F.substring("full", 1, PREFIX_HEX))
     right = rules.select("key", "digest", F.col("verdict").alias("r_verdict"), F.col("host").alias("r_host"), F.col("path").alias("r_path"))
@@ -77,10 +81,12 @@ def filter_urls(pages: DataFrame, rules: DataFrame, url_col: str = "url", defaul
     order = F.struct((F.char_length("r_host") + F.char_length("r_path")).alias("n"), F.char_length("r_host").alias("h"), (F.col("r_verdict") == "block").alias("b"))
     best = met.groupBy("host", "path").agg(F.max_by(F.struct(F.concat("r_host", "r_path").alias("rule"), F.col("r_verdict").alias("verdict")), order).alias("best"))
     out = judged.join(best, ["host", "path"], "left")
-    return out.select(*[F.col(c) for c in kept.columns], "host", "path", F.col("best.rule").alias("rule"), F.coalesce("best.verdict", F.lit(default)).alias("verdict"))
+    own = [c for c in names if c not in ("host", "path", "rule", "verdict")]
+    return out.select(*unboxed(own), "host", "path", F.col("best.rule").alias("rule"), F.coalesce("best.verdict", F.lit(default)).alias("verdict"))
 
 
 def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page judged by RULES: page_id, host, path, rule, verdict. A null url has empty host and path; repeated rows stay."""
     pages = table(spark, sf_dir, "pages").select("page_id", "url")
     return filter_urls(pages, rules_frame(spark, RULES)).select("page_id", "host", "path", "rule", "verdict")
 
