@@ -31,6 +31,5 @@ def test_rules(spark):
 
 
 def test_normal_form(spark):
-    assert T.normal_form("第 一⻚\r\n\r\n\r\n\r\nＡ  b\x00") == "第一页\n\nA b"
-    df = spark.createDataFrame([(1, "ﬁ"), (2, None)], "i int, t string")
-    assert [r.t for r in T.normalised(df, "t").orderBy("i").collect()] == ["fi", None]
+    df = spark.createDataFrame([(1, "ﬁ"), (2, None), (3, "第 一⻚\r\n\r\n\r\n\r\nＡ  b\x00"), (4, " \u00a0a \u2028 b\t\n\n")], "i int, t string")
+    assert [r.t for r in T.normalised(df, "t").orderBy("i").collect()] == ["fi", None, "第一页\n\nA b", "a\nb"]

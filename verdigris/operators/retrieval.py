@@ -18,6 +18,10 @@ WEIGHTS = {"dense": 0.35, "lexical": 0.25, "rerank": 0.35, "prior": 0.05}
 COLLEGE_BONUS = 0.12
 MMR_LAMBDA = 0.78
 COVERAGE_SHARE, EXACT_SHARE = 0.65, 0.35
+#: Scores are rounded, so that ranks don't hang on the order in which a sum is formed.
+SCORE_PLACES = 11
+#: Asked terms up to which they are broadcast, some 5 MB.
+FEW_TERMS = 100_000
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -30,15 +34,23 @@ def normalised(v: Column) -> Column:
     return F.transform(v, lambda x: x.cast("double") / F.when(norm == 0, 1.0).otherwise(norm))
 
 
+#: Queries that meet the vectors as one row, and bytes of query vectors up to which these rows are broadcast.
+QUERY_BLOCK = 256
+BROADCAST_BYTES = 32 << 20
+
+
 def dense_scores(vectors: DataFrame, queries: DataFrame, id_col: str, vector: str = "embedding") -> DataFrame:
     """(query_id, id_col, score) of every vector for every query.
 
-    queries (query_id, query_vector) is the stated query set and is broadcast; the
-    caller bounds it. Scores are exact inner products in double precision.
+    queries (query_id, query_vector) is the stated query set. It meets the vectors in
+    blocks, broadcast where its size allows that, else as partitions of its own.
+    Scores are inner products in double precision, to SCORE_PLACES places.
     """
-    asked = F.broadcast(queries.select(F.collect_list(F.struct("query_id", "query_vector")).alias("_asked")))
-    met = vectors.crossJoin(asked).select(id_col, vector, F.explode("_asked").alias("_q"))  # one row on the right: the query set as an array
-    return met.select(F.col("_q.query_id").alias("query_id"), id_col, dot(F.col(vector), F.col("_q.query_vector")).alias("score"))
+    size = queries.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.size("query_vector")), F.lit(0)).alias("values")).first()
+    block = F.pmod(F.xxhash64("query_id"), F.lit(max(1, -(-size["n"] // QUERY_BLOCK))))
+    asked = queries.groupBy(block.alias("_block")).agg(F.collect_list(F.struct("query_id", "query_vector")).alias("_asked")).select("_asked")
+    met = vectors.crossJoin(F.broadcast(asked) if 8 * size["values"] <= BROADCAST_BYTES else asked).select(id_col, vector, F.explode("_asked").alias("_q"))
+    return met.select(F.col("_q.query_id").alias("query_id"), id_col, F.round(dot(F.col(vector), F.col("_q.query_vector")), SCORE_PLACES).alias("score"))
 
 
 def top_k(scores: DataFrame, k: int, id_col: str, score: str = "score") -> DataFrame:
@@ -47,10 +59,14 @@ def top_k(scores: DataFrame, k: int, id_col: str, score: str = "score") -> DataF
     return ranked.where(F.col("rank") <= k)
 
 
-def term_counts(docs: DataFrame, id_col: str, text: str) -> DataFrame:
-    """(id_col, term, tf, length) in one pass over the texts."""
+def term_counts(docs: DataFrame, id_col: str, text: str, terms: DataFrame | None = None) -> DataFrame:
+    """(id_col, term, tf, length) in one pass over the texts; of the given terms (term) alone, which join before any shuffle where they are few."""
     listed = docs.select(id_col, tokens(F.col(text)).alias("_tokens")).withColumn("length", F.size("_tokens"))
-    return listed.select(id_col, "length", F.explode("_tokens").alias("term")).groupBy(id_col, "term").agg(F.count(F.lit(1)).alias("tf"), F.first("length").alias("length"))
+    listed = listed.select(id_col, "length", F.explode("_tokens").alias("term"))
+    if terms is not None:
+        few = terms.limit(FEW_TERMS + 1).count() <= FEW_TERMS
+        listed = listed.join(F.broadcast(terms) if few else terms, "term", "left_semi")
+    return listed.groupBy(id_col, "term").agg(F.count(F.lit(1)).alias("tf"), F.first("length").alias("length"))
 
 
 def corpus_statistics(docs: DataFrame, id_col: str, text: str) -> DataFrame:
@@ -62,10 +78,10 @@ def bm25_scores(docs: DataFrame, queries: DataFrame, id_col: str, text: str) ->
     """(query_id, id_col, score) with statistics of docs, which are the scope; zero scores don't appear.
 
     queries: (query_id, query_text). A term that a query repeats counts each time.
-    Only postings of asked terms leave the scan, as the terms join before any shuffle of texts.
+    Only postings of asked terms leave the scan.
     """
     asked = queries.select("query_id", F.explode(tokens(F.col("query_text"))).alias("term")).groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("times"))
-    postings = term_counts(docs, id_col, text).join(asked.select("term").distinct(), "term", "left_semi")
+    postings = term_counts(docs, id_col, text, asked.select("term").distinct())
     frequencies = postings.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     stats = corpus_statistics(docs, id_col, text)
     weighed = postings.join(frequencies, "term").join(F.broadcast(stats))  # one row
@@ -73,7 +89,7 @@ def bm25_scores(docs: DataFrame, queries: DataFrame, id_col: str, text: str) ->
     tf = F.col("tf").cast("double")
     part = idf * tf * (BM25_K1 + 1) / (tf + BM25_K1 * (1 - BM25_B + BM25_B * F.col("length") / F.greatest(F.col("avg_length"), F.lit(1.0))))
     scored = weighed.select(id_col, "term", part.alias("part")).join(asked, "term")
-    return scored.groupBy("query_id", id_col).agg(F.sum(F.col("part") * F.col("times")).alias("score"))
+    return scored.groupBy("query_id", id_col).agg(F.round(F.sum(F.col("part") * F.col("times")), SCORE_PLACES).alias("score"))
 
 
 def fuse(lists: list[DataFrame], id_col: str, k: int = FUSION_K) -> DataFrame:

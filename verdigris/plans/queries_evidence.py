@@ -27,13 +27,13 @@ def evidence_following(spark, d):
 
 
 @query(
-    """WITH c AS (SELECT o_orderkey AS claim_id, o_custkey, o_orderkey % 7 AS current FROM orders WHERE o_orderkey % 10 = 0),
+    """WITH c AS (SELECT o_orderkey AS claim_id, o_custkey, o_orderkey % 7 AS current FROM orders),
     m AS (SELECT claim_id, x.o_orderkey AS chunk_id, row_number() OVER (PARTITION BY claim_id ORDER BY x.o_orderkey = c.current DESC, x.o_totalprice, x.o_orderkey) AS n FROM c JOIN orders x ON x.o_custkey = c.o_custkey WHERE x.o_orderstatus = 'F')
     SELECT c.claim_id, c.current, m.chunk_id AS evidence FROM c LEFT JOIN m ON c.claim_id = m.claim_id AND n = 1"""
 )
 def evidence_rebind(spark, d):
     orders = load(spark, d, "orders")
-    claims = orders.where("o_orderkey % 10 = 0").select(F.col("o_orderkey").alias("claim_id"), "o_custkey", (F.col("o_orderkey") % 7).alias("current"))
+    claims = orders.select(F.col("o_orderkey").alias("claim_id"), "o_custkey", (F.col("o_orderkey") % 7).alias("current"))
     chunks = orders.select("o_custkey", F.col("o_orderkey").alias("chunk_id"), "o_orderstatus", "o_totalprice")
     return evidence.rebind(claims, chunks, "o_custkey", F.col("o_orderstatus") == "F", [F.col("o_totalprice")])
 
@@ -89,14 +89,14 @@ def entity_coverage(spark, d):
 
 
 @query(
-    """WITH q AS (SELECT item_id AS query_id, list_distinct(regexp_extract_all(lower(text), '[a-z]+\\d*|\\d+(?:\\.\\d+)?%?')) AS w FROM benchmark WHERE item_id IN (3, 11, 42)),
+    """WITH q AS (SELECT item_id AS query_id, list_distinct(regexp_extract_all(lower(text), '[a-z]+\\d*|\\d+(?:\\.\\d+)?%?')) AS w FROM benchmark WHERE item_id % 50 = 0),
     l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS pos FROM documents),
     s AS (SELECT query_id, doc_id, pos, length(line) AS n, CASE WHEN len(w) > 0 THEN len(list_intersect(w, list_distinct(regexp_extract_all(lower(line), '[a-z]+\\d*|\\d+(?:\\.\\d+)?%?'))))::DOUBLE / len(w) ELSE 0 END AS share FROM l CROSS JOIN q WHERE line <> ''),
     r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY share DESC, n, doc_id, pos) AS k FROM s WHERE share >= 0.12)
     SELECT query_id, doc_id, pos::INTEGER AS passage_no, round(share, 6) AS share FROM r WHERE k = 1"""
 )
 def extractive_answer(spark, d):
-    q = load(spark, d, "benchmark").where(F.col("item_id").isin(3, 11, 42)).select(F.col("item_id").alias("query_id"), F.col("text").alias("query_text"))
+    q = load(spark, d, "benchmark").where(F.col("item_id") % 50 == 0).select(F.col("item_id").alias("query_id"), F.col("text").alias("query_text"))
     return evidence.best_passage(load(spark, d, "documents"), q, "doc_id", "text").withColumn("share", F.round("share", 6))
 
 
