@@ -8,6 +8,7 @@ import tempfile
 import uuid
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -164,3 +165,31 @@ def released() -> None:
         ctypes.CDLL("libc.so.6").malloc_trim(0)
     except (OSError, AttributeError):  # another C library
         return
+
+
+_SPACES = np.zeros(256, bool)
+_SPACES[[0x20, 9, 10, 11, 12, 13]] = True
+_BYTE_VALUE = np.random.default_rng(7).integers(1, 1 << 63, 256, dtype=np.uint64)
+#: Powers of the base of a word's polynomial; letters so far apart share one.
+_POWERS = np.multiply.accumulate(np.full(1 << 12, 0x5851F42D4C957F2D, np.uint64))
+
+
+def mixed(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(33))) * np.uint64(0xFF51AFD7ED558CCD)
+    x = (x ^ (x >> np.uint64(33))) * np.uint64(0xC4CEB9FE1A85EC53)
+    return x ^ (x >> np.uint64(33))
+
+
+def word_hashes(text: bytes) -> np.ndarray:
+    """A 64-bit hash of every word (run without white space), in text order."""
+    data = np.frombuffer(text, np.uint8)
+    if not len(data):
+        return np.zeros(0, np.uint64)
+    letters = np.flatnonzero(~_SPACES[data])
+    if not len(letters):
+        return np.zeros(0, np.uint64)
+    first = np.flatnonzero(np.concatenate(([True], letters[1:] != letters[:-1] + 1)))
+    sizes = np.diff(np.append(first, len(letters)))
+    inner = np.arange(len(letters)) - np.repeat(first, sizes)
+    sums = np.add.reduceat(_BYTE_VALUE[data[letters]] * _POWERS[inner & (len(_POWERS) - 1)], first)
+    return mixed(sums + sizes.astype(np.uint64))

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..shipping import ship
-from .common import distinct_texts, numbered, pieces_by_bytes, released, table, text_digest, unboxed, whole, written
+from .common import distinct_texts, mixed, numbered, pieces_by_bytes, released, table, text_digest, whole, word_hashes, written
 from .components import components
 
 SHINGLE = 5
@@ -52,44 +52,16 @@ GROUP_BYTES = 4 << 20
 
 _U = np.uint64
 _rng = np.random.default_rng(7)
-_BYTE = _rng.integers(1, 1 << 63, 256, dtype=np.uint64)
-_BASE = 0x5851F42D4C957F2D
-_BASE_INVERSE = pow(_BASE, -1, 1 << 64)
 _STEP = _rng.integers(1, 1 << 63, SHINGLE, dtype=np.uint64) | _U(1)
 _SEED = _rng.integers(1, 1 << 63, SAMPLES, dtype=np.uint64)
-_SPACES = np.zeros(256, bool)
-_SPACES[[0x20, 9, 10, 11, 12, 13]] = True
-_powers = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
-
-
-def _mix(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> _U(33))) * _U(0xFF51AFD7ED558CCD)
-    x = (x ^ (x >> _U(33))) * _U(0xC4CEB9FE1A85EC53)
-    return x ^ (x >> _U(33))
-
-
-def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if len(_powers[0]) <= n:
-        size = 1 << (n + 1).bit_length()
-        for i, base in enumerate((_BASE, _BASE_INVERSE)):
-            full = np.full(size, base, np.uint64)
-            full[0] = 1
-            _powers[i] = np.multiply.accumulate(full)
-    return _powers[0], _powers[1]
+_mix = mixed
 
 
 def shingles(text: str) -> np.ndarray:
     """64-bit hashes of the shingles, in text order. Fewer words than a shingle make one; no word, none."""
-    data = np.frombuffer(text.encode(), np.uint8)
-    if not len(data):
-        return np.zeros(0, np.uint64)
-    edge = np.diff(np.concatenate(([True], _SPACES[data], [True])).view(np.int8))
-    low, high = np.flatnonzero(edge == -1), np.flatnonzero(edge == 1)
-    if not len(low):
-        return np.zeros(0, np.uint64)
-    up, down = _power_tables(len(data))
-    sums = np.concatenate((np.zeros(1, np.uint64), np.add.accumulate(_BYTE[data] * up[: len(data)])))
-    words = _mix((sums[high] - sums[low]) * down[low] + (high - low).astype(np.uint64))
+    words = word_hashes(text.encode())
+    if not len(words):
+        return words
     if len(words) < SHINGLE:
         return _mix((words * _STEP[: len(words)]).sum(keepdims=True, dtype=np.uint64))
     n = len(words) - SHINGLE + 1

@@ -7,8 +7,8 @@ equal windows have equal keys wherever they stand, so blocks with a key of their
 own need no comparison. Equal blocks collapse to one with a count.
 
 The distinct blocks that share a key are dealt by key into buckets of a bounded
-size. Each bucket sorts its suffixes by prefix doubling, dropping suffixes as soon
-as they are alone. In suffix order, the nearest suffixes before and after that stand
+size. Where no window has the hash of another, no factor can begin; the rest of a
+bucket is sorted by suffix, by prefix doubling, dropping suffixes as soon as they are alone. In suffix order, the nearest suffixes before and after that stand
 earlier in the text (previous and next smaller positions) hold the longest previous
 factor of each; those that stand later, the longest next factor. A place whose
 previous factor has min_bytes or more has an earlier copy and goes as far as the
@@ -37,7 +37,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..shipping import ship
-from .common import WORD_CLASS, Scope, distinct_texts, numbered, order_of, pieces_by_bytes, released, table, text_digest, unboxed, whole, written
+from .common import WORD_CLASS, Scope, distinct_texts, numbered, order_of, pieces_by_bytes, released, table, text_digest, whole, word_hashes, written
 
 MIN_BYTES = 400
 #: Bytes of the k-grams that decide a window's key.
@@ -46,8 +46,10 @@ GRAM = 32
 WORD_GRAM = 8
 #: Window starts that are hashed at once.
 SEGMENT = 1 << 20
-#: Bytes of block text that a suffix order is built over.
-BUCKET_BYTES = 1 << 20
+#: Bytes of block text that a suffix order is built over, so that its arrays stay in a processor's cache.
+BUCKET_BYTES = 256 << 10
+#: Windows of a key beyond which they are compared by digest.
+HOT_WINDOWS = 8 << 20
 #: Text that a Python worker holds as rows.
 SLICE_BYTES = 2 << 20
 #: Words of a passage that counts as long.
@@ -65,7 +67,7 @@ _WORD = re.compile(WORD_CLASS.encode())
 def _coded(text: str, words: bool) -> bytes:
     """The text's bytes, or for each of its words eight bytes of hash."""
     data = text.encode()
-    return np.fromiter(map(xxhash.xxh3_64_intdigest, _WORD.findall(data)), np.uint64).tobytes() if words else data
+    return word_hashes(data).tobytes() if words else data
 
 
 def _units(coded: bytes, words: bool) -> np.ndarray:
@@ -234,12 +236,51 @@ def _nearest(position: np.ndarray, shared: np.ndarray, least: int) -> np.ndarray
     return np.where(before >= 0, common, 0)
 
 
+def _window_hashes(data: np.ndarray, length: int) -> np.ndarray:
+    """A hash of the length units from each place."""
+    h, step = _BYTE[data] if data.dtype == np.uint8 else data, 1
+    while step * 2 <= length:
+        h = h[:-step] * _ODD + (h[step:] ^ (h[step:] >> np.uint64(29)))
+        step *= 2
+    rest = length - step
+    return h[:-rest] * _MIX + (h[rest:] ^ (h[rest:] >> np.uint64(31))) if rest else h
+
+
+def repeated_regions(data: np.ndarray, ends: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """The places under windows whose hash another window has, and where regions of them end among these: no factor of length lies elsewhere."""
+    size = len(data)
+    left = np.repeat(ends, np.diff(np.concatenate(([0], ends)))) - np.arange(size)
+    at = np.flatnonzero(left >= length)
+    if not len(at):
+        return at, at
+    h = _window_hashes(data, length)[at]
+    ordered = np.sort(h)
+    twice = np.unique(ordered[1:][ordered[1:] == ordered[:-1]])
+    if not len(twice):
+        return at[:0], at[:0]
+    at = at[twice[np.minimum(np.searchsorted(twice, h), len(twice) - 1)] == h]
+    edge = np.zeros(size + 1, np.int64)
+    edge[at] += 1
+    edge[at + length] -= 1
+    places = np.flatnonzero(np.cumsum(edge[:size]) > 0)
+    last = np.ones(len(places), bool)
+    last[:-1] = (places[1:] != places[:-1] + 1) | (left[places[:-1]] == 1)
+    return places, np.flatnonzero(last) + 1
+
+
 def factors(data: np.ndarray, ends: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
     """The longest previous factor and the longest next factor at every place of the blocks that end at ends; 0 for under length."""
+    previous, following = np.zeros(len(data), np.int64), np.zeros(len(data), np.int64)
+    places, region_ends = repeated_regions(data, ends, length)
+    if len(places):
+        previous[places], following[places] = _factors(data[places], region_ends, length)
+    return previous, following
+
+
+def _factors(data: np.ndarray, ends: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """factors() of the regions, all of whose places are sorted."""
     size = len(data)
     previous, following = np.zeros(size, np.int64), np.zeros(size, np.int64)
-    if not size:
-        return previous, following
     levels, rank = suffix_ranks(data, ends)
     place = np.arange(size)
     left = np.repeat(ends, np.diff(np.concatenate(([0], ends)))) - place
@@ -358,7 +399,9 @@ def removals(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *,
     """
     ship(docs.sparkSession)
     words, least = min_words is not None, min_bytes if min_words is None else min_words
-    texts = docs.select(text_digest(text_col).alias("t"), order_of(docs, id_col).alias("o"), whole(F.col(text_col)).alias("text")).where(_long_enough(F.col("text"), min_bytes, min_words))
+    texts = docs.select(text_digest(text_col).alias("t"), order_of(docs, id_col).alias("o"), whole(F.col(text_col)).alias("text"))
+    # of shorter texts no window is cut; so many words take at least a letter each and a space between
+    texts = texts.where(F.octet_length("text") >= (2 * least - 1 if words else least))
     kind = dict(texts.dtypes)["o"]
     marked = texts.mapInArrow(lambda it: _mark(it, least, words), f"t binary, o {kind}, at array<bigint>, n array<int>, key array<bigint>, h array<bigint>, again array<boolean>")
     each = marked.groupBy("t").agg(F.min("o").alias("o"), F.count(F.lit(1)).alias("copies"), F.first(F.arrays_zip("at", "n", "key", "h", "again")).alias("b"))
@@ -371,7 +414,7 @@ def removals(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *,
     by_key = distinct.groupBy("key").agg(F.count(F.lit(1)).alias("d"), F.sum("w").alias("w"))
     known = cand.join(distinct.drop("w").join(by_key, "key"), ["key", "h"])
     is_rep = (F.col("rep.t") == F.col("t")) & (F.col("rep.at") == F.col("at"))
-    hot_key = (F.col("d") > HOT_BLOCKS) | ((F.col("d") > 1) & (F.col("w") > 8 * BUCKET_BYTES))
+    hot_key = (F.col("d") > HOT_BLOCKS) | ((F.col("d") > 1) & (F.col("w") > HOT_WINDOWS))
     role = F.when(is_rep & hot_key, 2).when(is_rep & ((F.col("d") > 1) | F.col("a")), 1).otherwise(0)
     gone = ~is_rep if keep_first else F.col("m") > 1
     lists = known.groupBy("t").agg(F.first("o").alias("o"), F.collect_list(F.struct("key", "h", "at", "n", role.alias("role"), gone.alias("gone"))).alias("cand"))
