@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import queries_answers, queries_evidence, queries_lookups, queries_store
+from . import queries_answers, queries_evidence, queries_lookups, queries_narrowing, queries_store
 
-QUERIES = queries_store.QUERIES | queries_answers.QUERIES | queries_evidence.QUERIES | queries_lookups.QUERIES
-ORACLES = queries_store.ORACLES | queries_answers.ORACLES | queries_evidence.ORACLES | queries_lookups.ORACLES
+QUERIES = queries_store.QUERIES | queries_answers.QUERIES | queries_evidence.QUERIES | queries_lookups.QUERIES | queries_narrowing.QUERIES
+ORACLES = queries_store.ORACLES | queries_answers.ORACLES | queries_evidence.ORACLES | queries_lookups.ORACLES | queries_narrowing.ORACLES
