@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from . import queries_answers, queries_evidence, queries_lookups, queries_narrowing, queries_store
+from . import queries_answers, queries_evidence, queries_lookups, queries_narrowing, queries_passages, queries_store
 
-QUERIES = queries_store.QUERIES | queries_answers.QUERIES | queries_evidence.QUERIES | queries_lookups.QUERIES | queries_narrowing.QUERIES
-ORACLES = queries_store.ORACLES | queries_answers.ORACLES | queries_evidence.ORACLES | queries_lookups.ORACLES | queries_narrowing.ORACLES
+_MODULES = (queries_store, queries_answers, queries_evidence, queries_lookups, queries_narrowing, queries_passages)
+QUERIES = {name: q for m in _MODULES for name, q in m.QUERIES.items()}
+ORACLES = {name: sql for m in _MODULES for name, sql in m.ORACLES.items()}
