@@ -67,7 +67,7 @@ def grounded_lines(spark, d):
     """WITH c AS (SELECT *, p_size % 9 AS s, p_size % 4 AS w FROM part), r AS (SELECT p_brand, p_type AS chunk, p_partkey, p_name,
       CASE WHEN s IN (1, 2) AND w = 0 THEN s WHEN w = 1 AND s <= 2 AND p_partkey % 2 = 0 THEN 9 END AS k FROM c),
     u AS (SELECT DISTINCT * FROM r WHERE k IS NOT NULL),
-    l AS (SELECT p_brand, k, chunk, string_agg(p_partkey || ' ' || p_name, '、' ORDER BY p_partkey) AS names FROM u GROUP BY 1, 2, 3),
+    l AS (SELECT p_brand, k, chunk, string_agg(p_partkey || ' ' || p_name, '、' ORDER BY p_partkey::VARCHAR) AS names FROM u GROUP BY 1, 2, 3),
     f AS (SELECT p_brand, chunk, row_number() OVER (PARTITION BY p_brand ORDER BY min(k), chunk) AS n FROM l GROUP BY 1, 2)
     SELECT p_brand, string_agg('- ' || CASE k WHEN 9 THEN '跨学期安排（以培养方案标注范围为准）' ELSE '第' || k || '学期' END || '：' || names || '[' || n || ']。', chr(10) ORDER BY k, chunk) AS answer FROM l JOIN f USING (p_brand, chunk) GROUP BY 1"""
 )
