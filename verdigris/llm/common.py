@@ -134,6 +134,16 @@ def new_path(spark: SparkSession, label: str) -> str:
     return path
 
 
+def kept_path(spark: SparkSession, label: str) -> str:
+    """A new folder that stays: results that are files."""
+    return f"{shared_dir(spark)}/verdigris/{label}-{uuid.uuid4().hex}"
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(where)
+
+
 def written(df: DataFrame, label: str, partition_by: list[str] | None = None) -> DataFrame:
     """Cuts lineage: the rows as a Parquet table in the shared folder, so that lost executors cost no recomputation."""
     spark = df.sparkSession
