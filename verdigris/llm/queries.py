@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import alignment, fingerprints, html_text, line_dedup, near_dedup, packing, quality, segmentation, sharding, suffix_dedup, token_counts, url_filter
+from . import alignment, fingerprints, html_text, line_dedup, near_dedup, packing, quality, segmentation, sharding, suffix_dedup, time_partitions, token_counts, url_filter
 
 QUERIES = {
     "op1_suffix_dedup": suffix_dedup.op1_suffix_dedup,
@@ -16,6 +16,7 @@ QUERIES = {
     "op9_near_dedup": near_dedup.op9_near_dedup,
     "op10_html_text": html_text.op10_html_text,
     "op11_token_alignment": alignment.op11_token_alignment,
+    "op12_time_partitions": time_partitions.op12_time_partitions,
     "op13_token_counts": token_counts.op13_token_counts,
 }
 
