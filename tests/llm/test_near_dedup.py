@@ -1,6 +1,7 @@
 import hashlib
 import math
 import random
+from collections import Counter
 
 import numpy as np
 from pyspark.sql import functions as F
@@ -22,7 +23,7 @@ def near(words, edits, rng):
 
 def test_samples_estimate_weighted_jaccard():
     rng = random.Random(0)
-    idf = np.ones(M.SLOTS)
+    idf = M.FLAT
     hits, want = [], []
     for _ in range(60):
         a = [rng.choice(WORDS) for _ in range(300)] * 2
@@ -121,7 +122,7 @@ def test_pairs_in_large_buckets_of_a_template(spark):
 
 def test_links_across_leaves_sides_and_roots():
     texts = [" ".join(f"w{i}" for i in range(300)) + f" z{k}" for k in range(4)]
-    idf = np.ones(M.SLOTS)
+    idf = M.FLAT
     bags = [M.bag(t, idf) for t in texts]
     sig = M.samples(np.concatenate([b[0] for b in bags]), np.concatenate([b[1] for b in bags]), np.cumsum([0, *(len(b[0]) for b in bags[:-1])]))
     sigs = [x.tobytes() for x in sig]
@@ -132,15 +133,19 @@ def test_links_across_leaves_sides_and_roots():
     assert across([b"a", b"b", b"c", b"d"], [0, 0, 1, 1]) == [(0, 2), (0, 3), (1, 2)]
 
 
-def sketch(rows):
-    """What document_frequencies gathers, for texts that aren't copies."""
-    own, slots = np.zeros(M.SLOTS, np.float32), np.zeros(M.SLOTS, np.float32)
-    for t in rows:
-        own[int(M.shingles(t).min()) & M.SLOTS - 1] += 1
-    for t in rows:
-        e = np.unique(M.shingles(t))
-        np.add.at(slots, M._slots(e), 1 / M._over_chance(own)[int(e[0]) & M.SLOTS - 1])
-    return slots, len(rows)
+def sketch(rows, seed=0):
+    """What document_frequencies gathers, by a dictionary."""
+    texts = list(dict.fromkeys(rows))
+    least = [M.least_hashes(M.shingles(t), seed).tolist() for t in texts]
+    holders = Counter((k, h) for x in least for k, h in enumerate(x))
+    df = Counter()
+    for t, x in zip(texts, least, strict=True):
+        share = 1 / (1 + sum(holders[k, h] - 1 for k, h in enumerate(x)) / M.LEAST_HASHES)
+        for e in np.unique(M.shingles(t) >> np.uint64(64 - M.KEY_BITS)).tolist():
+            df[e] += share
+    floor = max(1.0, sum(len(M.shingles(t)) for t in rows) / M.COMMON)
+    some = sorted((e, x) for e, x in df.items() if x > floor)
+    return M.Frequencies(np.array([e for e, _ in some], np.uint64), np.array([x for _, x in some]), floor), len(rows)
 
 
 def test_frequencies_count_copies_once(spark):
@@ -151,11 +156,46 @@ def test_frequencies_count_copies_once(spark):
     rows = [f"{new(30)} {common}" for _ in range(400)] + [copied] * 400
     slots, n = M.document_frequencies(spark.createDataFrame([(t,) for t in rows], "_text string"))
     idf = M.inverse_frequencies(slots, n)
-    weight = lambda text: float(np.median(idf[M._slots(M.shingles(text))]))
+    weight = lambda text: float(np.median(idf.of(M.shingles(text))))
     assert n == 800 and abs(weight(common) - math.log(3)) < 0.1
     assert abs(weight(copied) - weight(new(60))) < 0.1 and weight(copied) > 6
     want = sketch(rows)[0]
-    assert np.allclose(slots, want, atol=1e-3)
+    assert (slots.keys == want.keys).all() and np.allclose(slots.df, want.df, atol=1e-3) and len(want.keys) and slots.floor == want.floor
+
+
+def test_frequencies_of_large_corpora(spark, monkeypatch):
+    """Several ranges of hashes, several sums of a task, and a floor: all as in one dictionary."""
+    monkeypatch.setattr(M, "COMMON", 1000)
+    monkeypatch.setattr(M, "RANGE_BYTES", 1000)
+    monkeypatch.setattr(M, "SUMMED", 50)
+    rng = random.Random(9)
+    rows = [" ".join(rng.choice(WORDS[:3]) for _ in range(20)) for _ in range(120)]
+    got, n = M.document_frequencies(spark.createDataFrame([(t,) for t in rows], "_text string"))
+    want, _ = sketch(rows)
+    assert n == 120 and 0 < len(want.keys) <= 1000 and want.floor > 1
+    assert (got.keys == want.keys).all() and np.allclose(got.df, want.df)
+    keys = np.sort(np.random.default_rng(1).integers(0, 1 << M.KEY_BITS, 100, dtype=np.uint64))
+    assert (M._unpacked(M._packed(keys)) == keys).all()
+
+
+def test_classes_do_not_hang_on_the_hash(spark):
+    """A template of most of each text, with pairs over the threshold: two seeds of the group sizes give like weights and equal classes."""
+    rng = random.Random(3)
+    template = [rng.choice(WORDS) for _ in range(900)]
+    new = lambda n: [f"z{rng.random()}" for _ in range(n)]
+    rows = []
+    for _ in range(40):
+        both = new(150)
+        rows += [" ".join(template + both + new(4)) for _ in range(2)]
+    likeness = []
+    for seed in range(5):
+        idf = M.inverse_frequencies(*sketch(rows, seed))
+        bags = [M.bag(t, idf) for t in rows[:4]]
+        likeness.append(M.weighted_jaccard(bags[0], bags[2]))
+    assert max(likeness) - min(likeness) < 0.03
+    df = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+    classes = [{bytes(r._t): bytes(r.root) for r in M.classes(df, seed=seed).collect()} for seed in (1, 2)]
+    assert classes[0] == classes[1] and len(classes[0]) == len(rows)
 
 
 def test_classes_against_all_pairs(spark):

@@ -1,12 +1,14 @@
 """Near duplicates by improved consistent weighted sampling over TF-IDF shingles.
 
 Equal texts collapse by digest first. A text is the bag of its five-word shingles,
-weighted by frequency times inverse document frequency, ln(1 + n / df) without a
-cap. Document frequencies come from a count sketch over all documents of fixed size,
-less the mean load of a slot; what lies within three standard deviations of that
-counts as 1. Copies are no evidence that a passage is common: a document weighs one
-over the number of documents with its own least shingle hash (a second such
-sketch), so that a group of copies or near copies counts like a few documents.
+weighted by frequency times inverse document frequency, ln(1 + n / df). Document
+frequencies are exact sums over all distinct texts: each task adds up what it holds,
+the sums meet by ranges of the hash. Copies are no evidence that a passage is
+common: a text weighs one over the size of its group, which is one plus the mean,
+over LEAST_HASHES independent least shingle hashes, of the other texts that share
+it; that mean is the sum of the text's Jaccard similarities to all others, up to
+the error of so many samples. A df under one COMMON-th of all shingles counts as
+that share: so few shingles lie above it, whatever the data, that they are broadcast.
 
 Each of BANDS x ROWS samples is, for a pair of texts, equal with probability their
 weighted Jaccard similarity. Texts that agree in all samples of a band share a
@@ -21,7 +23,7 @@ classes; pairs that are connected already need no check.
 
 from __future__ import annotations
 
-import math
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
@@ -39,10 +41,14 @@ BANDS, ROWS = 12, 3
 SAMPLES = BANDS * ROWS
 #: Equal samples of a pair under which it can't reach the threshold (by chance: 1 in 10 million).
 LEAST_EQUAL = 15
-SLOTS = 1 << 20
-SLOT_BLOCK = 1 << 12
-#: Standard deviations of a slot's load under which a count is taken for chance.
-NOISE = 3.0
+LEAST_HASHES = 16
+#: At most so many shingles can have a df of over one COMMON-th of all shingles: 12 bytes each, 50 MB.
+COMMON = 1 << 22
+#: Shingles that a task adds up before they leave it, and bytes of text for each range of hashes.
+SUMMED = 2_000_000
+RANGE_BYTES = 16 << 20
+#: Bits of a shingle's hash that tell it from others where they are counted.
+KEY_BITS = 48
 #: Texts of a family that are verified in one task; a text counts once more for every WEIGHT bytes.
 FAMILY = 2_000
 WEIGHT = 16 << 10
@@ -71,14 +77,35 @@ def shingles(text: str) -> np.ndarray:
     return _mix(total)
 
 
-def _slots(e: np.ndarray) -> np.ndarray:
-    return (e & _U(SLOTS - 1)).astype(np.int64)
+class Frequencies:
+    """Document frequencies of the shingles whose df is over floor, by the upper KEY_BITS of their hash; all others count as floor."""
 
+    def __init__(self, keys: np.ndarray, df: np.ndarray, floor: float = 1.0):
+        self.keys, self.df, self.floor = keys, df, floor
 
-def bag(text: str, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+
+class Idf:
+    """Weights of shingles."""
+
+    def __init__(self, keys: np.ndarray, weights: np.ndarray, rest: float):
+        self.keys, self.weights, self.rest = keys, weights, rest
+
+    def of(self, e: np.ndarray) -> np.ndarray:
+        if not len(self.keys):
+            return np.full(len(e), self.rest)
+        key = e >> _U(64 - KEY_BITS)
+        at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+        return np.where(self.keys[at] == key, self.weights[at], self.rest)
+
+
+#: All shingles weigh the same.
+FLAT = Idf(np.zeros(0, np.uint64), np.zeros(0), 1.0)
+
+
+def bag(text: str, idf: Idf) -> tuple[np.ndarray, np.ndarray]:
     """Distinct shingles, ascending, and their weights."""
     e, n = np.unique(shingles(text), return_counts=True)
-    return e, n * idf[_slots(e)].astype(np.float64)
+    return e, n * idf.of(e)
 
 
 def weighted_jaccard(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> float:
@@ -122,74 +149,104 @@ def band_hashes(sig: np.ndarray) -> np.ndarray:
     return (h ^ (np.arange(BANDS, dtype=np.uint64) * _U(0xD6E8FEB86659FD93))).view(np.int64)
 
 
-def _summed(texts: DataFrame, add) -> tuple[np.ndarray, int]:
-    """SLOTS sums over all rows of _text, and their number. add(slots, text) adds a text's share.
+def least_hashes(e: np.ndarray, seed: int = 0) -> np.ndarray:
+    """LEAST_HASHES least values of hashes of the shingles, of which there is one at least."""
+    salts = np.random.default_rng([11, seed]).integers(1, 1 << 63, LEAST_HASHES, dtype=np.uint64)
+    return np.array([_mix(e ^ x).min() for x in salts], np.uint64).view(np.int64)
 
-    Tasks' sums are added up in two levels, so that no task reads more than the
-    square root of their number. SLOTS sums, whatever the data, reach the driver.
-    """
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        slots, n = np.zeros(SLOTS, np.float32), 0
+def _group_shares(texts: DataFrame, seed: int) -> tuple[DataFrame, int, int]:
+    """(_t, share) of the distinct texts whose group has others, the number of rows, and of all rows' shingles."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in (x for y in batches for x in pieces_by_bytes(y, "_text", SLICE_BYTES)):
-            for text in batch.column("_text").to_pylist():
-                add(slots, text)
-                n += 1
-        if n:
-            from pyspark import TaskContext
-
-            blocks = slots.reshape(-1, SLOT_BLOCK)
-            salt = TaskContext.get().partitionId() % salts
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(range(len(blocks)), pa.int32()), pa.array([salt] * len(blocks), pa.int32()), pa.array([b.tobytes() for b in blocks], pa.binary()), pa.array([n] + [0] * (len(blocks) - 1), pa.int64())],
-                ["block", "salt", "sums", "n"],
-            )
+            found = [shingles(t) for t in batch.column("_text").to_pylist()]
+            least = [least_hashes(e, seed).tolist() if len(e) else [] for e in found]
+            yield pa.RecordBatch.from_arrays([batch.column("_t"), pa.array(least, pa.list_(pa.int64())), pa.array([len(e) for e in found], pa.int64())], ["_t", "least", "size"])
         released()
 
-    def both(group):
-        total = sum(np.frombuffer(x, np.float32).astype(np.float64) for x in group.column("sums").to_pylist())
-        return pa.table({"block": group.column("block")[:1], "salt": group.column("salt")[:1], "sums": pa.array([total.astype(np.float32).tobytes()], pa.binary()), "n": pa.array([sum(group.column("n").to_pylist())], pa.int64())})
+    rows = written(texts.select("_t", "_text").mapInArrow(run, "_t binary, least array<bigint>, size bigint"), "near-least")
+    n, size = rows.agg(F.count(F.lit(1)), F.sum("size")).first()
+    each = rows.groupBy("_t").agg(F.first("least").alias("least")).select("_t", F.posexplode("least").alias("k", "h"))
+    shared = each.groupBy("k", "h").agg((F.count(F.lit(1)) - 1).alias("others")).where("others > 0")
+    shares = each.join(shared, ["k", "h"]).groupBy("_t").agg((1 / (1 + F.sum("others") / LEAST_HASHES)).alias("share"))
+    return shares, n, size or 0
 
-    salts = max(1, math.isqrt(texts.rdd.getNumPartitions()))
-    shape = "block int, salt int, sums binary, n bigint"
-    once = texts.select("_text").mapInArrow(count, shape).groupBy("block", "salt").applyInArrow(both, shape)
-    rows = once.groupBy("block").applyInArrow(both, shape).orderBy("block").collect()
-    if not rows:
-        return np.zeros(SLOTS, np.float32), 0
-    return np.concatenate([np.frombuffer(r["sums"], np.float32) for r in rows]), sum(r["n"] for r in rows)
+
+_KEY_BYTES = KEY_BITS // 8
 
 
-def _over_chance(slots: np.ndarray) -> np.ndarray:
-    """The sums less the mean load; 1 where that is within NOISE standard deviations, and at least."""
-    mean = float(slots.mean(dtype=np.float64))
-    over = slots - np.float32(mean)
-    return np.maximum(1.0, np.where(over > NOISE * math.sqrt(mean), over, 1.0))
+def _packed(keys: np.ndarray) -> bytes:
+    """Ascending keys by bytes of one rank, which compress."""
+    return keys.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :_KEY_BYTES].T.tobytes()
 
 
-def document_frequencies(texts: DataFrame) -> tuple[np.ndarray, int]:
-    """The sketch of all rows of _text, each weighing one over the size of its group of copies, and the number of rows."""
+def _unpacked(data: bytes) -> np.ndarray:
+    out = np.zeros((len(data) // _KEY_BYTES, 8), np.uint8)
+    out[:, :_KEY_BYTES] = np.frombuffer(data, np.uint8).reshape(_KEY_BYTES, -1).T
+    return out.view("<u8").ravel()
 
-    def own(slots: np.ndarray, text: str) -> None:
-        e = shingles(text)
-        if len(e):
-            slots[int(e.min()) & SLOTS - 1] += 1
 
-    shares = (1.0 / _over_chance(_summed(texts, own)[0])).astype(np.float32)
+def _sums(keys: np.ndarray, shares: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    order = np.argsort(keys, kind="stable")
+    keys = keys[order]
+    starts = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
+    return keys[starts], np.add.reduceat(shares[order], starts)
 
-    def add(slots: np.ndarray, text: str) -> None:
-        e = np.unique(shingles(text))
-        if len(e):
-            np.add.at(slots, _slots(e), shares[int(e[0]) & SLOTS - 1])
 
-    return _summed(texts, add)
+def document_frequencies(texts: DataFrame, seed: int = 0) -> tuple[Frequencies, int]:
+    """Frequencies over the distinct texts of _text, each weighing one over the size of its group, and the number of rows."""
+    texts = texts.select(F.unhex(F.md5("_text")).alias("_t"), "_text")
+    shares, n, size = _group_shares(texts, seed)
+    floor = max(1.0, size / COMMON)
+    n_bytes = texts.agg(F.sum(F.octet_length("_text").cast("bigint"))).first()[0] or 0
+    bits = max(0, (n_bytes // RANGE_BYTES).bit_length())
+    distinct = texts.groupBy("_t").agg(F.first("_text").alias("_text")).join(shares, "_t", "left")
+
+    def flushed(held: list[tuple[np.ndarray, float]]) -> pa.RecordBatch:
+        keys, sums = _sums(np.concatenate([k for k, _ in held]), np.repeat([x for _, x in held], [len(k) for k, _ in held]))
+        cuts = np.searchsorted(keys, np.arange(1 << bits, dtype=np.uint64) << _U(KEY_BITS - bits)).tolist() + [len(keys)]
+        spans = [(i, a, b) for i, (a, b) in enumerate(itertools.pairwise(cuts)) if b > a]
+        return pa.RecordBatch.from_arrays(
+            [pa.array([i for i, _, _ in spans], pa.int32()), pa.array([_packed(keys[a:b]) for _, a, b in spans], pa.binary()), pa.array([sums[a:b].astype("<f8").tobytes() for _, a, b in spans], pa.binary())],
+            ["part", "keys", "sums"],
+        )
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, total = [], 0
+        for batch in (x for y in batches for x in pieces_by_bytes(y, "_text", SLICE_BYTES)):
+            for text, share in zip(batch.column("_text").to_pylist(), batch.column("share").to_pylist(), strict=True):
+                keys = np.unique(shingles(text) >> _U(64 - KEY_BITS))
+                if len(keys):
+                    held.append((keys, 1.0 if share is None else share))
+                    total += len(keys)
+                if total >= SUMMED:
+                    yield flushed(held)
+                    held, total = [], 0
+        if held:
+            yield flushed(held)
+        released()
+
+    def both(group: pa.Table) -> pa.Table:
+        keys = np.concatenate([_unpacked(x) for x in group.column("keys").to_pylist()])
+        keys, df = _sums(keys, np.concatenate([np.frombuffer(x, "<f8") for x in group.column("sums").to_pylist()]))
+        some = df > floor
+        return pa.table({"part": group.column("part")[:1], "keys": pa.array([keys[some].tobytes()], pa.binary()), "sums": pa.array([df[some].tobytes()], pa.binary())})
+
+    shape = "part int, keys binary, sums binary"
+    rows = distinct.select("_text", "share").mapInArrow(count, shape).groupBy("part").applyInArrow(both, shape).orderBy("part").collect()
+    if not rows:
+        return Frequencies(np.zeros(0, np.uint64), np.zeros(0), floor), n
+    return Frequencies(np.concatenate([np.frombuffer(r["keys"], np.uint64) for r in rows]), np.concatenate([np.frombuffer(r["sums"], np.float64) for r in rows]), floor), n
 
 
-def inverse_frequencies(slots: np.ndarray, n: int) -> np.ndarray:
-    """ln(1 + n / df) for every slot."""
-    return np.log1p(max(n, 1) / _over_chance(slots)).astype(np.float32)
+def inverse_frequencies(frequencies: Frequencies, n: int) -> Idf:
+    """ln(1 + n / df)."""
+    n = max(n, 1)
+    return Idf(frequencies.keys, np.log1p(n / frequencies.df).astype(np.float32), float(np.log1p(n / frequencies.floor)))
 
 
-def _sign(batches: Iterator[pa.RecordBatch], idf: np.ndarray) -> Iterator[pa.RecordBatch]:
+def _sign(batches: Iterator[pa.RecordBatch], idf: Idf) -> Iterator[pa.RecordBatch]:
     for batch in (x for y in batches for x in pieces_by_bytes(y, "_text", SLICE_BYTES)):
         texts, at = batch.column("_text").to_pylist(), 0
         while at < len(texts):
@@ -217,7 +274,7 @@ def _sign(batches: Iterator[pa.RecordBatch], idf: np.ndarray) -> Iterator[pa.Rec
     released()
 
 
-def links_of(texts: list[str], sigs: list[bytes], idf: np.ndarray, threshold: float = THRESHOLD) -> list[tuple[int, int]]:
+def links_of(texts: list[str], sigs: list[bytes], idf: Idf, threshold: float = THRESHOLD) -> list[tuple[int, int]]:
     """Verified links that connect all that links connect: a pair that is connected already is passed over."""
     m = len(texts)
     sig = np.frombuffer(b"".join(sigs), np.int32).reshape(m, SAMPLES)
@@ -245,7 +302,7 @@ def links_of(texts: list[str], sigs: list[bytes], idf: np.ndarray, threshold: fl
     return out
 
 
-def links_across(texts: list[str], sigs: list[bytes], roots: list[bytes], sides: list[int], band: int, idf: np.ndarray, threshold: float = THRESHOLD) -> list[tuple[int, int]]:
+def links_across(texts: list[str], sigs: list[bytes], roots: list[bytes], sides: list[int], band: int, idf: Idf, threshold: float = THRESHOLD) -> list[tuple[int, int]]:
     """Verified links that connect texts of different roots and sides, or of side -1; pairs that share an earlier band are left to it."""
     m = len(texts)
     sig = np.frombuffer(b"".join(sigs), np.int32).reshape(m, SAMPLES)
@@ -277,7 +334,7 @@ def links_across(texts: list[str], sigs: list[bytes], roots: list[bytes], sides:
     return out
 
 
-def _verify_across(idf: np.ndarray, threshold: float):
+def _verify_across(idf: Idf, threshold: float):
     def run(group):
         group = group.sort_by([("unit", "ascending"), ("_t", "ascending")])
         units, ids, bands = (group.column(c).to_pylist() for c in ("unit", "_t", "band"))
@@ -321,7 +378,7 @@ def _units_across(large: DataFrame, roots: DataFrame, family: int) -> DataFrame:
     return met.select("_t", "root", "band", "side", F.xxhash64("band", "h", "kind", "low", "high").alias("unit"))
 
 
-def _verify(idf: np.ndarray, threshold: float):
+def _verify(idf: Idf, threshold: float):
     def run(group):
         group = group.sort_by([("unit", "ascending"), ("_t", "ascending")])
         units, ids = group.column("unit").to_pylist(), group.column("_t").to_pylist()
@@ -338,12 +395,11 @@ def _verify(idf: np.ndarray, threshold: float):
     return run
 
 
-def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, threshold: float = THRESHOLD, family: int = FAMILY) -> DataFrame:
-    """(_t, root): the class of every distinct text that has a near duplicate; root is the least digest in it."""
+def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, threshold: float = THRESHOLD, family: int = FAMILY, seed: int = 0) -> DataFrame:
+    """(_t, root): the class of every distinct text that has a near duplicate; root is the least digest in it. seed is that of the group sizes' hashes."""
     ship(docs.sparkSession)
     texts = docs.select(text_digest(text_col).alias("_t"), whole(F.col(text_col)).alias("_text"))
-    slots, n = document_frequencies(texts)
-    idf = inverse_frequencies(slots, n)
+    idf = inverse_frequencies(*document_frequencies(texts, seed))
     signed = texts.mapInArrow(lambda it: _sign(it, idf), "_t binary, sig binary, bands array<bigint>, weight bigint")
     signed = written(signed.groupBy("_t").agg(F.first("sig").alias("sig"), F.first("bands").alias("bands"), F.first("weight").alias("weight")), "near-samples")
     bands = signed.select("_t", "weight", F.posexplode("bands").alias("band", "h"))
