@@ -66,3 +66,39 @@ def test_frames(spark):
     df = spark.createDataFrame([(1, None, "t"), (2, "<p>some words here</p>", "t"), (2, "<p>some words here</p>", "t")], "page_id long, html string, text string")
     assert sorted((r.page_id, r.text, r.n_chars) for r in M.extract_text(df).collect()) == [(1, "", 0), (2, "some words here", 15), (2, "some words here", 15)]
     assert M.extract_text(df.limit(0)).count() == 0
+
+
+LONG = "The paragraph goes on at some length about its matter, one clause after another, with words enough that nobody takes it for a button or a notice at the edge of a page."
+
+
+@pytest.fixture(scope="module")
+def learned(spark):
+    return M.learn(spark.read.parquet(f"{SMALL}/pages.parquet"))
+
+
+@pytest.mark.parametrize("opened", ['section class="legal"', 'div class="tags-of-war"', 'div id="related-work"', 'div class="search algorithms"', "dialog open", "footer", 'div class="share"'])
+def test_long_prose_stays_in_doubtful_boxes(learned, opened):
+    page = f"<html><body><nav><a href=x>Home</a></nav><article><h1>Head line</h1><p>{LONG}</p><{opened}><p>{LONG}</p></{opened.split()[0]}><p>Last words here.</p></article><footer>imprint</footer></body></html>"
+    for weights in ({}, learned):
+        assert M.main_text(page, weights) == f"Head line\n{LONG}\n{LONG}\nLast words here."
+
+
+@pytest.mark.parametrize("opened", ['div class="comments"', 'div id="comment-list"', 'aside class="x"', 'div class="ad"', "nav", 'div class="cookie-notice"', "form", "div hidden", "dialog", 'div role="navigation"', 'div class="share"'])
+def test_other_matter_goes(learned, opened):
+    other = "A word on this" if "share" in opened else LONG
+    page = f"<html><body><article><h1>Head line</h1><p>{LONG}</p><{opened}><p>{other}</p></{opened.split()[0]}><p>Last words here.</p></article></body></html>"
+    for weights in ({}, learned):
+        assert M.main_text(page, weights) == f"Head line\n{LONG}\nLast words here."
+
+
+def test_main_elements_in_comments_and_scripts_do_not_count():
+    page = f"<html><body><!-- <main> --><script>'<article>'</script><article><h1>Head line</h1><p>{LONG}</p></article><p>after</p></body></html>"
+    assert M.main_text(page, {}) == f"Head line\n{LONG}"
+
+
+def test_weights_of_classes_come_from_the_labelled_pages(spark):
+    """A class that no list names: out of the article on labelled pages, and so on pages without a label."""
+    page = lambda i: f"<body><div class='zork'><p>{LONG} {i}</p></div><article>{3 * f'<p>{LONG}</p>'}<div class='legal'><p>short but in</p></div></article></body>"
+    weights = M.learn(spark.createDataFrame([(i, page(i)) for i in range(30)], "page_id long, html string"))
+    assert weights["class:zork"] < -1 and weights["class:legal"] > 1
+    assert M.main_text(f"<body><p>{LONG}</p><div class='zork'><p>{LONG}</p></div><div class='legal'><p>short but in</p></div></body>", weights) == f"{LONG}\nshort but in"
