@@ -101,4 +101,4 @@ def test_weights_of_classes_come_from_the_labelled_pages(spark):
     page = lambda i: f"<body><div class='zork'><p>{LONG} {i}</p></div><article>{3 * f'<p>{LONG}</p>'}<div class='legal'><p>short but in</p></div></article></body>"
     weights = M.learn(spark.createDataFrame([(i, page(i)) for i in range(30)], "page_id long, html string"))
     assert weights["class:zork"] < -1 and weights["class:legal"] > 1
-    assert M.main_text(f"<body><p>{LONG}</p><div class='zork'><p>{LONG}</p></div><div class='legal'><p>short but in</p></div></body>", weights) == f"{LONG}\nshort but in"
+    assert M.main_text(f"<body><p>{LONG}</p><div class='zork'><p>{LONG}</p></div><div class='legal'><p>short but in</p></div><p>{LONG}</p></body>", weights) == f"{LONG}\nshort but in\n{LONG}"
