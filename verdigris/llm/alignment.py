@@ -9,6 +9,8 @@ linked. The counts, and the highest for each id of either side, are joined back.
 
 from __future__ import annotations
 
+import itertools
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -17,11 +19,19 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..shipping import ship
-from .common import table, whole, written
+from .common import released, sums_by_key, table, whole, written
 from .tokens import SPELLED, encoder_of
 
 #: Text that is aligned at once in a Python worker.
 SLICE_BYTES = 2 << 20
+#: Stretches that a Python worker keeps, about 300 bytes each, and that it aligns at once.
+KEPT_STRETCHES = 250_000
+LEARNED = 50_000
+#: White space and what follows up to the next; a text with other white space than this is aligned as one stretch.
+_STRETCHES = re.compile(r"[ \t\n\f\v]*[^ \t\n\f\v]+|[ \t\n\f\v]+")
+_ODD_SPACE = re.compile("[\r\x1c-\x1f\x85\xa0\u1680\u180e\u2000-\u200f\u2028\u2029\u202f\u205f\u2060\u2581\u3000\ufeff]")
+#: White space after another character, which no token may hold.
+_OVER = re.compile(r"\S[ \t\n\f\v]")
 #: Distinct pairs up to which their counts are broadcast, about 50 MB; beyond it rows and counts are shuffled by pair.
 BROADCAST_PAIRS = 1_000_000
 #: The rows of a pair are dealt over so many tasks where they are shuffled.
@@ -51,7 +61,7 @@ def token_bytes(vocabulary: str) -> list[bytes]:
 
 
 class Side:
-    """One tokenizer: ids of space + text, and their bytes. A sentencepiece model adds the space itself."""
+    """One tokenizer: ids of stretches of space + text, and their bytes. A sentencepiece model adds a space of its own."""
 
     def __init__(self, vocabulary: str):
         self.encoder = encoder_of(vocabulary, False)
@@ -59,11 +69,25 @@ class Side:
         self.sizes = np.array([len(b) for b in self.bytes], np.int64)
         self.names = [str(i) for i in range(len(self.bytes))]
         self.adds = vocabulary.endswith(".model")
-
-    def ids(self, text: str) -> np.ndarray | None:
-        """None where the tokens' bytes aren't those of space + text."""
-        ids = np.frombuffer(self.encoder.ids_of(text if self.adds else f" {text}"), np.uint32)
-        return ids.astype(np.int64) if b"".join(map(self.bytes.__getitem__, ids.tolist())) == f" {text}".encode() else None
+        self.cuts = not any(_OVER.search(b.decode("utf-8", "replace")) for b in self.bytes) if self.adds else self.encoder.by_words
+        self.space = self.encoder.model.piece_to_id("▁") if self.adds else -1
+
+    def ids(self, stretches: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """All ids, how many each stretch has, and whether its tokens' bytes are its own."""
+        if not self.adds:
+            found = [x.ids for x in self.encoder.whole.encode_batch_fast(stretches, add_special_tokens=False)]
+        else:
+            found = self.encoder.model.encode([x.removeprefix(" ") for x in stretches], num_threads=1)
+            found = [x if s.startswith(" ") else x[1:] if x and x[0] == self.space else [] for x, s in zip(found, stretches, strict=True)]
+        n = np.fromiter(map(len, found), np.int64, len(found))
+        flat = np.fromiter(itertools.chain.from_iterable(found), np.int64, n.sum())
+        sizes = np.bincount(np.repeat(np.arange(len(n)), n), self.sizes[flat], len(n))
+        own = [s.encode() for s in stretches]
+        spelled = list(map(self.bytes.__getitem__, flat.tolist()))
+        if (sizes == np.fromiter(map(len, own), np.int64, len(own))).all() and b"".join(spelled) == b"".join(own):
+            return flat, n, np.ones(len(n), bool)
+        to = np.cumsum(n).tolist()
+        return flat, n, np.array([b"".join(spelled[low:high]) == s for low, high, s in zip([0, *to], to, own, strict=False)], bool)
 
 
 def merged(a_ends: np.ndarray, b_ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -75,51 +99,117 @@ def merged(a_ends: np.ndarray, b_ends: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return i, j, (a_ends[i] == ends) & (b_ends[j] == ends)
 
 
+class Stretches:
+    """Aligned stretches, one after another: counts, groups as text, and the keys of their links."""
+
+    def __init__(self) -> None:
+        self.counts = np.zeros((0, 4), np.int64)  # n_a, n_b, n_groups, n_links
+        self.groups: list[str] = []
+        self.at = np.zeros(1, np.int64)  # where each one's links begin
+        self.links = np.zeros(0, np.int64)
+
+    def extend(self, counts: np.ndarray, groups: list[str], links: np.ndarray) -> None:
+        self.counts = np.concatenate([self.counts, counts])
+        self.groups += groups
+        self.at = np.concatenate([self.at, self.at[-1] + np.cumsum(counts[:, 3])])
+        self.links = np.concatenate([self.links, links])
+
+
 class Aligner:
     def __init__(self, a: str, b: str):
         self.a, self.b = Side(a), Side(b)
+        self.cuts = self.a.cuts and self.b.cuts
+        self.pairs = len(self.a.names) * len(self.b.names)
         self.words = [n + s for n in self.a.names for s in (",", "|")] + [n + s for n in self.b.names for s in (",", ";")]
-
-    def align(self, texts: list[str]) -> dict[str, list]:
-        """Columns over the texts, all of which are aligned in one merge."""
-        held: list[tuple[np.ndarray, np.ndarray] | None] = []
-        for text in texts:
-            a = self.a.ids(text) if text else None
-            b = self.b.ids(text) if a is not None else None
-            held.append(None if b is None else (a, b))
-        full = [k for k, x in enumerate(held) if x is not None]
-        n = len(texts)
-        out: dict[str, list] = {"n_a": [0] * n, "n_b": [0] * n, "n_groups": [0] * n, "n_links": [0] * n, "groups": [""] * n, "a": [[]] * n, "b": [[]] * n, "times": [[]] * n}
-        if not full:
-            return out
-        a, b = (np.concatenate([held[k][side] for k in full]) for side in (0, 1))
-        a_to, b_to = (np.cumsum([len(held[k][side]) for k in full]) for side in (0, 1))
+        self.clear()
+
+    def clear(self) -> None:
+        self.known: dict[str, int] = {}
+        self.kept = Stretches()
+
+    def _aligned(self, stretches: list[str]) -> tuple[np.ndarray, np.ndarray, list[str], np.ndarray]:
+        """Whether each has tokens, and the counts, groups and links of those that have, all aligned in one merge."""
+        (a, n_a, good_a), (b, n_b, good_b) = self.a.ids(stretches), self.b.ids(stretches)
+        good = good_a & good_b
+        a, b, n_a, n_b = a[np.repeat(good, n_a)], b[np.repeat(good, n_b)], n_a[good], n_b[good]
+        n = len(n_a)
+        if not n:
+            return good, np.zeros((0, 4), np.int64), [], np.zeros(0, np.int64)
         i, j, closes = merged(np.cumsum(self.a.sizes[a]), np.cumsum(self.b.sizes[b]))
-        doc = np.searchsorted(a_to, i, side="right")  # a text's last ends are shared, so no stretch spans two texts
+        owner = np.repeat(np.arange(n), n_a)[i]  # last ends are shared, so no link spans two stretches
         group = np.cumsum(closes) - closes
-        # every token's group is that of its last stretch
         group_a, group_b = np.empty(len(a), np.int64), np.empty(len(b), np.int64)
         group_a[i], group_b[j] = group, group
-        place = np.empty(len(a) + len(b), np.int64)
-        n_a, n_b = np.bincount(group_a), np.bincount(group_b)
+        # in writing order, a group's tokens of A come before those of B
+        in_a, in_b = np.bincount(group_a), np.bincount(group_b)
         last_a, last_b = (np.concatenate([g[1:] != g[:-1], [True]]) for g in (group_a, group_b))
-        place[np.arange(len(a)) + (np.cumsum(n_b) - n_b)[group_a]] = a * 2 + last_a
-        place[np.arange(len(b)) + np.cumsum(n_a)[group_b]] = 2 * len(self.a.names) + b * 2 + last_b
-        key, times = np.unique((doc * len(self.a.names) + a[i]) * len(self.b.names) + b[j], return_counts=True)
-        owner, pair = np.divmod(key, len(self.a.names) * len(self.b.names))
-        pair_a, pair_b = (x.astype(np.int32) for x in np.divmod(pair, len(self.b.names)))
-        times = times.astype(np.int32)
-        pair_to = np.searchsorted(owner, np.arange(len(full)), side="right")
-        groups, links = np.bincount(doc, closes, len(full)).astype(np.int64), np.bincount(doc, minlength=len(full))
-        at_a = at_b = at = 0
-        for k, row in enumerate(full):
-            out["n_a"][row], out["n_b"][row] = int(a_to[k] - at_a), int(b_to[k] - at_b)
-            out["n_groups"][row], out["n_links"][row] = int(groups[k]), int(links[k])
-            out["groups"][row] = "".join(map(self.words.__getitem__, place[at_a + at_b : a_to[k] + b_to[k]].tolist()))[:-1]
-            at_a, at_b = a_to[k], b_to[k]
-            out["a"][row], out["b"][row], out["times"][row] = pair_a[at : pair_to[k]], pair_b[at : pair_to[k]], times[at : pair_to[k]]
-            at = pair_to[k]
-        return out
+        order = np.empty(len(a) + len(b), np.int64)
+        order[np.arange(len(a)) + (np.cumsum(in_b) - in_b)[group_a]] = a * 2 + last_a
+        order[np.arange(len(b)) + np.cumsum(in_a)[group_b]] = 2 * len(self.a.names) + b * 2 + last_b
+        to = np.cumsum(n_a + n_b).tolist()
+        written_ = list(map(self.words.__getitem__, order.tolist()))
+        groups = ["".join(written_[low:high])[:-1] for low, high in zip([0, *to], to, strict=False)]
+        counts = np.stack([n_a, n_b, np.bincount(owner, closes, n).astype(np.int64), np.bincount(owner, minlength=n)], axis=1)
+        return good, counts, groups, a[i] * len(self.b.names) + b[j]
+
+    def _learn(self, stretches: list[str]) -> None:
+        for low in range(0, len(stretches), LEARNED):
+            some = stretches[low : low + LEARNED]
+            good, counts, groups, links = self._aligned(some)
+            numbers = iter(range(len(self.kept.groups), len(self.kept.groups) + len(groups)))
+            self.kept.extend(counts, groups, links)
+            self.known.update((s, next(numbers) if g else -1) for s, g in zip(some, good.tolist(), strict=True))
+
+    def align(self, texts: list[str]) -> dict[str, list]:
+        """Columns over the texts."""
+        n = len(texts)
+        if len(self.known) > KEPT_STRETCHES:
+            self.clear()
+        cut = [_STRETCHES.findall(f" {t}") if t and self.cuts and not _ODD_SPACE.search(t) else None for t in texts]
+        self._learn(list({s for x in cut if x for s in x} - self.known.keys()))
+        numbers = [np.fromiter(map(self.known.__getitem__, x), np.int64, len(x)) if x else None for x in cut]
+        whole_ = [k for k, t in enumerate(texts) if t and (numbers[k] is None or (numbers[k] < 0).any())]
+        for k in whole_:
+            numbers[k] = None
+        counts, groups = np.zeros((n, 4), np.int64), [""] * n
+        keys, times = [], []
+        full = [k for k in range(n) if numbers[k] is not None]
+        if full:
+            flat = np.concatenate([numbers[k] for k in full])
+            doc = np.repeat(full, [len(numbers[k]) for k in full])
+            for c in range(4):
+                counts[:, c] = np.bincount(doc, self.kept.counts[flat, c], n)
+            for k in full:
+                groups[k] = ";".join(map(self.kept.groups.__getitem__, numbers[k].tolist()))
+            # a stretch's links once for every text, times how often it stands there
+            where, often = np.unique(doc * len(self.kept.groups) + flat, return_counts=True)
+            doc, flat = np.divmod(where, len(self.kept.groups))
+            size = self.kept.counts[flat, 3]
+            first = np.repeat(self.kept.at[flat] - (np.cumsum(size) - size), size) + np.arange(size.sum())
+            keys.append(np.repeat(doc, size) * self.pairs + self.kept.links[first])
+            times.append(np.repeat(often, size))
+        for k in whole_:
+            good, count, group, links = self._aligned([f" {texts[k]}"])
+            if good[0]:
+                counts[k], groups[k] = count[0], group[0]
+                keys.append(k * self.pairs + links)
+                times.append(np.ones(len(links), np.int64))
+        key, time = sums_by_key(np.concatenate(keys), np.concatenate(times)) if keys else (np.zeros(0, np.int64), np.zeros(0, np.int64))
+        to = np.searchsorted(key, np.arange(1, n + 1) * self.pairs).tolist()
+        a, b = (x.astype(np.int32) for x in np.divmod(key % self.pairs, len(self.b.names)))
+        time = time.astype(np.int32)
+        split = lambda x: [x[low:high] for low, high in zip([0, *to], to, strict=False)]
+        return {**{c: counts[:, i] for i, c in enumerate(("n_a", "n_b", "n_groups", "n_links"))}, "groups": groups, "a": split(a), "b": split(b), "times": split(time)}
+
+
+_aligners: dict[tuple[str, str], Aligner] = {}
+
+
+def aligner_of(a: str, b: str) -> Aligner:
+    """One for each pair of vocabularies and Python worker."""
+    if (a, b) not in _aligners:
+        _aligners[a, b] = Aligner(a, b)
+    return _aligners[a, b]
 
 
 def _slices(frame: pd.DataFrame) -> Iterator[pd.DataFrame]:
@@ -146,10 +236,11 @@ def align(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, vo
     kind = dict(docs.dtypes)[id_col]
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        aligner = Aligner(a, b)
+        aligner = aligner_of(a, b)
         for frame in (x for y in frames for x in _slices(y)):
             yield pd.DataFrame({"id": frame["id"].to_numpy(), **aligner.align(frame["text"].tolist())})
-        aligner.a.encoder.forget()
+        aligner.clear()
+        released()
 
     shape = "id string, n_a bigint, n_b bigint, n_groups bigint, n_links bigint, groups string, a array<int>, b array<int>, times array<int>"
     # as a string an id that may be null passes pandas as it is

@@ -203,3 +203,13 @@ def word_hashes(text: bytes) -> np.ndarray:
     inner = np.arange(len(letters)) - np.repeat(first, sizes)
     sums = np.add.reduceat(_BYTE_VALUE[data[letters]] * _POWERS[inner & (len(_POWERS) - 1)], first)
     return mixed(sums + sizes.astype(np.uint64))
+
+
+def sums_by_key(keys: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys, ascending, and the sum of each one's values."""
+    if not len(keys):
+        return keys, values
+    order = np.argsort(keys, kind="stable")
+    keys = keys[order]
+    starts = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
+    return keys[starts], np.add.reduceat(values[order], starts)

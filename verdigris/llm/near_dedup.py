@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..shipping import ship
-from .common import distinct_texts, mixed, numbered, pieces_by_bytes, released, table, text_digest, whole, word_hashes, written
+from .common import distinct_texts, mixed, numbered, pieces_by_bytes, released, sums_by_key, table, text_digest, whole, word_hashes, written
 from .components import components
 
 SHINGLE = 5
@@ -187,13 +187,6 @@ def _unpacked(data: bytes) -> np.ndarray:
     return out.view("<u8").ravel()
 
 
-def _sums(keys: np.ndarray, shares: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    order = np.argsort(keys, kind="stable")
-    keys = keys[order]
-    starts = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
-    return keys[starts], np.add.reduceat(shares[order], starts)
-
-
 def document_frequencies(texts: DataFrame, seed: int = 0) -> tuple[Frequencies, int]:
     """Frequencies over the distinct texts of _text, each weighing one over the size of its group, and the number of rows."""
     texts = texts.select(F.unhex(F.md5("_text")).alias("_t"), "_text")
@@ -204,7 +197,7 @@ def document_frequencies(texts: DataFrame, seed: int = 0) -> tuple[Frequencies,
     distinct = texts.groupBy("_t").agg(F.first("_text").alias("_text")).join(shares, "_t", "left")
 
     def flushed(held: list[tuple[np.ndarray, float]]) -> pa.RecordBatch:
-        keys, sums = _sums(np.concatenate([k for k, _ in held]), np.repeat([x for _, x in held], [len(k) for k, _ in held]))
+        keys, sums = sums_by_key(np.concatenate([k for k, _ in held]), np.repeat([x for _, x in held], [len(k) for k, _ in held]))
         cuts = np.searchsorted(keys, np.arange(1 << bits, dtype=np.uint64) << _U(KEY_BITS - bits)).tolist() + [len(keys)]
         spans = [(i, a, b) for i, (a, b) in enumerate(itertools.pairwise(cuts)) if b > a]
         return pa.RecordBatch.from_arrays(
@@ -229,7 +222,7 @@ def document_frequencies(texts: DataFrame, seed: int = 0) -> tuple[Frequencies,
 
     def both(group: pa.Table) -> pa.Table:
         keys = np.concatenate([_unpacked(x) for x in group.column("keys").to_pylist()])
-        keys, df = _sums(keys, np.concatenate([np.frombuffer(x, "<f8") for x in group.column("sums").to_pylist()]))
+        keys, df = sums_by_key(keys, np.concatenate([np.frombuffer(x, "<f8") for x in group.column("sums").to_pylist()]))
         some = df > floor
         return pa.table({"part": group.column("part")[:1], "keys": pa.array([keys[some].tobytes()], pa.binary()), "sums": pa.array([df[some].tobytes()], pa.binary())})
 
