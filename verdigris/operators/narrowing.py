@@ -21,6 +21,30 @@ COURSE_TOPICS = (
 ENTITY_CODE = r"(?<![A-Za-z0-9])([A-Za-z]{2,}[- ]?\d{2,4})(?![A-Za-z0-9])"
 ENTITY_LATIN = r"(?<![A-Za-z0-9])([A-Za-z][A-Za-z0-9+._-]{2,})(?![A-Za-z0-9])"
 NO_ENTITY = ("HTTP", "HTTPS", "PDF", "RAG", "API")
+#: For each family of questions its pattern, the mark that a subject follows, what goes from its ends in turn, its greatest length, and subjects that name nothing.
+SUBJECT_FAMILIES = (
+    (
+        r"([^，。！？!?；;]{2,24}?)(?:算不算|是不是|属于|是|算(?=专选|专业选修|选修|必修))(?:什么|哪类|专业|课程|专选|选修|必修)?",
+        "的",
+        (r"^(请问|想问|那么|这个)", r"\d{4}级$", r"(?:还|分别|范围|是否|属于)$"),
+        10,
+        ("课程", "课", "这门课", "要求", "条件", "学分"),
+    ),
+    (
+        r"([^，。！？!?；;]{2,30}?)(?:什么时候|何时|几点)",
+        None,
+        (r"^(请问|想问|我想知道|那么|这个)", r"^(?:我(?:的)?|本人(?:的)?)", r"(?:最迟|最晚|通常|一般|大概|大约)$", r"(?:在)?大[一二三四](?:上|下)?(?:学期)?$", r"(?:早上|上午|中午|下午|晚上)$", r"^\s+|\s+$", r"的+$"),
+        24,
+        ("考试", "课程", "规定", "政策", "学校"),
+    ),
+    (
+        r"([^，。！？!?；;]{2,24}?)(?:忘了|丢了|遗失了|找不到了|打不开|登录不了)(?:该)?怎么办",
+        None,
+        (r"^(请问|想问|我想知道|那么|这个)", r"^(?:我(?:的)?|本人(?:的)?)", r"^\s+|\s+$", r"的+$"),
+        24,
+        ("",),
+    ),
+)
 ENTITY_PHRASES = ("专业选修课", "跨专业选修课", "毕业最低学分")
 # Fields of an explanation, and what its text must not echo or invent.
 DRAFT_FIELDS = ("summary", "explanations", "warnings", "clarification_question")
@@ -134,13 +158,34 @@ def candidate_names(questions: DataFrame, catalog: DataFrame) -> DataFrame:
     return questions.join(held, "question_id", "left").select("question_id", ordered_union(planned, listed).alias("names"))
 
 
+def _trimmed(found: Column, patterns: tuple[str, ...]) -> Column:
+    """Each pattern's match goes, in turn."""
+    for pattern in patterns:
+        found = F.regexp_replace(found, pattern, "")
+    return F.trim(found)
+
+
+def asked_subjects(question: Column) -> Column:
+    """The subjects of questions of kind, of time and for help: what stands before the question words, without what is said around it."""
+    q = text_of(question)
+
+    def family(pattern: str, mark: str | None, patterns: tuple[str, ...], most: int, none: tuple[str, ...]) -> Column:
+        found = F.transform(F.regexp_extract_all(q, F.lit(pattern), F.lit(1)), F.trim)
+        if mark:
+            found = F.transform(found, lambda x: F.element_at(F.split(x, mark, -1), -1))
+        found = F.transform(found, lambda x: _trimmed(x, patterns))
+        return F.filter(found, lambda x: F.char_length(x).between(2, most) & ~x.isin(*none))
+
+    return F.concat(*[family(*rules) for rules in SUBJECT_FAMILIES])
+
+
 def required_entities(question: Column) -> Column:
-    """What a source must hold: the course codes if there are any, else Latin names and fixed phrases, in order, each once."""
+    """What a source must hold: the course codes if there are any, else Latin names, fixed phrases and asked subjects, in order, each once."""
     q = text_of(question)
     codes = F.transform(F.regexp_extract_all(q, F.lit(ENTITY_CODE), F.lit(1)), lambda x: F.upper(F.regexp_replace(x, "[- ]", "")))
     latin = F.filter(F.regexp_extract_all(q, F.lit(ENTITY_LATIN), F.lit(1)), lambda x: ~F.upper(x).isin(*NO_ENTITY))
     phrases = F.filter(F.array(*map(F.lit, ENTITY_PHRASES)), lambda x: F.contains(q, x))
-    return F.array_distinct(F.when(F.size(codes) > 0, codes).otherwise(F.concat(latin, phrases)))
+    return F.array_distinct(F.when(F.size(codes) > 0, codes).otherwise(F.concat(latin, phrases, asked_subjects(q))))
 
 
 def explanation_error(fields: Column, evidence: Column, known: Column, text: Column, codes: Column, numbers: Column) -> Column:
