@@ -72,3 +72,22 @@ def test_keys_stay_distinct():
     for p in points:
         forms.setdefault(lower(chr(p)), set()).add(re.sub("[A-Z]", lambda m: m[0].lower(), chr(p)))
     assert all(len(x) == 1 for x in forms.values())
+
+
+def test_many_lines_of_one_text(spark):
+    """Places of the lines that go, first and last among them, in a long text."""
+    lines = [f"line {i}" if i % 3 else "common" for i in range(2_000)]
+    rows = [("\n".join([*lines, f"end {k}", "common"]),) for k in range(10)]
+    got = M.dedup_lines(spark.createDataFrame(rows, "text string")).collect()
+    assert sorted(r.text for r in got) == [f"end {k}" for k in range(10)] and {r._n_dropped for r in got} == {2_001}
+
+
+def test_names_of_batches(spark):
+    runs = M.LineRuns(spark)
+    first, second = (spark.createDataFrame([(f"{x}{i}\nshared",) for i in range(6)], "text string") for x in "ab")
+    assert {r._n_dropped for r in M.dedup_lines(first, runs=runs, name="a").collect()} == {0}
+    assert {r._n_dropped for r in M.dedup_lines(first, runs=runs, name="a").collect()} == {0}  # the same again
+    with pytest.raises(ValueError):
+        M.dedup_lines(second, runs=runs, name="a")
+    assert {r._n_dropped for r in M.dedup_lines(second, runs=runs).collect()} == {1}  # named by what it holds
+    assert {r._n_dropped for r in M.dedup_lines(first.limit(2), runs=runs).collect()} == {1}

@@ -46,3 +46,25 @@ def test_hot_source_spreads(spark):
     df = spark.range(20_000).selectExpr("id as doc_id", "'hot' as source")
     counts = [r["count"] for r in M.place(df, "doc_id", ["p", "q", "r", "s"], 251).groupBy("shard").count().collect()]
     assert len(counts) == 4 and max(counts) < 1.1 * min(counts)
+
+
+def test_placed_rows_against_brute_force(spark):
+    """Every document's slot by its id's MD5, and the shard that a slower filling of the table gives the slot."""
+    import hashlib
+
+    from compare import SMALL
+
+    owner, free = [None] * M.SLOTS, M.SLOTS
+    places = [M.preference(s, M.SLOTS) for s in M.SHARDS]
+    turn = [0] * len(places)
+    while free:
+        for i, (offset, skip) in enumerate(places):
+            while free and owner[(offset + turn[i] * skip) % M.SLOTS] is not None:
+                turn[i] += 1
+            if free:
+                owner[(offset + turn[i] * skip) % M.SLOTS] = M.SHARDS[i]
+                free -= 1
+    docs = [(r.doc_id, r.source) for r in spark.read.parquet(f"{SMALL}/documents.parquet").collect()]
+    slot = lambda i: int(hashlib.md5(str(i).encode()).hexdigest()[:15], 16) % M.SLOTS
+    got = sorted((r.doc_id, r.source, r.slot, r.shard) for r in M.op4_sharding(spark, SMALL).collect())
+    assert got == sorted((i, s, slot(i), owner[slot(i)]) for i, s in docs)

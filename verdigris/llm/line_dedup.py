@@ -60,12 +60,12 @@ class LineRuns:
             raise ValueError("fanout must be 2 or more")
         self.spark, self.fanout, self.folder = spark, fanout, folder
         self.levels: list[list[str]] = [[]]
-        self.counted: set[str] = set()
+        self.counted: dict[str, str | None] = {}
         if folder:
             lines = self._manifest().collect() if self._exists() else []
             if lines:
                 state = max((json.loads(r[0]) for r in lines), key=lambda x: x["version"])
-                self.levels, self.counted = state["levels"], set(state["counted"])
+                self.levels, self.counted = state["levels"], dict(state["counted"])
         self.version = len(self.counted)
 
     def _path(self):
@@ -96,9 +96,15 @@ class LineRuns:
     def settled(self, min_docs: int) -> DataFrame:
         return self.counts().where(F.col("n") >= min_docs).select("key")
 
-    def add(self, batch: DataFrame, min_docs: int, name: str | None = None) -> None:
-        """batch: (key, n), one row for each key. A name that has been counted is passed over."""
-        if name is not None and name in self.counted:
+    def holds(self, name: str, content: str | None) -> bool:
+        """Whether a batch of this name has been counted; ValueError if that was of other content."""
+        if name in self.counted and self.counted[name] != content:
+            raise ValueError(f"other content has been counted as {name!r}")
+        return name in self.counted
+
+    def add(self, batch: DataFrame, min_docs: int, name: str | None = None, content: str | None = None) -> None:
+        """batch: (key, n), one row for each key. A name that has been counted with this content is passed over; with another it is an error."""
+        if name is not None and self.holds(name, content):
             return
         if any(self.levels):
             batch = batch.join(self.settled(min_docs), "key", "left_anti")
@@ -114,21 +120,22 @@ class LineRuns:
             levels[level] = []
             level += 1
         self.levels = levels
-        self.counted.add(name if name is not None else f"batch {self.version}")
+        self.counted[name if name is not None else f"batch {self.version}"] = content
         if self.folder:
-            state = json.dumps({"version": self.version, "levels": self.levels, "counted": sorted(self.counted)})
+            state = json.dumps({"version": self.version, "levels": self.levels, "counted": self.counted})
             self.spark.range(1).select(F.lit(state)).coalesce(1).write.mode("append").text(f"{self.folder}/manifest")
 
 
 def dedup_lines(
-    docs: DataFrame, text_col: str = "text", *, min_docs: int = MIN_DOCS, min_chars: int = MIN_CHARS, batches: int = BATCHES, runs: LineRuns | None = None, name: str = "batch"
+    docs: DataFrame, text_col: str = "text", *, min_docs: int = MIN_DOCS, min_chars: int = MIN_CHARS, batches: int = BATCHES, runs: LineRuns | None = None, name: str | None = None
 ) -> DataFrame:
     """Every row with _n_lines, _n_dropped and its text without the lines found in min_docs rows or more.
 
     Each row counts as a document, repeated rows and ids too. A null or empty text
     is one empty line; an empty line has no key and stays. A text that loses every
     line becomes empty. Given earlier runs, their documents count as well; docs are
-    then counted in them under name, once. All other columns pass through, whatever
+    then counted in them under name, by default a digest of their content: once,
+    however often they are passed. Other documents under a used name are an error. All other columns pass through, whatever
     their names; _n_lines and _n_dropped are replaced. A frame without rows gives none.
     """
     spark = docs.sparkSession
@@ -139,9 +146,17 @@ def dedup_lines(
     # batches by text digest: in one job, each key's documents of each batch
     batch = (F.conv(F.substring("t", 1, 4), 16, 10).cast("int") % batches).alias("batch")
     staged = written(keys.groupBy(batch, "key").agg(F.count(F.lit(1)).alias("n")), "line-batches", ["batch"])
-    runs = runs or LineRuns(spark)
+    content = None
+    if runs is None:
+        runs, name = LineRuns(spark), "batch"
+    else:
+        seen = hashed.agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("t").cast("decimal(20,0)")).alias("s")).first()
+        content = f"{seen['n']}-{seen['s'] or 0}"
+        name = content if name is None else name
+        for b in range(batches):
+            runs.holds(f"{name} {b} of {batches}", content)
     for b in range(batches):
-        runs.add(staged.where(F.col("batch") == b).select("key", "n"), min_docs, f"{name} {b} of {batches}")
+        runs.add(staged.where(F.col("batch") == b).select("key", "n"), min_docs, f"{name} {b} of {batches}", content)
     # a frequent key once for each salt; a text's lines take the salt of the text
     frequent = runs.settled(min_docs).select("key", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
     lines = hashed.select("t", F.posexplode("keys").alias("place", "key")).where(F.col("key").isNotNull())
@@ -150,7 +165,12 @@ def dedup_lines(
     gone = lines.join(frequent, ["key", "salt"], "left_semi").groupBy("t").agg(F.array_sort(F.collect_set("place")).alias("gone"))
     rows = docs.select(boxed(docs, text_col), F.md5(text).alias("t"), text.alias("text")).join(gone, "t", "left")
     size = F.size(F.split("text", "\n", -1)).cast("bigint")
-    kept = F.array_join(F.filter(F.split("text", "\n", -1), lambda x, i: ~F.array_contains("gone", i)), "\n")
+    # every place with whether its line stays, in order: a hash set and a sort, however many lines go
+    all_places = F.sequence(F.lit(0), size.cast("int") - 1)
+    marked = lambda places, stays: F.transform(places, lambda i: F.struct(i.alias("i"), F.lit(stays).alias("stays")))
+    flags = F.sort_array(F.concat(marked(F.col("gone"), False), marked(F.array_except(all_places, "gone"), True)))
+    zipped = F.zip_with(F.split("text", "\n", -1), flags, lambda x, f: F.struct(x.alias("x"), f["stays"].alias("stays")))
+    kept = F.array_join(F.transform(F.filter(zipped, lambda z: z["stays"]), lambda z: z["x"]), "\n")
     names = [c for c in docs.columns if c not in ("_n_lines", "_n_dropped")]
     return rows.select(
         *[F.when(F.col("gone").isNull(), F.col("text")).otherwise(kept).alias(c) if c == text_col else F.col("row")[c].alias(c) for c in names],

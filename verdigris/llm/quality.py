@@ -113,14 +113,19 @@ def _measured(docs: DataFrame, text_col: str) -> DataFrame:
     c = b.withColumn("_w", F.transform(starts, lambda i: F.xxhash64(F.get("_h", i), F.get("_h", i + 1), F.get("_h", i + 2))))
     # the window's hash above its position: equal windows meet when sorted
     packed = F.zip_with("_w", starts, lambda h, i: h.bitwiseAND(F.lit(~_POS_MASK)).bitwiseOR(i.cast("bigint")))
-    # where positions don't fit beside the hash, pairs of both
-    apart = F.sort_array(F.zip_with("_w", starts, lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
-    d = c.withColumn("_s", F.sort_array(packed)).withColumn("_z", F.when(F.col("_n") - 3 > _POS_MASK, apart))
+    d = c.withColumn("_s", F.sort_array(packed))
     n = F.size("_s")
     at = lambda x: x.bitwiseAND(F.lit(_POS_MASK)).cast("int")
-    same = lambda x, y: (F.shiftright(x, _POS_BITS) == F.shiftright(y, _POS_BITS)) & (F.get("_w", at(x)) == F.get("_w", at(y)))
+    upper = lambda x, y: F.shiftright(x, _POS_BITS) == F.shiftright(y, _POS_BITS)
+    equal = lambda x, y: F.get("_w", at(x)) == F.get("_w", at(y))
+    neighbours = lambda f: F.zip_with(F.slice("_s", 1, n - 1), F.slice("_s", 2, n - 1), f)
+    # where positions don't fit beside the hash, or windows that differ agree in its upper bits and so may stand between equal ones: pairs of both, whole
+    mixed = F.exists(neighbours(lambda x, y: upper(x, y) & ~equal(x, y)), lambda x: x)
+    apart = F.sort_array(F.zip_with("_w", starts, lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
+    d = d.withColumn("_z", F.when(F.when(F.col("_n") - 3 > _POS_MASK, True).otherwise((n >= 2) & mixed), apart))
     far = F.filter(F.zip_with(F.slice("_z", 1, n - 1), F.slice("_z", 2, n - 1), lambda x, y: F.when(x["h"] == y["h"], F.array(x["i"], y["i"]))), lambda p: p.isNotNull())
-    pairs = F.when((n >= 2) & F.col("_z").isNotNull(), far).when(n >= 2, F.filter(F.zip_with(F.slice("_s", 1, n - 1), F.slice("_s", 2, n - 1), lambda x, y: F.when(same(x, y), F.array(at(x), at(y)))), lambda p: p.isNotNull())).otherwise(F.array().cast("array<array<int>>"))
+    near = F.filter(neighbours(lambda x, y: F.when(upper(x, y) & equal(x, y), F.array(at(x), at(y)))), lambda p: p.isNotNull())
+    pairs = F.when((n >= 2) & F.col("_z").isNotNull(), far).when(n >= 2, near).otherwise(F.array().cast("array<array<int>>"))
     e = d.withColumn("_p", F.sort_array(F.array_distinct(F.flatten(pairs)))).drop("_s", "_z", "_w", "_h")
     m = F.size("_p")
     gaps = F.aggregate(F.zip_with(F.slice("_p", 1, F.greatest(m - 1, F.lit(0))), F.slice("_p", 2, F.greatest(m - 1, F.lit(0))), lambda x, y: F.least(y - x, F.lit(3))), F.lit(0).cast("bigint"), lambda s, x: s + x)
