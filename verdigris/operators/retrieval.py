@@ -4,12 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.text import alnum_fingerprint, tokens
+from ..shipping import ship
 
 # Fixed values of the ranking model.
 BM25_K1, BM25_B = 1.5, 0.75
@@ -22,6 +25,8 @@ COVERAGE_SHARE, EXACT_SHARE = 0.65, 0.35
 SCORE_PLACES = 11
 #: Asked terms up to which they are broadcast, some 5 MB.
 FEW_TERMS = 100_000
+#: Asked terms up to which they are a filter of the scan.
+PUSHED_TERMS = 2_000
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -53,6 +58,44 @@ def dense_scores(vectors: DataFrame, queries: DataFrame, id_col: str, vector: st
     return met.select(F.col("_q.query_id").alias("query_id"), id_col, F.round(dot(F.col(vector), F.col("_q.query_vector")), SCORE_PLACES).alias("score"))
 
 
+def dense_top_k(vectors: DataFrame, queries: DataFrame, id_col: str, k: int, vector: str = "embedding") -> DataFrame:
+    """(query_id, id_col, score, rank) of the k best of each query, as top_k of dense_scores.
+
+    Where the query vectors fit a broadcast, each batch of vectors meets them in one
+    matrix product and only its k best of each query leave the task. Rows without a
+    vector have no score; all vectors must have the queries' length.
+    """
+    size = queries.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.size("query_vector")), F.lit(0)).alias("values")).first()
+    if 8 * size["values"] > BROADCAST_BYTES or not size["n"]:
+        return top_k(dense_scores(vectors, queries, id_col, vector), k, id_col)
+    ship(vectors.sparkSession)
+    asked = queries.orderBy("query_id").collect()  # at most BROADCAST_BYTES
+    matrix = np.array([r["query_vector"] for r in asked], np.float64).T
+    ids = [r["query_id"] for r in asked]
+    shape = T.StructType([queries.schema["query_id"], vectors.schema[id_col], T.StructField("score", T.DoubleType())])
+
+    def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            values = batch.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+            own = batch.column(0)
+            # by id first: of equal scores the least id stays
+            order = pa.compute.sort_indices(own).to_numpy()
+            scores = np.round(values.reshape(batch.num_rows, -1)[order] @ matrix, SCORE_PLACES)
+            kept = np.argsort(-scores, axis=0, kind="stable")[:k]
+            rows = order[kept.T.ravel()]
+            column = np.repeat(np.arange(len(ids)), len(kept))
+            yield pa.RecordBatch.from_arrays([pa.array(ids).take(pa.array(column)), own.take(pa.array(rows)), pa.array(scores[kept.T.ravel(), column])], ["query_id", id_col, "score"])
+
+    some = vectors.where(F.col(vector).isNotNull()).select(id_col, F.col(vector).cast("array<double>").alias("_v"))
+    return top_k(some.mapInArrow(best, shape), k, id_col)
+
+
+def dense_of(pairs: DataFrame, vectors: DataFrame, queries: DataFrame, id_col: str, vector: str = "embedding") -> DataFrame:
+    """pairs (query_id, id_col, ...) with score, for chosen pairs alone."""
+    met = pairs.join(vectors.select(id_col, F.col(vector).alias("_v")), id_col).join(queries.select("query_id", "query_vector"), "query_id")
+    return met.select(*pairs.columns, F.round(dot(F.col("_v"), F.col("query_vector")), SCORE_PLACES).alias("score"))
+
+
 def top_k(scores: DataFrame, k: int, id_col: str, score: str = "score") -> DataFrame:
     """The k best of each query, ties by id. Spark prunes to k in each task before the shuffle."""
     ranked = scores.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc(score), id_col)))
@@ -92,6 +135,31 @@ def bm25_scores(docs: DataFrame, queries: DataFrame, id_col: str, text: str) ->
     return scored.groupBy("query_id", id_col).agg(F.round(F.sum(F.col("part") * F.col("times")), SCORE_PLACES).alias("score"))
 
 
+def postings(docs: DataFrame, id_col: str, text: str) -> dict[str, DataFrame]:
+    """The lexical index of a scope: postings (term, id_col, tf, length), sorted by term so that a filter on terms skips most row groups, and lengths (id_col, length) of every document."""
+    listed = docs.select(id_col, tokens(F.col(text)).alias("_tokens"))
+    each = listed.select(id_col, F.size("_tokens").alias("length"), F.explode("_tokens").alias("term"))
+    counted = each.groupBy(id_col, "length", "term").agg(F.count(F.lit(1)).alias("tf"))
+    return {"postings": counted.select("term", id_col, "tf", "length").repartitionByRange("term", id_col).sortWithinPartitions("term", id_col), "lengths": listed.select(id_col, F.size("_tokens").alias("length"))}
+
+
+def bm25_of_index(index: dict[str, DataFrame], queries: DataFrame, id_col: str) -> DataFrame:
+    """bm25_scores from a scope's index: only asked terms are read, and df comes from their own postings."""
+    asked = queries.select("query_id", F.explode(tokens(F.col("query_text"))).alias("term")).groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("times"))
+    terms = [r["term"] for r in asked.select("term").distinct().limit(FEW_TERMS + 1).collect()]
+    few = len(terms) <= FEW_TERMS
+    held = index["postings"]
+    held = held.where(F.col("term").isin(terms)) if len(terms) <= PUSHED_TERMS else held.join(F.broadcast(asked.select("term").distinct()) if few else asked.select("term").distinct(), "term", "left_semi")
+    df = held.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    stats = index["lengths"].agg(F.count(F.lit(1)).alias("n_docs"), F.avg("length").alias("avg_length"))
+    known = df.join(asked, "term").join(F.broadcast(stats))  # one row
+    met = held.join(F.broadcast(known) if few else known, "term")
+    idf = F.log(1.0 + (F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    tf = F.col("tf").cast("double")
+    part = idf * tf * (BM25_K1 + 1) / (tf + BM25_K1 * (1 - BM25_B + BM25_B * F.col("length") / F.greatest(F.col("avg_length"), F.lit(1.0))))
+    return met.groupBy("query_id", id_col).agg(F.round(F.sum(part * F.col("times")), SCORE_PLACES).alias("score"))
+
+
 def fuse(lists: list[DataFrame], id_col: str, k: int = FUSION_K) -> DataFrame:
     """Reciprocal-rank fusion of ranked lists (query_id, id_col, rank)."""
     out = lists[0].select("query_id", id_col, "rank")
@@ -100,12 +168,12 @@ def fuse(lists: list[DataFrame], id_col: str, k: int = FUSION_K) -> DataFrame:
     return out.groupBy("query_id", id_col).agg(F.sum(1.0 / (k + F.col("rank"))).alias("fused"))
 
 
-def hybrid(docs: DataFrame, vectors: DataFrame, queries: DataFrame, id_col: str, text: str, k: int, depth: int) -> DataFrame:
-    """The k best of each query by fused rank, then dense score, then id; score is the dense one."""
-    dense_all = dense_scores(vectors, queries, id_col)
-    dense = top_k(dense_all, depth, id_col)
-    lexical = top_k(bm25_scores(docs, queries, id_col, text).where("score > 0"), depth, id_col)
-    fused = fuse([dense, lexical], id_col).join(dense_all, ["query_id", id_col])
+def hybrid(docs: DataFrame, vectors: DataFrame, queries: DataFrame, id_col: str, text: str, k: int, depth: int, index: dict[str, DataFrame] | None = None) -> DataFrame:
+    """The k best of each query by fused rank, then dense score, then id; score is the dense one. index: the scope's postings, if they have been made."""
+    dense = dense_top_k(vectors, queries, id_col, depth)
+    scored = bm25_scores(docs, queries, id_col, text) if index is None else bm25_of_index(index, queries, id_col)
+    lexical = top_k(scored.where("score > 0"), depth, id_col)
+    fused = dense_of(fuse([dense, lexical], id_col), vectors, queries, id_col)
     order = Window.partitionBy("query_id").orderBy(F.desc("fused"), F.desc("score"), id_col)
     return fused.withColumn("place", F.row_number().over(order)).where(F.col("place") <= k)
 
@@ -167,7 +235,6 @@ def mmr_select(rows: DataFrame, *, id_col: str, vector: str, weight: str, k: int
                 chosen[-1] = flags.index(True)
         return pa.table({"query_id": pa.array([group.column("query_id")[0].as_py()] * len(chosen), pa.int64()), id_col: pa.array([ids[i] for i in chosen], pa.int64()), "place": pa.array(range(1, len(chosen) + 1), pa.int64())})
 
-    from ..shipping import ship
 
     ship(rows.sparkSession)
     cols = ["query_id", id_col, vector, weight, *([slot] if slot else [])]
@@ -198,7 +265,6 @@ def hashed_features(texts: DataFrame, text: str, dimension: int, out: str = "emb
                 rows.append([x / norm for x in v])
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(rows, pa.list_(pa.float64()))], [*names, out])
 
-    from ..shipping import ship
 
     ship(texts.sparkSession)
     return texts.mapInArrow(run, type(texts.schema)([*texts.schema.fields]).add(out, T.ArrayType(T.DoubleType())))

@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from ..operators import audit, catalog, evaluate, grounding, ingest, retrieval, store
 from ..sources.driver_tables import OFFERINGS_SQL, SOURCES_SQL, courses, load, offerings, sources, values
+from ..sources.scope_views import ScopeViews, snapshot_id
+from ..sources.snapshots import shared_folder
 from ..streaming import sessions
 
 QUERIES, ORACLES = {}, {}
@@ -43,6 +45,13 @@ def _questions(spark, d):
     return load(spark, d, "benchmark").where(F.col("item_id") % EVERY == 0).select(F.col("item_id").alias("query_id"), F.col("text").alias("query_text"))
 
 
+def _index(spark, d):
+    """The scope's postings, made once for the state of its files: all lexical queries read the same."""
+    docs = _scoped(spark, d)
+    views = ScopeViews(spark, shared_folder(spark, "scope-views"))
+    return views.view({"rule": "default", "tables": ["documents"], "dir": d}, snapshot_id(load(spark, d, "documents")), lambda: retrieval.postings(docs, "doc_id", "text"))
+
+
 _DENSE = (
     SOURCES_SQL
     + f""", scope AS (SELECT d.doc_id, d.text, d.source FROM documents d JOIN sources s ON d.source = s.source WHERE enabled AND trusted AND status = '现行'),
@@ -61,8 +70,8 @@ lexical AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id OR
 
 @query(_DENSE + " SELECT query_id, doc_id, round(score, 6) AS score, rank::INTEGER AS rank FROM dense WHERE rank <= 5")
 def dense_topk(spark, d):
-    scores = retrieval.dense_scores(_vectors(spark, d), _asked(spark, d), "doc_id")
-    return retrieval.top_k(scores, K, "doc_id").select("query_id", "doc_id", F.round("score", 6).alias("score"), "rank")
+    best = retrieval.dense_top_k(_vectors(spark, d), _asked(spark, d), "doc_id", K)
+    return best.select("query_id", "doc_id", F.round("score", 6).alias("score"), "rank")
 
 
 @query(_BM25 + " SELECT term, df, n AS n_docs, round(al, 6) AS avg_length FROM dfs CROSS JOIN stats")
@@ -75,12 +84,12 @@ def bm25_stats(spark, d):
 
 @query(_BM25 + " SELECT query_id, doc_id, round(score, 6) AS score FROM lexical WHERE rank <= 5")
 def bm25_topk(spark, d):
-    scores = retrieval.bm25_scores(_scoped(spark, d), _questions(spark, d), "doc_id", "text").where("score > 0")
+    scores = retrieval.bm25_of_index(_index(spark, d), _questions(spark, d), "doc_id").where("score > 0")
     return retrieval.top_k(scores, K, "doc_id").select("query_id", "doc_id", F.round("score", 6).alias("score"))
 
 
 def _hybrid(spark, d, k=K):
-    return retrieval.hybrid(_scoped(spark, d), _vectors(spark, d), _asked(spark, d).join(_questions(spark, d), "query_id"), "doc_id", "text", k, DEPTH)
+    return retrieval.hybrid(_scoped(spark, d), _vectors(spark, d), _asked(spark, d).join(_questions(spark, d), "query_id"), "doc_id", "text", k, DEPTH, _index(spark, d))
 
 
 _FUSED = (

@@ -18,14 +18,20 @@ from pyspark.sql import functions as F
 from .sinks import fingerprint
 
 
-def new_folder(spark: SparkSession, label: str) -> str:
-    """A new folder under spark.checkpoint.dir, which stays. A session on one machine that names none gets a temporary one."""
+def shared_folder(spark: SparkSession, label: str) -> str:
+    """A folder of this name under spark.checkpoint.dir. A session on one machine that names none gets a temporary one."""
     shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not shared:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-        shared = tempfile.mkdtemp(prefix="verdigris-")
-    return f"{shared}/verdigris/{label}-{uuid.uuid4().hex}"
+        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="verdigris-"))
+        shared = spark.sparkContext.getCheckpointDir()
+    return f"{shared}/verdigris/{label}"
+
+
+def new_folder(spark: SparkSession, label: str) -> str:
+    """A new such folder, which stays."""
+    return shared_folder(spark, f"{label}-{uuid.uuid4().hex}")
 
 
 def _fs(spark: SparkSession, path: str):
