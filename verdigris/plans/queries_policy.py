@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from ..operators import citations as C
 from ..operators import narrowing as N
 from ..operators import policy as P
+from ..operators.chunk_table import chunks_of
+from ..operators.models import HashingEncoder, LexicalReranker, encoded, reranked
 from ..sources.driver_tables import load
 
 QUERIES, ORACLES = {}, {}
@@ -153,3 +155,33 @@ def asked_subjects(spark, d):
         .otherwise(F.concat(w(1), lit("考试什么时候？课程是什么")))
     )
     return b.select("item_id", asked.alias("question")).withColumn("subjects", F.array_join(N.asked_subjects(F.col("question")), "|"))
+
+
+@query(None)
+def chunk_table(spark, d):
+    """Each document's chunks by one lateral call: its lines under a chapter, then its lines as a table under an article (tested against the parts' own operators)."""
+    docs = load(spark, d, "documents")
+    t = F.coalesce("text", F.lit(""))
+    rows = F.transform(F.split(t, "\n", -1), lambda x, i: F.concat(F.lit("| "), i.cast("string"), F.lit(" | "), F.replace(x, F.lit("|"), F.lit("/")), F.lit(" |")))
+    text = F.concat(F.lit("第1章 "), F.coalesce("lang", F.lit("")), F.lit("\n"), t, F.lit("\n第2条 表\n| n | line |\n|---|---|\n"), F.array_join(rows, "\n"))
+    found = chunks_of(docs, text, 400, ["doc_id"])
+    return found.select("doc_id", "part", "chapter", "article", "kind", F.char_length("body").cast("bigint").alias("n_chars"), F.md5("body").alias("body"))
+
+
+@query(
+    f"""WITH {_PAIRS_SQL}, l AS (SELECT doc_id, claim, unnest(string_split(t, chr(10))) AS line, generate_subscripts(string_split(t, chr(10)), 1) AS place FROM d),
+    s AS (SELECT *, list_distinct(regexp_extract_all(lower(claim), '[a-z]+\\d*|\\d+(?:\\.\\d+)?%?')) AS w, list_distinct(regexp_extract_all(lower(line), '[a-z]+\\d*|\\d+(?:\\.\\d+)?%?')) AS o, list_distinct(regexp_extract_all(claim, '[A-Za-z]{{2,}}[- ]?\\d{{2,4}}|第[一二三四五六七八九十百零〇\\d]+条|\\d+(?:\\.\\d+)?')) AS e FROM l)
+    SELECT doc_id, place, round(0.65 * CASE WHEN len(w) > 0 THEN len(list_intersect(w, o)) / len(w) ELSE 0 END + 0.35 * CASE WHEN len(e) > 0 THEN len(list_filter(e, lambda x: contains(line, x))) / len(e) ELSE 0 END, 6) AS rerank FROM s"""
+)
+def lexical_rerank(spark, d):
+    """The lexical reranker through the checked slot: every line of every document for the claim that is held against it."""
+    lines = _pairs(spark, d).select("doc_id", "claim", F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n", -1)).alias("place", "line"))
+    return reranked(lines, "doc_id", "claim", "line", LexicalReranker()).select("doc_id", (F.col("place") + 1).alias("place"), F.round("rerank", 6).alias("rerank"))
+
+
+@query(None)
+def hashed_vectors(spark, d):
+    """Every text of benchmark by the hashing encoder, through the checked slot (tested against its own loop)."""
+    b = load(spark, d, "benchmark").select("item_id", "text")
+    found = encoded(b, "item_id", "text", HashingEncoder(64))
+    return found.select("item_id", F.transform("embedding", lambda x: F.round(x, 9)).alias("embedding"))
