@@ -142,3 +142,12 @@ def test_hashed_features_have_unit_length(spark):
     got = {r.id: r.embedding for r in retrieval.hashed_features(rows, "text", 16).collect()}
     assert all(len(v) == 16 for v in got.values()) and sum(got[2]) == 0
     assert abs(sum(x * x for x in got[1]) - 1) < 1e-9 and abs(sum(x * x for x in got[3]) - 1) < 1e-9
+
+
+def test_equal_rows_keep_their_interval(spark):
+    from verdigris.operators import resolve
+
+    rows = spark.createDataFrame([("a", 2, "x"), ("a", 2, "x"), ("a", 5, "y"), ("a", 9, "z")], "file string, page int, note string")
+    intervals = spark.createDataFrame([("a", 1, 3, "one"), ("a", 4, 6, "two"), ("a", 5, 7, "three")], "file string, start int, end int, label string")
+    got = sorted((r.page, r.note, r.label) for r in resolve.label_by_interval(rows, intervals, ["file"], "page").collect())
+    assert got == [(2, "x", "one"), (2, "x", "one")]

@@ -51,3 +51,9 @@ def test_question_semesters(spark):
 def test_clarification_without_majors(spark):
     rows = values(spark, "m string", [("major",)]).select(F.split("m", ",").alias("m"), F.lit(None).cast("array<string>").alias("n"))
     assert rows.select(P.clarification(F.col("m"), F.col("n"))).first()[0].endswith("准确查询。")
+
+
+def test_passages_are_normalised_and_exclamation_marks_keep_a_header(spark):
+    score = lambda q, p: spark.range(1).select(P.passage_score(F.lit(q), F.lit(p))).first()[0]
+    assert score("毕业学分", "毕业学份 2") == score("毕业学分", "毕业学分 2") > score("毕业学分", "2") + 0.5
+    assert score("abc", "《规定》abc!") == score("abc", "《规定》abc") < 0 < score("abc", "《规定》abc！")

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import compact_strict, token_set
+from .resolve import _small
 
 # Weights of the exact signal, the passage threshold, header scores.
 SIGNAL = {"codes": 0.45, "articles": 0.25, "numbers": 0.2, "title": 0.1}
@@ -33,7 +34,7 @@ def names_in(questions: DataFrame, names: DataFrame) -> DataFrame:
     """(question_id, name) of the longest compact names within each question. names is a catalog's list."""
     q = questions.withColumn("_q", compact_strict(F.col("question")))
     k = names.select("name").distinct().withColumn("_k", compact_strict(F.col("name"))).where("_k <> ''")
-    met = k.join(F.broadcast(q), F.instr(F.col("_q"), F.col("_k")) > 0)  # the questions are the stated query set
+    met = k.join(_small(q), F.instr(F.col("_q"), F.col("_k")) > 0)  # the questions are the stated query set
     longest = met.withColumn("_m", F.max(F.char_length("_k")).over(Window.partitionBy("question_id")))
     return longest.where(F.char_length("_k") == F.col("_m")).select("question_id", "name")
 
@@ -73,7 +74,7 @@ def best_passage(texts: DataFrame, questions: DataFrame, key: str, text: str, th
     """(query_id, key, passage_no, share): for each question its best line, the shortest and first of equals, if it reaches the threshold."""
     asked = questions.select("query_id", token_set(F.col("query_text")).alias("_want"))
     lines = texts.select(key, F.posexplode(F.split(text, "\n", -1)).alias("passage_no", "_line")).where("_line <> ''").withColumn("_has", token_set(F.col("_line")))
-    met = lines.crossJoin(F.broadcast(asked))  # the stated query set against all passages
+    met = lines.crossJoin(_small(asked))  # the stated query set against all passages
     share = F.when(F.size("_want") > 0, F.size(F.array_intersect("_want", "_has")) / F.size("_want")).otherwise(0.0)
     scored = met.select("query_id", key, "passage_no", F.char_length("_line").alias("_n"), share.alias("share")).where(F.col("share") >= threshold)
     best = scored.groupBy("query_id").agg(F.max(F.struct("share", (-F.col("_n")).alias("n"), (-F.col(key)).alias("k"), (-F.col("passage_no")).alias("p"))).alias("m"))

@@ -24,7 +24,7 @@ BONUSES = (
     (r"最长学习年限", r"最长为|最长学习年限.*\d", 1.5),
 )
 CODE_WEIGHT, ARTICLE_WEIGHT, NUMBER_WEIGHT, HEADER_PENALTY, HEADER_UNDER = 2.0, 1.2, 0.35, 2.0, 150
-HEADERS = r"^(?:《[^》]+》[^。！？!；;]*|下表为.{0,120}的原表[:：])$"
+HEADERS = r"^(?:《[^》]+》[^。！？；;]*|下表为.{0,120}的原表[:：])$"
 ARTICLE_REF = r"(第[一二三四五六七八九十百零〇\d]+条)"
 NUMBER, YEAR = r"(\d+(?:\.\d+)?)", r"^(?:19|20)\d{2}$"
 PASSAGE = r"([^\n。！？!?；;]+[。！？!?；;]?|[^\n]+)"
@@ -60,12 +60,14 @@ def _codes(text: Column) -> Column:
 def passage_score(question: Column, passage: Column) -> Column:
     """Share of the question's tokens in the passage, its codes, articles and numbers there, bonuses; less for a mere header.
 
-    The question comes normalised; null reads as empty on both sides.
+    The question comes normalised; the passage's tokens and codes are taken from its
+    normalised form, all else from the passage as it is. Null reads as empty on both sides.
     """
     q, p = text_of(question), text_of(passage)
+    plain = rewritten(p)
     asked = token_set(q)
-    coverage = F.when(F.size(asked) > 0, F.size(F.array_intersect(asked, token_set(p))) / F.size(asked)).otherwise(0.0)
-    flat = F.regexp_replace(F.upper(p), "[- ]", "")
+    coverage = F.when(F.size(asked) > 0, F.size(F.array_intersect(asked, token_set(plain))) / F.size(asked)).otherwise(0.0)
+    flat = F.regexp_replace(F.upper(plain), "[- ]", "")
     numbers = F.filter(F.array_distinct(F.regexp_extract_all(q, F.lit(NUMBER), F.lit(1))), lambda x: ~x.rlike(YEAR))
     articles = F.array_distinct(F.regexp_extract_all(q, F.lit(ARTICLE_REF), F.lit(1)))
     bonus = reduce(lambda a, b: a + b, [F.when(q.rlike(asks) & p.rlike(holds), worth).otherwise(0.0) for asks, holds, worth in BONUSES])

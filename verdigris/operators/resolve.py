@@ -79,6 +79,7 @@ def intervals_of(ranges: DataFrame, by: list[str], low: str = "low", high: str =
 
 
 def label_by_interval(rows: DataFrame, intervals: DataFrame, by: list[str], place: str) -> DataFrame:
-    """The label of the one interval that holds the place; rows in none or in several have none."""
-    met = rows.join(intervals.select(*by, "start", "end", "label"), by).where(F.col(place).between(F.col("start"), F.col("end")))
-    return met.groupBy(*rows.columns).agg(F.count(F.lit(1)).alias("_n"), F.min("label").alias("label")).where("_n = 1").drop("_n")
+    """The label of the one interval that holds the place; rows in none or in several have none. Repeated rows stay."""
+    met = rows.select(*by, place).distinct().join(intervals.select(*by, "start", "end", "label"), by).where(F.col(place).between(F.col("start"), F.col("end")))
+    one = met.groupBy(*by, place).agg(F.count(F.lit(1)).alias("_n"), F.min("label").alias("label")).where("_n = 1").drop("_n")
+    return rows.join(one, [*by, place]).select(*rows.columns, "label")

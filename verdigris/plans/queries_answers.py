@@ -108,7 +108,7 @@ def _relevant(spark, d):
     """Candidates with coverage of the question's tokens as lexical and rerank score."""
     from ..functions.text import token_set
 
-    c = _hybrid(spark, d, DEPTH).join(load(spark, d, "documents").select("doc_id", "text", "source"), "doc_id").join(F.broadcast(_questions(spark, d)), "query_id")
+    c = _hybrid(spark, d, DEPTH).join(load(spark, d, "documents").select("doc_id", "text", "source"), "doc_id").join(_questions(spark, d), "query_id")
     want = token_set(F.col("query_text"))
     c = c.withColumn("coverage", F.when(F.size(want) > 0, F.size(F.array_intersect(want, token_set(F.col("text")))) / F.size(want)).otherwise(0.0))
     c = c.withColumn("lexical", F.least(F.lit(1.0), F.col("coverage") * retrieval.COVERAGE_SHARE))
@@ -355,14 +355,15 @@ def route_questions(spark, d):
 
 
 @query(
-    """WITH s AS (SELECT item_id, item_id % 200 AS doc_id, text AS sentence FROM benchmark), m AS (SELECT item_id, list_distinct(regexp_extract_all(lower(sentence), '[a-z]+\\d*|\\d+(?:\\.\\d+)?%?')) AS a, list_distinct(regexp_extract_all(lower(coalesce(d.text, '')), '[a-z]+\\d*|\\d+(?:\\.\\d+)?%?')) AS b,
+    """WITH s AS (SELECT item_id, item_id % (SELECT count(*) FROM documents) AS doc_id, text AS sentence FROM benchmark), m AS (SELECT item_id, list_distinct(regexp_extract_all(lower(sentence), '[a-z]+\\d*|\\d+(?:\\.\\d+)?%?')) AS a, list_distinct(regexp_extract_all(lower(coalesce(d.text, '')), '[a-z]+\\d*|\\d+(?:\\.\\d+)?%?')) AS b,
       list_distinct(regexp_extract_all(sentence, '\\d+(?:\\.\\d+)?')) AS na, regexp_extract_all(coalesce(d.text, ''), '\\d+(?:\\.\\d+)?') AS nb FROM s LEFT JOIN documents d USING (doc_id)),
     o AS (SELECT item_id, len(list_intersect(a, b)) AS overlap, CASE WHEN len(a) > 0 THEN len(list_intersect(a, b))::DOUBLE / len(a) ELSE 0 END AS coverage, len(list_filter(na, lambda x: NOT list_contains(nb, x))) AS missing FROM m)
     SELECT item_id, overlap, round(coverage, 6) AS coverage, overlap >= 2 AND coverage >= 0.16 AND missing = 0 AS grounded FROM o"""
 )
 def sentence_grounding(spark, d):
-    s = load(spark, d, "benchmark").select("item_id", (F.col("item_id") % 200).alias("doc_id"), F.col("text").alias("sentence"))
-    return grounding.sentence_support(s, load(spark, d, "documents").select("doc_id", "text"), "doc_id", "sentence", "text").select("item_id", "overlap", "coverage", "grounded")
+    docs = load(spark, d, "documents")
+    s = load(spark, d, "benchmark").select("item_id", (F.col("item_id") % docs.count()).alias("doc_id"), F.col("text").alias("sentence"))
+    return grounding.sentence_support(s, docs.select("doc_id", "text"), "doc_id", "sentence", "text").select("item_id", "overlap", "coverage", "grounded")
 
 
 @query(
