@@ -111,4 +111,4 @@ def page_url(page: Column, file: Column, article: Column) -> Column:
 
 def logical_lines(text: Column) -> Column:
     """Lines, with a break before a heading that stands within one."""
-    return F.filter(F.transform(F.split(F.regexp_replace(text, HEADING_AHEAD, "\n"), "\n"), F.trim), lambda x: x != "")
+    return F.filter(F.transform(F.split(F.regexp_replace(text, HEADING_AHEAD, "\n"), "\n"), lambda x: F.trim(x)), lambda x: x != "")

@@ -170,7 +170,7 @@ def asked_subjects(question: Column) -> Column:
     q = text_of(question)
 
     def family(pattern: str, mark: str | None, patterns: tuple[str, ...], most: int, none: tuple[str, ...]) -> Column:
-        found = F.transform(F.regexp_extract_all(q, F.lit(pattern), F.lit(1)), F.trim)
+        found = F.transform(F.regexp_extract_all(q, F.lit(pattern), F.lit(1)), lambda x: F.trim(x))
         if mark:
             found = F.transform(found, lambda x: F.element_at(F.split(x, mark, -1), -1))
         found = F.transform(found, lambda x: _trimmed(x, patterns))
