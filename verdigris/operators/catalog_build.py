@@ -7,6 +7,8 @@ course belongs to both as they then stand. Rows before the first of either belon
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -88,10 +90,13 @@ def plans_of(courses: DataFrame, modules: DataFrame) -> DataFrame:
     return heads.join(counts, ["cohort", "major"]).join(nested, ["cohort", "major"]).select("college", "cohort", "major", "source_title", "course_count", "modules")
 
 
-def build_catalog(rows: DataFrame, labels: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(plans, courses) of rows (file, college, cohort, source_title, page, seq, cells) and page labels (file, page, label)."""
-    scoped = scoped_rows(rows, labels)
-    courses = courses_of(scoped)
+def build_catalog(rows: DataFrame, labels: DataFrame, keep: Callable[[DataFrame], DataFrame] = lambda df: df) -> tuple[DataFrame, DataFrame]:
+    """(plans, courses) of rows (file, college, cohort, source_title, page, seq, cells) and page labels (file, page, label).
+
+    keep is given the tables that several others are made of, such as to write them first.
+    """
+    scoped = keep(scoped_rows(rows, labels).drop("cells", "heading"))
+    courses = keep(courses_of(scoped))
     return plans_of(courses, modules_of(scoped, courses)), courses
 
 

@@ -14,7 +14,7 @@ QUERIES, ORACLES = {}, {}
 
 #: The tables' own text has no headings of programmes: a capitalised word before a comma or full stop stands for one, a line for a page.
 WORD = r"([A-Z][a-z]{4,})[.,]"
-MARK = r"\b(in[a-z]{3,}|th[a-z]{4,})\."
+MARK = r"(?:^|[ ,.])(in[a-z]{3,}|th[a-z]{4,})\."
 
 
 def query(sql: str | None):
@@ -34,7 +34,7 @@ def _lines(spark, d) -> DataFrame:
 _LINES_SQL = """l AS (SELECT doc_id, unnest(lines) AS line, generate_subscripts(lines, 1) AS page FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents))"""
 _PAGE_LABELS_SQL = f"""{_LINES_SQL},
   w AS (SELECT doc_id, page, 1 AS priority, unnest(c) AS label, generate_subscripts(c, 1) AS place FROM (SELECT doc_id, page, regexp_extract_all(line, '([A-Z][a-z]{{4,}})[.,]', 1) AS c FROM l)),
-  m AS (SELECT doc_id, page, 1 AS priority, unnest(c) AS label, generate_subscripts(c, 1) AS place FROM (SELECT doc_id, page, regexp_extract_all(line, '\\b(in[a-z]{{3,}}|th[a-z]{{4,}})\\.', 1) AS c FROM l)),
+  m AS (SELECT doc_id, page, 1 AS priority, unnest(c) AS label, generate_subscripts(c, 1) AS place FROM (SELECT doc_id, page, regexp_extract_all(line, '(?:^|[ ,.])(in[a-z]{{3,}}|th[a-z]{{4,}})\\.', 1) AS c FROM l)),
   k AS (SELECT doc_id, page, place, count(DISTINCT label) AS n, min(label) AS label FROM (SELECT * FROM w UNION ALL SELECT * FROM m) GROUP BY 1, 2, 3),
   p AS (SELECT doc_id, page, CASE WHEN n = 1 THEN label END AS label, n > 1 AS contested FROM k QUALIFY row_number() OVER (PARTITION BY doc_id, page ORDER BY place) = 1)"""
 
@@ -133,7 +133,13 @@ def table_stream(spark, d) -> tuple[DataFrame, DataFrame]:
 def _catalog(spark, d) -> tuple[DataFrame, DataFrame]:
     rows, pages = table_stream(spark, d)
     labels = H.page_labels(H.candidates(pages, ["file"], "page", "text"), ["file"], "page")
-    return B.build_catalog(rows, labels)
+
+    def written(df: DataFrame) -> DataFrame:
+        path = snapshots.new_folder(spark, "catalog-rows")
+        df.write.parquet(path)
+        return spark.read.parquet(path)
+
+    return B.build_catalog(rows, labels, written)
 
 
 @query(None)

@@ -99,7 +99,7 @@ def support_errors(spark, d):
 
 
 #: The tables' own text has no policy questions: these ask and say by words that it has.
-RULES = ((r"^(?:The|That|Th)[a-z]* .*and", ("that ", "of ")), (r"\bof the\b", ("the ", "with ")), (r"\bdie\b|\bder\b", ("und ", "ist ")), (r"\bque\b", ("de ",)))
+RULES = ((r"^(?:The|That|Th)[a-z]* .*and", ("that ", "of ")), (r"(?:^| )of the ", ("the ", "with ")), (r"(?:^| )(?:die|der) ", ("und ", "ist ")), (r"(?:^| )que ", ("de ",)))
 
 
 @query(
@@ -108,7 +108,7 @@ RULES = ((r"^(?:The|That|Th)[a-z]* .*and", ("that ", "of ")), (r"\bof the\b", ("
     c AS (SELECT doc_id, question, unnest(ls) AS line, generate_subscripts(ls, 1) AS rank FROM (SELECT *, list_transform(string_split(t, chr(10)), lambda x: replace(x, '. ', '。')) AS ls FROM a)),
     f AS (SELECT doc_id, 'fact' AS kind, 0 AS rank, n_chars::VARCHAR AS quote, lang || '：chars' || n_chars AS said FROM a WHERE doc_id % 5 = 0 AND lang <> '' AND n_chars IS NOT NULL),
     cl AS (SELECT doc_id, question, rank, line, unnest(x) AS clause, generate_subscripts(x, 1) AS place FROM (SELECT *, list_filter(list_transform(regexp_extract_all(line, '[^。；;\\n]+[。；;]?'), lambda x: trim(x, ' ' || chr(9) || chr(13) || chr(10))), lambda x: x <> '') AS x FROM c)),
-    r(rule, pattern, a, b) AS (VALUES (0, '^(?:The|That|Th)[a-z]* .*and', 'that ', 'of '), (1, '\\bof the\\b', 'the ', 'with '), (2, '\\bdie\\b|\\bder\\b', 'und ', 'ist '), (3, '\\bque\\b', 'de ', 'de ')),
+    r(rule, pattern, a, b) AS (VALUES (0, '^(?:The|That|Th)[a-z]* .*and', 'that ', 'of '), (1, '(?:^| )of the ', 'the ', 'with '), (2, '(?:^| )(?:die|der) ', 'und ', 'ist '), (3, '(?:^| )que ', 'de ', 'de ')),
     h AS (SELECT c.doc_id, rule, min(rank) AS rank, a, b FROM c JOIN r ON regexp_matches(question, pattern) AND contains(line, a) AND contains(line, b) GROUP BY 1, 2, 4, 5),
     g AS (SELECT h.doc_id, h.rule, h.rank, cl.clause FROM h JOIN cl ON h.doc_id = cl.doc_id AND h.rank = cl.rank AND contains(clause, a) AND contains(clause, b) AND length(clause) <= 520 QUALIFY row_number() OVER (PARTITION BY h.doc_id, h.rule ORDER BY place) = 1),
     u AS (SELECT doc_id, 'clause' AS kind, rank, clause AS quote, clause AS said FROM g WHERE NOT regexp_matches(clause, '原表[:：]|Course\\s+Credi|Weekly\\s+Total|---\\s*\\|') QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY rule) = 1),
