@@ -158,3 +158,18 @@ def test_rebind_heeds_the_order(spark):
     assert S.read(spark, path, "rows", "2").count() == 2 and S.read(spark, path, "other", "2").count() == 1
     S.rebind(frame(spark, [(2, "b"), (1, "a")]), path, "rows", "place", "3")
     assert S.read(spark, path, "rows", "3").count() == 2
+
+
+def test_snapshot_counts_what_is_written(spark, tmp_path):
+    """Before, plans and courses were built a second time for their counts."""
+    runs = spark.sparkContext.accumulator(0)
+
+    def seen(batches):
+        for b in batches:
+            runs.add(b.num_rows)
+            yield b
+
+    plans = spark.range(3).repartition(1).mapInArrow(seen, "id bigint")
+    S.write_catalog(plans, spark.range(5), str(tmp_path), generated_at="", source_sha256="", version="1")
+    facts = S.current(spark, str(tmp_path))[1]["facts"]
+    assert (facts["plan_count"], facts["course_count"], runs.value) == (3, 5, 3)

@@ -33,3 +33,14 @@ def test_rules(spark):
 def test_normal_form(spark):
     df = spark.createDataFrame([(1, "ﬁ"), (2, None), (3, "第 一⻚\r\n\r\n\r\n\r\nＡ  b\x00"), (4, " \u00a0a \u2028 b\t\n\n")], "i int, t string")
     assert [r.t for r in T.normalised(df, "t").orderBy("i").collect()] == ["fi", None, "第一页\n\nA b", "a\nb"]
+
+
+def test_row_is_cleaned_once(spark):
+    """A row's cells are cleaned at one place of the plan; before, at each use."""
+    rows = spark.createDataFrame([(["ABC123", "a  b", "2", "必修", "1"],), (["x", None],), (None,)], "cells array<string>")
+    plan = rows.select(T.course_of_row(F.col("cells")).alias("c"))
+    text = plan._jdf.queryExecution().analyzed().toString()
+    assert text.count("\\s+, ") <= 3
+    got = [r.c for r in plan.collect()]
+    assert (got[0].code, got[0].name, got[0].credits, got[0].nature, got[0].semester) == ("ABC123", "a b", 2.0, "必修", "1")
+    assert got[1] is None and got[2] is None

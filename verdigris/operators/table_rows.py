@@ -4,14 +4,14 @@ from __future__ import annotations
 
 import re
 import unicodedata
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.terms import UNMARKED
-from ..functions.text import clean_course_name, compact_listed
+from ..functions.text import bound, clean_course_name, compact_listed
 
 # How a row shows its code, nature, semester and department, and which names are headings; what a rule says.
 CODE = r"[A-Z]{3}\d{3}[A-Z]?"
@@ -34,28 +34,45 @@ def course_of_row(cells: Column) -> Column:
     Columns alone. The first number is the credits and must lie in (0, 30].
     """
     clean = F.transform(cells, lambda c: F.trim(F.regexp_replace(F.coalesce(c, F.lit("")), r"\s+", " ")))
-    first = lambda test: F.array_position(F.transform(clean, lambda c: F.coalesce(test(c), F.lit(False))), True).cast("int")
-    code_at, nature_at = first(lambda c: F.upper(c).rlike(CODE)), first(lambda c: c.rlike(NATURE))
-    name = clean_course_name(F.get(clean, code_at))
-    between = F.when(nature_at > code_at + 2, F.slice(clean, code_at + 2, nature_at - code_at - 2)).otherwise(F.array().cast("array<string>"))
-    numbers = F.filter(F.transform(between, lambda c: F.when(F.replace(c, F.lit(" "), F.lit("")).rlike(NUMBER), F.replace(c, F.lit(" "), F.lit("")).try_cast("double"))), lambda x: x.isNotNull())
-    marks = F.filter(F.transform(clean, lambda c: F.upper(F.replace(c, F.lit(" "), F.lit("")))), lambda c: c.rlike(SEMESTER))
-    departments = F.filter(clean, lambda c: c.contains(DEPARTMENT) & ~c.contains(DEPARTMENT_HEADING))
-    good = (code_at > 0) & (nature_at > 0) & (name != "") & ~name.contains(NAME_HEADING) & F.get(numbers, F.lit(0)).between(1e-9, MOST_CREDITS)
-    fields = ("credits", "weekly_hours", "total_hours", "teaching_hours", "practice_hours")
-    return F.when(
-        good,
-        F.struct(
-            F.regexp_extract(F.upper(F.get(clean, code_at - 1)), f"({CODE})", 1).alias("code"),
-            name.alias("name"),
-            *[F.get(numbers, F.lit(i)).alias(f) for i, f in enumerate(fields)],
-            F.get(clean, nature_at - 1).alias("nature"),
-            F.when(F.size(marks) > 0, F.element_at(marks, -1)).otherwise(UNMARKED).alias("semester"),
-            F.coalesce(F.get(departments, F.lit(0)), F.lit("")).alias("department"),
+
+    def first(row: Column, test: Callable[[Column], Column]) -> Column:
+        return F.array_position(F.transform(row, lambda c: F.coalesce(test(c), F.lit(False))), True).cast("int")
+
+    # only a row with both cells is looked at further
+    return bound(
+        clean,
+        lambda row: bound(
+            F.struct(first(row, lambda c: F.upper(c).rlike(CODE)).alias("code"), first(row, lambda c: c.rlike(NATURE)).alias("nature")),
+            lambda at: F.when((at["code"] > 0) & (at["nature"] > 0), _course(row, at["code"], at["nature"])),
         ),
     )
 
 
+def _course(row: Column, code_at: Column, nature_at: Column) -> Column:
+    """The course of a row of clean cells whose code and nature stand at these places; null if its name or credits are none."""
+    compact = lambda c: F.replace(c, F.lit(" "), F.lit(""))
+    between = F.when(nature_at > code_at + 2, F.slice(row, code_at + 2, nature_at - code_at - 2)).otherwise(F.array().cast("array<string>"))
+    numbers = F.filter(F.transform(F.transform(between, compact), lambda c: F.when(c.rlike(NUMBER), c.try_cast("double"))), lambda x: x.isNotNull())
+    marks = F.filter(F.transform(row, lambda c: F.upper(compact(c))), lambda c: c.rlike(SEMESTER))
+    departments = F.filter(row, lambda c: c.contains(DEPARTMENT) & ~c.contains(DEPARTMENT_HEADING))
+    fields = ("credits", "weekly_hours", "total_hours", "teaching_hours", "practice_hours")
+    found = F.struct(clean_course_name(F.get(row, code_at)).alias("name"), numbers.alias("numbers"))
+
+    def course(x: Column) -> Column:
+        good = (x["name"] != "") & ~x["name"].contains(NAME_HEADING) & F.get(x["numbers"], F.lit(0)).between(1e-9, MOST_CREDITS)
+        kept = F.struct(
+            F.regexp_extract(F.upper(F.get(row, code_at - 1)), f"({CODE})", 1).alias("code"),
+            x["name"].alias("name"),
+            *[F.get(x["numbers"], F.lit(i)).alias(f) for i, f in enumerate(fields)],
+            F.get(row, nature_at - 1).alias("nature"),
+            bound(marks, lambda m: F.when(F.size(m) > 0, F.element_at(m, -1)).otherwise(UNMARKED)).alias("semester"),
+            F.coalesce(F.get(departments, F.lit(0)), F.lit("")).alias("department"),
+        )
+        return F.when(good, kept)
+
+    return bound(found, course)
+
+
 def total_credits(cells: Column, mark: str = "合计") -> Column:
     """The first number of a row that a cell marks as a total."""
     numbers = F.filter(F.transform(cells, lambda c: F.when(F.trim(c).rlike(NUMBER), F.trim(c).try_cast("double"))), lambda x: x.isNotNull())
