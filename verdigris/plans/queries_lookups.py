@@ -93,8 +93,8 @@ def affected_courses(spark, d):
 def evidence_by_containment(spark, d):
     docs = load(spark, d, "documents").select("doc_id", "lang", "source", "text")
     claims = docs.where(F.char_length("text") > 11).select(F.col("doc_id").alias("claim_id"), "lang", "source", F.substring("text", 5, 6).alias("needle"))
-    order = [F.desc(F.col("doc_id") % 2), F.char_length("text"), F.col("doc_id")]
-    return L.best_evidence(claims, docs, ["lang", "source"], "needle", "text", order, "claim_id").select("claim_id", "doc_id")
+    order = [-(F.col("doc_id") % 2), F.char_length("text")]
+    return L.best_evidence(claims, docs, ["lang", "source"], "needle", "text", order, "claim_id", "doc_id")
 
 
 @query("WITH f AS (SELECT o_custkey, o_orderpriority, min(o_orderkey) AS s FROM orders GROUP BY 1, 2) SELECT o_custkey, o_orderpriority, row_number() OVER (PARTITION BY o_custkey ORDER BY s, o_orderpriority)::INTEGER AS marker FROM f")
