@@ -58,3 +58,26 @@ def test_views_are_made_once_for_a_scope_and_a_snapshot(spark, tmp_path):
     spark.range(5).write.mode("append").parquet(f"{tmp_path}/t")
     second = V.snapshot_id(spark.read.parquet(f"{tmp_path}/t"))
     assert second != first and views.view({"a": 1}, second, make)["rows"].count() == 8 and len(made) == 3
+
+
+def test_scores_are_held_by_tiles(spark, monkeypatch):
+    """A batch's scores of all queries at once took memory with the square of the input."""
+    vectors = spark.range(60).select(F.col("id").alias("doc_id"), F.array((F.col("id") % 3).cast("double"), F.lit(1.0)).alias("embedding")).coalesce(1)
+    queries = vectors.where("doc_id < 20").select(F.col("doc_id").alias("query_id"), F.col("embedding").alias("query_vector"))
+    want = rows(R.top_k(R.dense_scores(vectors, queries, "doc_id"), 4, "doc_id"), "query_id", "rank", "doc_id", "score")
+    for most in (1, 150, 10**6):
+        monkeypatch.setattr(R, "TILE_SCORES", most)
+        assert rows(R.dense_top_k(vectors, queries, "doc_id", 4), "query_id", "rank", "doc_id", "score") == want
+
+
+def test_evaluation_forms_no_pairs(spark):
+    from verdigris.operators import evaluate as E
+
+    for name in ("eval_recall_at_k", "eval_pollution", "evidence_gate"):
+        plan = Q.QUERIES[name](spark, SMALL)._jdf.queryExecution().optimizedPlan().toString()
+        assert "Join Cross" not in plan and "MapInArrow" in plan, name
+    labels = spark.createDataFrame([(1, 7), (2, 7), (3, 8), (4, None)], "doc_id long, label int")
+    found = spark.createDataFrame([(1, 2, 1), (1, 3, 2), (3, 1, 1), (3, 3, 9), (4, 1, 1), (4, 4, 2)], "query_id long, doc_id long, rank int")
+    asked = labels.where("doc_id <> 2").withColumnRenamed("doc_id", "query_id")
+    gold = asked.join(labels, "label").select("query_id", "doc_id")
+    assert E.recall_of_labels(found, labels, asked, 5).collect() == E.recall_at(found, gold, 5).collect()

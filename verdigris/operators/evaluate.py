@@ -13,6 +13,17 @@ def recall_at(results: DataFrame, gold: DataFrame, k: int) -> DataFrame:
     return asked.join(hits, "query_id", "left").agg(F.count(F.lit(1)).alias("queries"), F.sum(F.coalesce("_hit", F.lit(0))).alias("hits"), F.round(F.avg(F.coalesce("_hit", F.lit(0)).cast("double")), 6).alias("recall"))
 
 
+def recall_of_labels(results: DataFrame, labels: DataFrame, asked: DataFrame, k: int) -> DataFrame:
+    """recall_at where a query's gold ids are all those of its label: labels (doc_id, label), asked (query_id, label).
+
+    Only results meet the labels; the pairs of equal labels, which grow with the square of the input, aren't formed.
+    """
+    known = asked.where(F.col("label").isNotNull())
+    right = results.where(F.col("rank") <= k).join(labels, "doc_id").join(known, ["query_id", "label"], "left_semi").select("query_id").distinct().withColumn("_hit", F.lit(1))
+    held = known.join(labels.select("label").distinct(), "label", "left_semi").select("query_id").distinct()
+    return held.join(right, "query_id", "left").agg(F.count(F.lit(1)).alias("queries"), F.sum(F.coalesce("_hit", F.lit(0))).alias("hits"), F.round(F.avg(F.coalesce("_hit", F.lit(0)).cast("double")), 6).alias("recall"))
+
+
 def pollution(results: DataFrame, in_scope: Column) -> DataFrame:
     return results.groupBy("query_id").agg(F.sum(F.when(in_scope, 0).otherwise(1)).cast("bigint").alias("polluted"), F.count(F.lit(1)).alias("shown"))
 
