@@ -57,3 +57,9 @@ def test_passages_are_normalised_and_exclamation_marks_keep_a_header(spark):
     score = lambda q, p: spark.range(1).select(P.passage_score(F.lit(q), F.lit(p))).first()[0]
     assert score("毕业学分", "毕业学份 2") == score("毕业学分", "毕业学分 2") > score("毕业学分", "2") + 0.5
     assert score("abc", "《规定》abc!") == score("abc", "《规定》abc") < 0 < score("abc", "《规定》abc！")
+
+
+def test_passages_are_scored_once(spark):
+    """An excerpt scored all passages at each use of their order, and took the question's tokens for each of them."""
+    plan = spark.range(1).select(P.excerpt(F.lit("q"), F.col("id").cast("string"), 8, 6).alias("x"))._jdf.queryExecution().analyzed().toString()
+    assert plan.count("[a-z]+") <= 2

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.questions import rewritten
-from ..functions.text import COURSE_EDGES, text_of, token_set
+from ..functions.text import COURSE_EDGES, bound, text_of, token_set
 from .lookups import ordered_union, semester_bounds
 from .narrowing import ENTITY_CODE
 from .render import number_text
@@ -63,16 +63,29 @@ def passage_score(question: Column, passage: Column) -> Column:
     The question comes normalised; the passage's tokens and codes are taken from its
     normalised form, all else from the passage as it is. Null reads as empty on both sides.
     """
-    q, p = text_of(question), text_of(passage)
-    plain = rewritten(p)
-    asked = token_set(q)
-    coverage = F.when(F.size(asked) > 0, F.size(F.array_intersect(asked, token_set(plain))) / F.size(asked)).otherwise(0.0)
-    flat = F.regexp_replace(F.upper(plain), "[- ]", "")
+    return bound(_asked(question), lambda asked: _score(asked, passage))
+
+
+def _asked(question: Column) -> Column:
+    """What a question asks for: text, tokens, codes, articles, numbers, and which bonuses it may have."""
+    q = text_of(question)
     numbers = F.filter(F.array_distinct(F.regexp_extract_all(q, F.lit(NUMBER), F.lit(1))), lambda x: ~x.rlike(YEAR))
     articles = F.array_distinct(F.regexp_extract_all(q, F.lit(ARTICLE_REF), F.lit(1)))
-    bonus = reduce(lambda a, b: a + b, [F.when(q.rlike(asks) & p.rlike(holds), worth).otherwise(0.0) for asks, holds, worth in BONUSES])
-    header = F.when((F.char_length(p) < HEADER_UNDER) & p.rlike(HEADERS), HEADER_PENALTY).otherwise(0.0)
-    return coverage + _held(_codes(q), flat) * CODE_WEIGHT + _held(articles, p) * ARTICLE_WEIGHT + _held(numbers, p) * NUMBER_WEIGHT + bonus - header
+    return F.struct(token_set(q).alias("tokens"), _codes(q).alias("codes"), articles.alias("articles"), numbers.alias("numbers"), *[q.rlike(asks).alias(f"b{i}") for i, (asks, _, _) in enumerate(BONUSES)])
+
+
+def _score(asked: Column, passage: Column) -> Column:
+    """passage_score for an _asked question."""
+
+    def of(p: Column, plain: Column) -> Column:
+        n = F.size(asked["tokens"])
+        coverage = F.when(n > 0, F.size(F.array_intersect(asked["tokens"], token_set(plain))) / n).otherwise(0.0)
+        codes = F.when(F.size(asked["codes"]) > 0, bound(F.regexp_replace(F.upper(plain), "[- ]", ""), lambda flat: _held(asked["codes"], flat))).otherwise(0)
+        bonus = reduce(lambda a, b: a + b, [F.when(asked[f"b{i}"] & p.rlike(holds), worth).otherwise(0.0) for i, (_, holds, worth) in enumerate(BONUSES)])
+        header = F.when((F.char_length(p) < HEADER_UNDER) & p.rlike(HEADERS), HEADER_PENALTY).otherwise(0.0)
+        return coverage + codes * CODE_WEIGHT + _held(asked["articles"], p) * ARTICLE_WEIGHT + _held(asked["numbers"], p) * NUMBER_WEIGHT + bonus - header
+
+    return bound(text_of(passage), lambda p: bound(rewritten(p), lambda plain: of(p, plain)))
 
 
 def passages_of(text: Column) -> Column:
@@ -85,9 +98,7 @@ def excerpt(question: Column, text: Column, limit: int, enough: int) -> Column:
 
     Passages that don't fit are passed over; if none fits, the best one is cut; a text without passages too.
     """
-    t, target = text_of(text), min(limit, enough)
-    scored = F.transform(passages_of(t), lambda x, i: F.struct((-passage_score(question, x)).alias("s"), i.alias("i"), x.alias("x")))
-    ranked = F.array_sort(scored)
+    target = min(limit, enough)
     none = F.array().cast("array<struct<i:int,x:string>>")
 
     def take(state: Column, item: Column) -> Column:
@@ -98,10 +109,18 @@ def excerpt(question: Column, text: Column, limit: int, enough: int) -> Column:
         return F.struct(used.cast("int").alias("used"), (state["done"] | (used >= target)).alias("done"), kept.alias("kept"))
 
     start = F.struct(F.lit(0).alias("used"), F.lit(False).alias("done"), none.alias("kept"))
-    kept = F.aggregate(ranked, start, take, lambda s: F.transform(F.array_sort(s["kept"]), lambda k: k["x"]))
-    best = F.substring(F.get(ranked, F.lit(0))["x"], 1, limit)
-    packed = F.when(F.size(kept) > 0, F.array_join(kept, GAP)).otherwise(F.coalesce(best, F.substring(t, 1, limit)))
-    return F.when(F.char_length(t) <= limit, t).otherwise(packed)
+
+    def packed(t: Column, ranked: Column) -> Column:
+        best = F.substring(F.get(ranked, F.lit(0))["x"], 1, limit)
+        kept = F.aggregate(ranked, start, take, lambda s: F.transform(F.array_sort(s["kept"]), lambda k: k["x"]))
+        return bound(kept, lambda k: F.when(F.size(k) > 0, F.array_join(k, GAP)).otherwise(F.coalesce(best, F.substring(t, 1, limit))))
+
+    def ranked(t: Column, asked: Column) -> Column:
+        return F.array_sort(F.transform(passages_of(t), lambda x, i: F.struct((-_score(asked, x)).alias("s"), i.alias("i"), x.alias("x"))))
+
+    # each passage is scored once, and a short text's not at all
+    t = text_of(text)
+    return F.when(F.char_length(t) <= limit, t).otherwise(bound(_asked(question), lambda asked: bound(ranked(t, asked), lambda r: packed(t, r))))
 
 
 def with_neighbours(chunks: DataFrame, by: str, seq: str, chunk_id: str, text: str) -> DataFrame:
