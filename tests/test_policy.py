@@ -116,3 +116,11 @@ def test_asked_subjects(spark):
     df = spark.createDataFrame([(q,) for q in QUESTIONS] + [(None,)], "q string")
     got = [list(r[0]) for r in df.select(N.asked_subjects(F.col("q"))).collect()]
     assert got == [reference_subjects(q) for q in QUESTIONS] + [[]] and ["高等数学"] in got and got[3] == ["校园卡", "教务系统"]
+
+
+def test_tokens_are_taken_once(spark):
+    """A claim's tokens at one place and a passage's at one; before, at each use and again for each passage."""
+    df = spark.createDataFrame([("a b 3", "a b. 3")], "c string, t string")
+    plan = lambda x: df.select(x.alias("x"))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan(C.best_passage(F.col("c"), F.col("t"))["score"]).count("[a-z]+") <= 2
+    assert plan(C.support_error(F.col("c"), F.split("t", "\n"))).count("[a-z]+") <= 2

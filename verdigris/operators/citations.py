@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ..functions.questions import cited_at_end, exempt
-from ..functions.text import text_of, token_set
+from ..functions.text import bound, text_of, token_set
 
 # Marks, numbers, passages' ends, words that carry no claim, and the limits.
 MARKER = r"\[(\d+)\]"
@@ -30,7 +30,7 @@ def numbers_in(text: Column) -> Column:
 def passages(text: Column) -> Column:
     """The text's passages without white space at their ends; the text itself if there is none."""
     found = F.filter(F.transform(F.split(text_of(text), PASSAGE_END, -1), lambda x: F.btrim(x, F.lit(" \t\r\n"))), lambda x: x != "")
-    return F.when(F.size(found) > 0, found).otherwise(F.array(text_of(text)))
+    return bound(found, lambda x: F.when(F.size(x) > 0, x).otherwise(F.array(text_of(text))))
 
 
 def best_passage(claim: Column, text: Column) -> Column:
@@ -41,28 +41,36 @@ def best_passage(claim: Column, text: Column) -> Column:
     shorter, then to the first; where nothing is shared, the whole text stays
     unless a passage is shorter. Null texts count as empty.
     """
-    wanted, numbers = content_tokens(claim), numbers_in(claim)
+    return bound(F.struct(content_tokens(claim).alias("tokens"), numbers_in(claim).alias("numbers")), lambda asked: _best_of(asked["tokens"], asked["numbers"], text))
 
-    def judged(passage: Column) -> Column:
-        own = content_tokens(passage)
-        shared = F.size(F.array_intersect(wanted, own))
-        union = F.size(F.array_union(wanted, own))
+
+def _best_of(wanted: Column, numbers: Column, text: Column) -> Column:
+    """best_passage for a claim's tokens and numbers. What is used twice is bound, as higher-order functions share nothing."""
+
+    def counted(passage: Column, own: Column) -> Column:
         bonus = 2 * F.size(F.array_intersect(numbers, F.array_distinct(F.regexp_extract_all(passage, F.lit(f"({NUMBER})"), F.lit(1)))))
-        jaccard = F.when(union > 0, shared / union).otherwise(F.lit(0.0))
-        key = F.struct((shared + bonus).cast("int").alias("score"), jaccard.cast("double").alias("jaccard"), (-F.char_length(passage)).cast("int").alias("short"))
-        return F.struct(key.alias("key"), passage.alias("passage"), shared.cast("int").alias("shared"))
+        return F.struct(F.size(F.array_intersect(wanted, own)).alias("shared"), F.size(F.array_union(wanted, own)).alias("union"), bonus.alias("bonus"))
+
+    def judged(passage: Column, n: Column) -> Column:
+        jaccard = F.when(n["union"] > 0, n["shared"] / n["union"]).otherwise(F.lit(0.0))
+        key = F.struct((n["shared"] + n["bonus"]).cast("int").alias("score"), jaccard.cast("double").alias("jaccard"), (-F.char_length(passage)).cast("int").alias("short"))
+        return F.struct(key.alias("key"), passage.alias("passage"), n["shared"].cast("int").alias("shared"))
 
+    each = lambda x: bound(content_tokens(x), lambda own: bound(counted(x, own), lambda n: judged(x, n)))
     none = F.struct(F.struct(F.lit(0).alias("score"), F.lit(0.0).alias("jaccard"), (-F.char_length(text_of(text))).cast("int").alias("short")).alias("key"), text_of(text).alias("passage"), F.lit(0).alias("shared"))
-    best = F.aggregate(F.transform(passages(text), judged), none, lambda a, b: F.when(b["key"] > a["key"], b).otherwise(a))
-    return F.struct(best["passage"].alias("passage"), best["key"]["score"].alias("score"), best["key"]["jaccard"].alias("jaccard"), best["shared"].alias("shared"))
+    best = F.aggregate(F.transform(passages(text), each), none, lambda a, b: F.when(b["key"] > a["key"], b).otherwise(a))
+    return bound(best, lambda x: F.struct(x["passage"].alias("passage"), x["key"]["score"].alias("score"), x["key"]["jaccard"].alias("jaccard"), x["shared"].alias("shared")))
 
 
 def quote_of(claim: Column, passage: Column, most: int = QUOTE_CHARS) -> Column:
     """At most so many characters of the passage: a third of them before the first token of the claim that stands there as it is."""
-    places = F.filter(F.transform(content_tokens(claim), lambda t: F.instr(passage, t) - 1), lambda i: i >= 0)
-    center = F.coalesce(F.array_min(places), F.lit(0))
-    start = F.greatest(F.lit(0), F.least(center - most // 3, F.char_length(passage) - most))
-    return F.when(F.char_length(passage) <= most, passage).otherwise(F.substring(passage, start + 1, F.lit(most)))
+
+    def cut(x: Column) -> Column:
+        places = F.filter(F.transform(content_tokens(claim), lambda t: F.instr(x, t) - 1), lambda i: i >= 0)
+        start = F.greatest(F.lit(0), F.least(F.coalesce(F.array_min(places), F.lit(0)) - most // 3, F.char_length(x) - most))
+        return F.when(F.char_length(x) <= most, x).otherwise(F.substring(x, start + 1, F.lit(most)))
+
+    return bound(passage, cut)
 
 
 def markers_of(sentence: Column) -> Column:
@@ -87,16 +95,20 @@ def support_error(sentence: Column, sources: Column) -> Column:
     A claim with numbers needs all of them in what it cites; one without needs two
     shared tokens and a Jaccard similarity of 0.1 with the best passage.
     """
-    marks, numbers = F.array_distinct(markers_of(sentence)), numbers_in(sentence)
-    bad = F.exists(marks, lambda m: F.coalesce((m < 1) | (m > F.size(sources)), F.lit(True)))
-    cited = F.transform(marks, lambda m: text_of(F.get(sources, m - 1)))
-    all_of = F.array_join(cited, "\n")
-    best = F.transform(cited, lambda x: best_passage(sentence, x))
-    most = lambda field: F.coalesce(F.array_max(F.transform(best, lambda x: x[field])), F.lit(0))
-    return F.when(
-        ~exempt(text_of(sentence)),
-        F.when(F.size(marks) == 0, "uncited")
-        .when(bad, "out_of_range")
-        .when(F.exists(numbers, lambda n: ~F.contains(all_of, n)), "numbers_absent")
-        .when((F.size(numbers) == 0) & ((most("score") < LEAST_SHARED) | (most("jaccard") < LEAST_JACCARD)), "unrelated"),
-    )
+    asked = F.struct(text_of(sentence).alias("said"), F.array_distinct(markers_of(sentence)).alias("marks"), content_tokens(sentence).alias("tokens"), numbers_in(sentence).alias("numbers"))
+
+    def objection(x: Column) -> Column:
+        marks, numbers = x["marks"], x["numbers"]
+        bad = F.exists(marks, lambda m: F.coalesce((m < 1) | (m > F.size(sources)), F.lit(True)))
+        cited = F.transform(marks, lambda m: text_of(F.get(sources, m - 1)))
+        best = F.transform(cited, lambda c: _best_of(x["tokens"], numbers, c))
+        most = lambda b, field: F.coalesce(F.array_max(F.transform(b, lambda y: y[field])), F.lit(0))
+        return F.when(
+            ~exempt(x["said"]),
+            F.when(F.size(marks) == 0, "uncited")
+            .when(bad, "out_of_range")
+            .when(bound(F.array_join(cited, "\n"), lambda all_of: F.exists(numbers, lambda n: ~F.contains(all_of, n))), "numbers_absent")
+            .when((F.size(numbers) == 0) & bound(best, lambda b: (most(b, "score") < LEAST_SHARED) | (most(b, "jaccard") < LEAST_JACCARD)), "unrelated"),
+        )
+
+    return bound(asked, objection)
