@@ -81,3 +81,16 @@ def test_evaluation_forms_no_pairs(spark):
     asked = labels.where("doc_id <> 2").withColumnRenamed("doc_id", "query_id")
     gold = asked.join(labels, "label").select("query_id", "doc_id")
     assert E.recall_of_labels(found, labels, asked, 5).collect() == E.recall_at(found, gold, 5).collect()
+
+
+def test_terms_are_counted_within_a_row(spark):
+    """Before, a task's pairs of document and term were one hash table, and candidates met shuffled texts."""
+    docs = spark.createDataFrame([(1, "b a b 7"), (2, ""), (3, None), (4, "a")], "doc_id long, text string")
+    want = [(1, "7", 1, 4), (1, "a", 1, 4), (1, "b", 2, 4), (4, "a", 1, 1)]
+    got = R.document_counts(docs, "doc_id", "text")
+    assert rows(got, "doc_id", "term", "tf", "length") == want == rows(R.term_counts(docs, "doc_id", "text"), "doc_id", "term", "tf", "length")
+    assert "Aggregate" not in got._jdf.queryExecution().optimizedPlan().toString()
+    twice = docs.unionByName(spark.createDataFrame([(4, "a b")], docs.schema))
+    assert rows(R.document_counts(twice, "doc_id", "text"), "doc_id", "term", "tf") == [w[:3] for w in want[:3]] + [(4, "a", 2), (4, "b", 1)]
+    plan = Q.QUERIES["relevance_rerank"](spark, SMALL)._jdf.queryExecution().optimizedPlan().toString()
+    assert "documents" not in plan and "Join" not in plan
