@@ -1,5 +1,6 @@
 import hashlib
 import random
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -128,3 +129,46 @@ def test_runs_of_words_against_brute_force(spark, monkeypatch, hot):
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     got = {r.doc_id: r.text.split() for r in M.dedup_substrings(df, min_words=51).collect()}
     assert got == dict(enumerate(brute_words(texts, 51)))
+
+
+class Counted(np.ndarray):
+    """An array that counts the elements of the ufuncs on it."""
+
+    done = 0
+
+    def __array_ufunc__(self, ufunc, method, *args, **kwargs):
+        Counted.done += self.size
+        return getattr(ufunc, method)(*[np.asarray(x) for x in args], **kwargs)
+
+
+def test_a_bucket_is_read_once_not_for_each_block(monkeypatch):
+    rng = random.Random(9)
+    shared = bytes(rng.choice(b"abcdef ") for _ in range(430))
+    blocks = [bytes([65 + i % 20]) * (i % 7) + shared[: 405 + i % 20] + b"%d" % i for i in range(200)]
+    rows = {"key": [1] * 200, "h": list(range(200)), "o": list(range(200)), "at": [0] * 200, "block": blocks}
+    group = M.pa.table(rows, schema=M.pa.schema([("key", "int64"), ("h", "int64"), ("o", "int64"), ("at", "int64"), ("block", "binary")]))
+    plain = M.factors
+    monkeypatch.setattr(M, "factors", lambda *a: tuple(x.view(Counted) for x in plain(*a)))
+    Counted.done = 0
+    out = M._order_bucket(group, 400, False, False).to_pylist()
+    count = Counter(b[i : i + 400] for b in blocks for i in range(len(b) - 399))
+    got = [sorted(i for r in row["runs"] for i in range(r["a"], r["b"])) for row in out]
+    assert got == [[i for i in range(len(b) - 399) if count[b[i : i + 400]] > 1] for b in blocks]
+    assert Counted.done < 10 * sum(map(len, blocks))
+
+
+@pytest.mark.parametrize("words", [False, True])
+def test_short_texts_are_hashed_together(monkeypatch, words):
+    """Blocks, by text, as each text alone has them; with hashing passes by bytes of text, not by text."""
+    rng = random.Random(4)
+    texts = ["".join(rng.choice("ab  \n") for _ in range(rng.choice((0, 399, 400, 900)))) + "é" * rng.randrange(3) for _ in range(300)]
+    texts += ["ab " * 400, "", "x" * 5_000, " ".join(texts[:40])]
+    monkeypatch.setattr(M, "SEGMENT", 3_000)
+    least, gram = (51, M.WORD_GRAM) if words else (400, M.GRAM)
+    want = [M.blocks_of(M._coded(t, words), least, gram, words) for t in texts]
+    passes, plain = [], M._gram_hashes
+    monkeypatch.setattr(M, "_gram_hashes", lambda *a: passes.append(1) or plain(*a))
+    batch = M.pa.RecordBatch.from_pydict({"t": [b"%d" % i for i in range(len(texts))], "o": list(range(len(texts))), "text": texts})
+    rows = [r for b in M._mark(iter([batch]), least, words) for r in b.to_pylist()]
+    assert [tuple(r[c] for c in ("at", "n", "key", "h", "again")) for r in rows] == want
+    assert any(w[0] for w in want) and len(passes) < 30

@@ -180,6 +180,7 @@ def released() -> None:
 _SPACES = np.zeros(256, bool)
 _SPACES[[0x20, 9, 10, 11, 12, 13]] = True
 _BYTE_VALUE = np.random.default_rng(7).integers(1, 1 << 63, 256, dtype=np.uint64)
+_LETTER_VALUE = np.where(_SPACES, np.uint64(0), _BYTE_VALUE)
 #: Powers of the base of a word's polynomial; letters so far apart share one.
 _POWERS = np.multiply.accumulate(np.full(1 << 12, 0x5851F42D4C957F2D, np.uint64))
 
@@ -190,19 +191,34 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(33))
 
 
+def _words(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A 64-bit hash of every word (run without white space), in text order, and where it starts."""
+    letter = ~_SPACES[data]
+    edge = np.zeros(len(data) + 1, bool)
+    edge[:-1] = letter
+    edge[1:] ^= letter
+    edges = np.flatnonzero(edge)
+    first, ends = edges[::2], edges[1::2]
+    if not len(first):
+        return np.zeros(0, np.uint64), first
+    low = int(first[0])
+    data = data[low:]
+    inner = np.arange(len(data)) - np.repeat(first - low, np.diff(np.append(first, len(data) + low)))
+    values = _LETTER_VALUE[data]  # of white space 0
+    values *= _POWERS[inner & (len(_POWERS) - 1)]
+    return mixed(np.add.reduceat(values, first - low) + (ends - first).astype(np.uint64)), first
+
+
 def word_hashes(text: bytes) -> np.ndarray:
     """A 64-bit hash of every word (run without white space), in text order."""
-    data = np.frombuffer(text, np.uint8)
-    if not len(data):
-        return np.zeros(0, np.uint64)
-    letters = np.flatnonzero(~_SPACES[data])
-    if not len(letters):
-        return np.zeros(0, np.uint64)
-    first = np.flatnonzero(np.concatenate(([True], letters[1:] != letters[:-1] + 1)))
-    sizes = np.diff(np.append(first, len(letters)))
-    inner = np.arange(len(letters)) - np.repeat(first, sizes)
-    sums = np.add.reduceat(_BYTE_VALUE[data[letters]] * _POWERS[inner & (len(_POWERS) - 1)], first)
-    return mixed(sums + sizes.astype(np.uint64))
+    return _words(np.frombuffer(text, np.uint8))[0]
+
+
+def word_hashes_of(texts: list[bytes]) -> list[np.ndarray]:
+    """word_hashes() of each text, in one pass over all."""
+    hashes, first = _words(np.frombuffer(b" ".join(texts), np.uint8))
+    ends = np.cumsum([len(t) + 1 for t in texts])
+    return np.split(hashes, np.searchsorted(first, ends[:-1]))
 
 
 def sums_by_key(keys: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

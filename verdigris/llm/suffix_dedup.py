@@ -37,7 +37,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..shipping import ship
-from .common import WORD_CLASS, Scope, distinct_texts, numbered, order_of, pieces_by_bytes, released, table, text_digest, whole, word_hashes, written
+from .common import WORD_CLASS, Scope, distinct_texts, numbered, order_of, pieces_by_bytes, released, table, text_digest, whole, word_hashes, word_hashes_of, written
 
 MIN_BYTES = 400
 #: Bytes of the k-grams that decide a window's key.
@@ -46,6 +46,8 @@ GRAM = 32
 WORD_GRAM = 8
 #: Window starts that are hashed at once.
 SEGMENT = 1 << 20
+#: Bytes of short texts that are hashed at once: many enough to share numpy's calls, few enough for a processor's cache.
+BATCH_BYTES = 128 << 10
 #: Bytes of block text that a suffix order is built over, so that its arrays stay in a processor's cache.
 BUCKET_BYTES = 256 << 10
 #: Windows of a key beyond which they are compared by digest.
@@ -70,6 +72,18 @@ def _coded(text: str, words: bool) -> bytes:
     return word_hashes(data).tobytes() if words else data
 
 
+def _coded_all(texts: list[bytes]) -> list[bytes]:
+    """Each text's words, coded; texts of up to BATCH_BYTES together are coded at once."""
+    out: list[bytes] = []
+    low = size = 0
+    for i, text in enumerate([*texts, None]):
+        if i > low and (text is None or size + len(text) > BATCH_BYTES):
+            out += [h.tobytes() for h in word_hashes_of(texts[low:i])]
+            low, size = i, 0
+        size += len(text or b"")
+    return out
+
+
 def _units(coded: bytes, words: bool) -> np.ndarray:
     return np.frombuffer(coded, np.uint64 if words else np.uint8)
 
@@ -97,31 +111,69 @@ def _sliding(h: np.ndarray, width: int, pick) -> np.ndarray:
     return pick(h[:-rest], h[rest:]) if rest else h
 
 
-def blocks_of(text: bytes, min_bytes: int = MIN_BYTES, gram: int = GRAM, words: bool = False) -> tuple[list[int], list[int], list[int], list[int], list[bool]]:
-    """Starts, numbers of windows, keys, content digests and whether a key's k-gram recurs within the text.
-
-    With words, text is coded and all places and sizes count words.
+def _segments(texts: list[bytes], min_bytes: int, unit: int) -> Iterator[tuple[list[int], list[int], list[int], bytes]]:
+    """Numbers of texts, first units, sizes in units and bytes of short texts together, and of the segments of long ones, which overlap by a window."""
+    number: list[int] = []
+    low: list[int] = []
+    held: list[bytes] = []
+    size = 0
+    for i, text in enumerate(texts):
+        for start in range(0, max(len(text) // unit - min_bytes + 1, 0), SEGMENT):
+            part = text if len(text) // unit < SEGMENT else text[start * unit : (start + SEGMENT + min_bytes - 1) * unit]
+            if held and size + len(part) > BATCH_BYTES:
+                yield number, low, [len(x) // unit for x in held], b"".join(held)
+                number, low, held, size = [], [], [], 0
+            number.append(i)
+            low.append(start)
+            held.append(part)
+            size += len(part)
+    if held:
+        yield number, low, [len(x) // unit for x in held], b"".join(held)
+
+
+def blocks_of_all(texts: list[bytes], min_bytes: int, gram: int, words: bool) -> tuple[np.ndarray, tuple[np.ndarray, ...]]:
+    """The number of blocks of each text; starts, numbers of windows, keys, content digests and whether a key's k-gram recurs within the text, of all blocks in order.
+
+    With words, texts are coded and all places and sizes count words. Short texts
+    share one pass of every step: windows over the edge of two are left out.
     """
-    out: tuple[list, list, list, list, list] = ([], [], [], [], [])
-    data, unit = _units(text, words), 8 if words else 1
-    windows, width = len(data) - min_bytes + 1, min_bytes - gram + 1
-    for low in range(0, max(windows, 0), SEGMENT):
-        count = min(SEGMENT, windows - low)
-        h = _gram_hashes(data[low : low + count + min_bytes - 1], gram)
+    unit, width = 8 if words else 1, min_bytes - gram + 1
+    counts = np.zeros(len(texts), np.int64)
+    kinds = (np.int64, np.int32, np.int64, np.int64, bool)
+    out: tuple[list[np.ndarray], ...] = tuple([np.zeros(0, k)] for k in kinds)
+    for number, low, lengths, joined in _segments(texts, min_bytes, unit):
+        data, ends = _units(joined, words), np.cumsum(lengths)
+        starts, last = ends - lengths, ends - min_bytes + 1  # last: the end of a text's windows
+        h = _gram_hashes(data, gram)
         least = _sliding(h, width, np.minimum)
-        edges = np.flatnonzero(np.concatenate(([True], least[1:] != least[:-1])))
-        sizes = np.diff(np.append(edges, count))
-        padded = np.concatenate((np.zeros(width - 1, np.uint64), least, np.zeros(width - 1, np.uint64)))
-        places = h[_sliding(padded, width, np.maximum) == h]  # the k-grams that are least in a window
-        values, times = np.unique(places, return_counts=True)
+        step = np.zeros(len(data) + 1, np.int8)
+        step[starts] += 1
+        step[last] -= 1
+        within = np.cumsum(step[: len(least)], dtype=np.int8) > 0
+        head = np.ones(len(least), bool)
+        head[1:] = least[1:] != least[:-1]
+        head[starts] = True
+        edges = np.flatnonzero(head & within)
+        piece = np.searchsorted(ends, edges, "right")
+        sizes = np.minimum(np.append(edges[1:], len(data)), last[piece]) - edges
+        padded = np.zeros(len(least) + 2 * (width - 1), np.uint64)
+        np.copyto(padded[width - 1 : width - 1 + len(least)], least, where=within)
+        places = np.flatnonzero(_sliding(padded, width, np.maximum) == h)  # the k-grams that are least in a window
+        # a k-gram and its text as one number: were two alike by chance, a block would be compared to no avail
+        of_text = lambda values, at: values * _MIX + (at.astype(np.uint64) + np.uint64(1)) * _ODD
+        met = np.sort(of_text(h[places], np.searchsorted(ends, places, "right")))
         keys = least[edges]
-        again = np.isin(keys, values[times > 1])
-        out[0].extend((edges + low).tolist())
-        out[1].extend(sizes.tolist())
-        out[2].extend(keys.view(np.int64).tolist())
-        out[3].extend(xxhash.xxh3_64_intdigest(text[s * unit : (s + n + min_bytes - 1) * unit]) - (1 << 63) for s, n in zip((edges + low).tolist(), sizes.tolist(), strict=True))
-        out[4].extend(again.tolist())
-    return out
+        again = np.isin(of_text(keys, piece), met[1:][met[1:] == met[:-1]])
+        digests = [xxhash.xxh3_64_intdigest(joined[s * unit : (s + n + min_bytes - 1) * unit]) for s, n in zip(edges.tolist(), sizes.tolist(), strict=True)]
+        np.add.at(counts, np.array(number)[piece], 1)
+        for to, v in zip(out, (edges + (np.array(low) - starts)[piece], sizes, keys.view(np.int64), (np.array(digests, np.uint64) ^ np.uint64(1 << 63)).view(np.int64), again), strict=True):
+            to.append(v)
+    return counts, tuple(np.concatenate(v).astype(k, copy=False) for v, k in zip(out, kinds, strict=True))
+
+
+def blocks_of(text: bytes, min_bytes: int = MIN_BYTES, gram: int = GRAM, words: bool = False) -> tuple[list[int], list[int], list[int], list[int], list[bool]]:
+    """blocks_of_all() of one text."""
+    return tuple(v.tolist() for v in blocks_of_all([text], min_bytes, gram, words)[1])
 
 
 def _sliced(batches: Iterator[pa.RecordBatch], column: str = "text") -> Iterator[pa.RecordBatch]:
@@ -131,8 +183,10 @@ def _sliced(batches: Iterator[pa.RecordBatch], column: str = "text") -> Iterator
 
 def _mark(batches: Iterator[pa.RecordBatch], min_bytes: int, words: bool) -> Iterator[pa.RecordBatch]:
     for batch in _sliced(batches):
-        rows = [blocks_of(_coded(x, words), min_bytes, WORD_GRAM if words else GRAM, words) for x in batch.column("text").to_pylist()]
-        columns = [pa.array([r[i] for r in rows], pa.list_(kind)) for i, kind in enumerate((pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.bool_()))]
+        texts = [x.encode() for x in batch.column("text").to_pylist()]
+        counts, blocks = blocks_of_all(_coded_all(texts) if words else texts, min_bytes, WORD_GRAM if words else GRAM, words)
+        offsets = pa.array(np.concatenate(([0], np.cumsum(counts))), pa.int32())
+        columns = [pa.ListArray.from_arrays(offsets, pa.array(v)) for v in blocks]
         yield pa.RecordBatch.from_arrays([batch.column("t"), batch.column("o"), *columns], ["t", "o", "at", "n", "key", "h", "again"])
     released()
 
@@ -300,15 +354,22 @@ def _factors(data: np.ndarray, ends: np.ndarray, length: int) -> tuple[np.ndarra
     return previous, following
 
 
-def _covered(length: np.ndarray, least: int) -> list[tuple[int, int]]:
-    """The runs of windows [a, b) under the factors, which begin at each place and have the given lengths."""
+def _covered(length: np.ndarray, ends: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The block, by number, of each run of windows [a, b) under the factors, and its a and b within the block.
+
+    Factors begin at each place, have the given lengths and end with the block that
+    they are in; the blocks end at ends.
+    """
     at = np.flatnonzero(length >= least)
-    if not len(at):
-        return []
+    block = np.searchsorted(ends, at, "right")
     reach = np.maximum.accumulate(at + length[at])
-    first = np.concatenate(([True], at[1:] > reach[:-1]))
-    last = np.append(np.flatnonzero(first)[1:] - 1, len(at) - 1)
-    return list(zip(at[first].tolist(), (reach[last] - least + 1).tolist(), strict=True))
+    first = np.ones(len(at), bool)
+    first[1:] = (at[1:] > reach[:-1]) | (block[1:] != block[:-1])
+    last = np.ones(len(at), bool)
+    last[:-1] = first[1:]
+    block = block[first]
+    start = np.concatenate(([0], ends))[block]
+    return block, at[first] - start, reach[last] - least + 1 - start
 
 
 def _order_bucket(group: pa.Table, min_bytes: int, first: bool, words: bool) -> pa.Table:
@@ -317,9 +378,10 @@ def _order_bucket(group: pa.Table, min_bytes: int, first: bool, words: bool) ->
     texts = group.column("block").to_pylist()
     data, ends = _units(b"".join(texts), words), np.cumsum([len(x) // (8 if words else 1) for x in texts])
     earlier, later = factors(data, ends, min_bytes)
-    found = [_covered((earlier if first else np.maximum(earlier, later))[a:b], min_bytes) for a, b in zip([0, *ends.tolist()], ends.tolist(), strict=False)]
-    kind = pa.list_(pa.struct([("a", pa.int32()), ("b", pa.int32())]))
-    return pa.table({"key": group.column("key"), "h": group.column("h"), "runs": pa.array([[{"a": a, "b": b} for a, b in x] for x in found], kind)})
+    block, a, b = _covered(earlier if first else np.maximum(earlier, later), ends, min_bytes)
+    offsets = np.concatenate(([0], np.cumsum(np.bincount(block, minlength=len(ends)))))
+    runs = pa.StructArray.from_arrays([pa.array(x, pa.int32()) for x in (a, b)], ["a", "b"])
+    return pa.table({"key": group.column("key"), "h": group.column("h"), "runs": pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), runs)})
 
 
 def _cut_blocks(batches: Iterator[pa.RecordBatch], min_bytes: int, words: bool) -> Iterator[pa.RecordBatch]:
