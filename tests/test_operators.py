@@ -61,6 +61,17 @@ def test_name_match_prefers_exact(spark):
     assert store.name_match(rows, "化学").count() == 0
 
 
+def test_course_listing_sorts_by_columns(spark):
+    """The listing order, and no key that a sort would work out at every comparison."""
+    rows = [("S2", "M", "c", "n"), ("3", "M", "c", "n"), (None, "Z", "z", "n"), ("1-2", "M", "d", "n"), ("1", "M", "c", "o"), ("1", "A", "z", "n"), ("1", "M", "c", "n")]
+    df = spark.createDataFrame([(*r, "选修") for r in rows], "semester string, module string, course_code string, course_name string, course_nature string")
+    out = store.course_query(df, elective=True)
+    assert out.columns == df.columns
+    assert [tuple(r)[:4] for r in out.collect()] == [rows[i] for i in (2, 0, 5, 6, 4, 3, 1)]
+    plan = out._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    assert [line for line in plan if "Sort [" in line] and not [line for line in plan if "Sort [" in line and "substring" in line]
+
+
 def test_natures_and_modules(spark):
     rows = spark.createDataFrame([("选修", "x"), ("必修", "专业方向课程"), ("必修", "自由选修")], "course_nature string, module string")
     assert rows.where(store.nature_predicate(["选修"])).count() == 2
